@@ -135,9 +135,9 @@ def windows(minutes: DataFrame, size: int, coverage: float = 0.8) -> DataFrame:
     return minutes.groupBy(start.alias("start")).agg(*figures).where(F.col("minutes") >= size * coverage)
 
 
-def load_report(samples: DataFrame, minutes: DataFrame) -> DataFrame:
+def load_report(samples: DataFrame, minutes: DataFrame, coverage: float = 0.8) -> DataFrame:
     """One row: span, replica range, busiest and quietest hour, and correlations over half hours."""
-    half, hour = windows(minutes, 30), windows(minutes, 60)
+    half, hour = windows(minutes, 30, coverage), windows(minutes, 60, coverage)
     busiest = hour.agg(
         F.max_by("start", F.struct("feed", (-F.col("start")).alias("s"))).alias("busiest_hour"),
         F.min_by("start", F.struct("feed", "start")).alias("quietest_hour"),
@@ -161,7 +161,7 @@ def trailing_mean(minutes: DataFrame, value: str, points: int = 15, minutes_back
     w = W.orderBy("t").rowsBetween(-(points - 1), 0)
     # At most ``points`` entries are held per row.
     recent = F.collect_list(F.struct(F.unix_micros("t").alias("t"), F.col(value).cast("double").alias("v"))).over(w)
-    inside = F.filter("__recent", lambda e: e["t"] > F.unix_micros("t") - minutes_back * 60_000_000)
+    inside = F.filter("__recent", lambda e: e["t"] >= F.unix_micros("t") - minutes_back * 60_000_000)
     total = F.aggregate(inside, F.lit(0.0), lambda acc, e: acc + e["v"])
     return (
         minutes.withColumn("__recent", recent)

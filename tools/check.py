@@ -39,6 +39,7 @@ def rows_of(names, rows):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--module", default="")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     spark = (
@@ -51,6 +52,8 @@ def main() -> int:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{args.sf}/{t}.parquet')")
     bad = 0
     for name, (fn, sql) in catalog().items():
+        if args.module and not fn.__module__.endswith(args.module):
+            continue
         if args.names and not any(n in name for n in args.names):
             continue
         t0 = time.time()
