@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("log_queries", "label_queries", "eval_queries", "load_queries", "text_queries")
+MODULES = ("log_queries", "label_queries", "eval_queries", "load_queries", "text_queries", "stream_queries")
 
 
 def catalog() -> dict:

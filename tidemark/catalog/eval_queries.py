@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
-from tidemark.catalog.sql import EVAL, RERUNS, RUNS, f1, query, r4, share, wilson
+from tidemark.catalog.sql import EVAL, RERUNS, RUNS, exact_avg, f1, query, r4, share, wilson
 from tidemark.functions import change
 from tidemark.functions.stats import round_half_up
 from tidemark.operators import calibration, drift, ladder, scoring
@@ -114,12 +114,12 @@ CAL = f"""cal_rows AS (
   SELECT r."set", r.config, segment, p_revert AS p, label = 'reverted' AS pos FROM runs r JOIN eval_set e ON e."set" = r."set" AND e.rev_id = r.rev_id,
     (VALUES ('overall'), ('temporary'), ('registered')) s(segment) WHERE {DECIDED} AND p_revert IS NOT NULL AND (segment = 'overall' OR segment = user_class)),
 cal_buckets AS (
-  SELECT "set", config, segment, bucket, count(*) AS n, {r4('avg(p)')} AS mean_p, {wilson('observed', 'count(*) FILTER (pos)', 'count(*)', with_n=False)}
+  SELECT "set", config, segment, bucket, count(*) AS n, {r4(exact_avg('p'))} AS mean_p, {wilson('observed', 'count(*) FILTER (pos)', 'count(*)', with_n=False)}
   FROM (SELECT *, CAST((p >= 0.1) AS INT) + CAST((p >= 0.2) AS INT) + CAST((p >= 0.3) AS INT) + CAST((p >= 0.4) AS INT) + CAST((p >= 0.5) AS INT)
       + CAST((p >= 0.6) AS INT) + CAST((p >= 0.7) AS INT) + CAST((p >= 0.8) AS INT) + CAST((p >= 0.9) AS INT) AS bucket FROM cal_rows) GROUP BY ALL),
 cal_ranks AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY "set", config, segment, p) - 1) / 2.0 AS mean_rank FROM cal_rows WINDOW w AS (PARTITION BY "set", config, segment ORDER BY p)),
 cal_sums AS (
-  SELECT "set", config, segment, count(*) AS n, count(DISTINCT p) AS distinct_p, {r4('avg(pow(p - CASE WHEN pos THEN 1 ELSE 0 END, 2))')} AS brier,
+  SELECT "set", config, segment, count(*) AS n, count(DISTINCT p) AS distinct_p, {r4(exact_avg('pow(p - CASE WHEN pos THEN 1 ELSE 0 END, 2)'))} AS brier,
     {r4("(sum(mean_rank) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0) / NULLIF(count(*) FILTER (pos) * (count(*) FILTER (NOT pos))::DOUBLE, 0)")} AS auroc
   FROM cal_ranks GROUP BY ALL),
 usable AS (SELECT "set", config, invalid_excluded FROM (SELECT "set", config, count(*) FILTER (p_revert IS NULL) AS invalid_excluded, count(*) AS n FROM runs GROUP BY ALL)
@@ -135,7 +135,7 @@ def reliability_table(spark, sf):
 @register(
     "calibration_by_segment",
     query(f"{RUNS}, {CAL}", f"""SELECT s.*, ece, invalid_excluded FROM cal_sums s JOIN usable USING ("set", config)
-  JOIN (SELECT "set", config, segment, {r4('sum(n * abs(observed_rate - mean_p)) / sum(n)')} AS ece FROM cal_buckets GROUP BY ALL) USING ("set", config, segment)"""),
+  JOIN (SELECT "set", config, segment, {r4('CAST(sum(n * CAST(abs(observed_rate - mean_p) AS DECIMAL(16,12))) AS DOUBLE) / sum(n)')} AS ece FROM cal_buckets GROUP BY ALL) USING ("set", config, segment)"""),
 )
 def calibration_by_segment(spark, sf):
     return calibration.calibration(b.eval_set(spark, sf), b.runs(spark, sf))
@@ -148,7 +148,7 @@ def auroc_and_brier(spark, sf):
     return calibration.brier_and_auroc(whole, ["set", "config"])
 
 
-@register("calibration_ranges", query(f"{RUNS}, {CAL}", f"""SELECT regexp_extract(config, '^[^:]+') AS family, min(ece) AS ece_low, max(ece) AS ece_high FROM (SELECT "set", config, {r4('sum(n * abs(observed_rate - mean_p)) / sum(n)')} AS ece FROM cal_buckets WHERE segment = 'overall' GROUP BY ALL) GROUP BY 1"""))
+@register("calibration_ranges", query(f"{RUNS}, {CAL}", f"""SELECT regexp_extract(config, '^[^:]+') AS family, min(ece) AS ece_low, max(ece) AS ece_high FROM (SELECT "set", config, {r4('CAST(sum(n * CAST(abs(observed_rate - mean_p) AS DECIMAL(16,12))) AS DOUBLE) / sum(n)')} AS ece FROM cal_buckets WHERE segment = 'overall' GROUP BY ALL) GROUP BY 1"""))
 def calibration_ranges(spark, sf):
     hist = calibration.probabilities(b.eval_set(spark, sf), b.runs(spark, sf))
     errors = calibration.ece(calibration.reliability(hist, ["set", "config"]), ["set", "config"])
@@ -229,7 +229,7 @@ DRIFT = f"""joined AS (SELECT n.config, n.rev_id, b.revert AS was, n.revert AS n
 checks AS (
   SELECT config, count(*) FILTER (matched) AS edits, count(*) FILTER (NOT matched) AS unmatched,
     {share('count(*) FILTER (matched AND coalesce(was, false) = coalesce(now, false))', 'count(*) FILTER (matched)')} AS agreement,
-    count(*) FILTER (matched AND coalesce(was, false) <> coalesce(now, false)) AS flips, {r4('avg(dp)')} AS mean_abs_delta_p,
+    count(*) FILTER (matched AND coalesce(was, false) <> coalesce(now, false)) AS flips, {r4(exact_avg('dp'))} AS mean_abs_delta_p,
     {share('count(*) FILTER (matched AND was IS NULL)', 'count(*) FILTER (matched)')} AS invalid_before, {share('count(*) FILTER (matched AND now IS NULL)', 'count(*) FILTER (matched)')} AS invalid_now,
     string_agg(DISTINCT vb, ', ' ORDER BY vb) FILTER (matched) AS versions_before, string_agg(DISTINCT vn, ', ' ORDER BY vn) FILTER (matched) AS versions_now
   FROM joined GROUP BY 1)"""

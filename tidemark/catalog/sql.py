@@ -24,6 +24,10 @@ def wilson(prefix: str, s: str, n: str, with_n: bool = True) -> str:
     return ", ".join(cols)
 
 
+def exact_avg(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(16,12))) AS DOUBLE) / NULLIF(count({x}), 0)"
+
+
 def f1(tp: str, fp: str, fn: str) -> str:
     return r4(f"CASE WHEN {tp} = 0 THEN 0.0 ELSE 2.0 * {tp} / (2.0 * {tp} + {fp} + {fn}) END")
 

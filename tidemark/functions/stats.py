@@ -28,6 +28,15 @@ def share(part: Column, total: Column) -> Column:
     return round_half_up(ratio(part, total))
 
 
+def as_exact(p: Column) -> Column:
+    """A probability-sized value as a decimal, so that sums do not depend on task order.
+
+    Means of two-digit probabilities often end in exactly 5 at the fifth digit;
+    with doubles the rounded figure could differ from run to run.
+    """
+    return p.cast("decimal(16,12)")
+
+
 def wilson(successes: Column, n: Column, z: float = Z95) -> Column:
     """Wilson score interval as STRUCT<rate, low, high, n>; rate, low, high NULL at n = 0."""
     size = n.cast("double")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import ratio, round_half_up, wilson_columns
+from tidemark.functions.stats import as_exact, ratio, round_half_up, wilson_columns
 from tidemark.operators.quantiles import cumulated
 from tidemark.operators.scoring import decided, set_totals
 
@@ -62,7 +62,7 @@ def by_segment(hist: DataFrame) -> DataFrame:
 def reliability(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ten buckets of stated p against the observed rate; empty buckets have no row."""
     sums = hist.groupBy(*keys, bucket_of(F.col("p")).alias("bucket")).agg(
-        F.sum("n").alias("n"), F.sum(F.col("p") * F.col("n")).alias("__p"), F.sum("pos").alias("__pos")
+        F.sum("n").alias("n"), F.sum(as_exact(F.col("p")) * F.col("n")).cast("double").alias("__p"), F.sum("pos").alias("__pos")
     )
     return sums.select(
         *keys,
@@ -77,8 +77,8 @@ def reliability(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def ece(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Expected calibration error from the published (rounded) bucket values."""
-    gap = F.col("n") * F.abs(F.col("observed_rate") - F.col("mean_p"))
-    return buckets.groupBy(*keys).agg(round_half_up(F.sum(gap) / F.sum("n")).alias("ece"))
+    gap = as_exact(F.abs(F.col("observed_rate") - F.col("mean_p"))) * F.col("n")
+    return buckets.groupBy(*keys).agg(round_half_up(F.sum(gap).cast("double") / F.sum("n")).alias("ece"))
 
 
 def brier_and_auroc(hist: DataFrame, keys: Sequence[str], continuous: bool = True) -> DataFrame:
@@ -90,11 +90,11 @@ def brier_and_auroc(hist: DataFrame, keys: Sequence[str], continuous: bool = Tru
     ranked = cumulated(hist, keys, "p", {"__below": "n"}, continuous)
     p, n, pos = F.col("p"), F.col("n"), F.col("pos")
     mean_rank = F.col("__below") + (n + 1) / 2
-    miss = pos * F.pow(1 - p, F.lit(2)) + (n - pos) * F.pow(p, F.lit(2))
+    miss = as_exact(F.pow(1 - p, F.lit(2))) * pos + as_exact(F.pow(p, F.lit(2))) * (n - pos)
     sums = ranked.groupBy(*keys).agg(
         F.sum(n).alias("n"),
         F.count("*").alias("distinct_p"),
-        round_half_up(F.sum(miss) / F.sum(n)).alias("brier"),
+        round_half_up(F.sum(miss).cast("double") / F.sum(n)).alias("brier"),
         F.sum(pos * mean_rank).alias("__ranks"),
         F.sum(pos).cast("double").alias("__pos"),
     )

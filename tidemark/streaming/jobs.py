@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import parse
+from tidemark.operators.audit import gap_runs
 from tidemark.operators.labels import LIVE, LabelRules, timeline
 
 GRACE = "10 minutes"
@@ -33,8 +34,8 @@ def counts(stream: DataFrame, time: str, width: str, delay: str = GRACE, slide:
 def label_by_joins(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     """Labels as two stream-stream outer joins, then the earliest hit per edit.
 
-    Without outage marks: those come from the all-events counts (``missing_minutes``),
-    joined in batch.
+    The second join waits for the first, so a label is final two windows after its
+    edit. Outages come from the all-events counts (``missing_minutes``), in batch.
     """
     window = f"INTERVAL {rules.window_ms // 1000} SECONDS"
     grace = f"{rules.grace_ms // 1000} seconds"
@@ -45,28 +46,30 @@ def label_by_joins(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
         "rev_id", "title", "offset", F.timestamp_millis("edit_ms").alias("edit_time")
     ).withWatermark("edit_time", grace)
     tags = base.where("kind = 'revert'").select(
-        F.col("rev_id").alias("tag_rev"), F.timestamp_millis("dt").alias("tag_time")
+        F.col("rev_id").alias("tag_rev"), F.col("offset").alias("tag_offset"), F.timestamp_millis("dt").alias("tag_time")
     ).withWatermark("tag_time", grace)
     drops = base.where("kind = 'deletion'").select(
-        F.col("title").alias("drop_title"), F.timestamp_millis("dt").alias("drop_time")
+        F.col("title").alias("drop_title"), F.col("offset").alias("drop_offset"), F.timestamp_millis("dt").alias("drop_time")
     ).withWatermark("drop_time", grace)
     tagged = edits.join(
         tags,
-        F.expr(f"rev_id = tag_rev AND tag_time >= edit_time - {slack} AND tag_time <= edit_time + {window}"),
+        F.expr(f"rev_id = tag_rev AND tag_offset > offset AND tag_time >= edit_time - {slack} AND tag_time <= edit_time + {window}"),
         "leftOuter",
-    ).withColumn("tag_ms", F.unix_millis("tag_time")).drop("tag_time", "tag_rev")
+    ).withColumn("tag_ms", F.unix_millis("tag_time")).drop("tag_time", "tag_rev", "tag_offset")
     dropped = tagged.join(
         drops,
-        F.expr(f"title = drop_title AND drop_time >= edit_time - {slack} AND drop_time <= edit_time + {window}"),
+        F.expr(f"title = drop_title AND drop_offset > offset AND drop_time >= edit_time - {slack} AND drop_time <= edit_time + {window}"),
         "leftOuter",
-    ).withColumn("drop_ms", F.unix_millis("drop_time")).drop("drop_time", "drop_title")
-    first = dropped.groupBy(F.window("edit_time", "1 minute"), "rev_id", "title", "edit_time").agg(
+    ).withColumn("drop_ms", F.unix_millis("drop_time")).drop("drop_time", "drop_title", "drop_offset")
+    # Only the window may carry event time into the aggregate.
+    timed = dropped.withColumn("edit_ms", F.unix_millis("edit_time"))
+    first = timed.groupBy(F.window("edit_time", "1 minute"), "rev_id", "title", "edit_ms").agg(
         F.min("offset").alias("source_offset"), F.min("tag_ms").alias("tag_ms"), F.min("drop_ms").alias("drop_ms")
     )
     return first.select(
         "rev_id",
         "title",
-        F.unix_millis("edit_time").alias("edit_ms"),
+        "edit_ms",
         F.when(F.col("tag_ms").isNotNull(), "reverted").when(F.col("drop_ms").isNotNull(), "deleted").otherwise("not-reverted").alias("label"),
         "tag_ms",
         "source_offset",
@@ -89,7 +92,7 @@ def label_with_state(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "rev_id": [key[0]], "edit_ms": [edit_ms], "label": ["reverted" if inside else "not-reverted"],
-                    "tag_ms": pd.array([tag_ms if inside else None], dtype="Int64"), "source_offset": [offset],
+                    "tag_ms": [tag_ms if inside else -1], "source_offset": [offset],
                 }
             )
             return
@@ -110,15 +113,14 @@ def label_with_state(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
         .select("rev_id", "kind", "offset", "dt", "edit_ms", F.timestamp_millis("dt").alias("event_time"))
         .withWatermark("event_time", "0 seconds")
     )
-    return facts.groupBy("rev_id").applyInPandasWithState(
+    rows = facts.groupBy("rev_id").applyInPandasWithState(
         step, LABEL_ROWS, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+    return rows.withColumn("tag_ms", F.when(F.col("tag_ms") >= 0, F.col("tag_ms")))
 
 
 def missing_minutes(per_minute: DataFrame, seconds: int = 60) -> DataFrame:
     """Runs of minutes without any event, from closed minute counts: (gap_from, gap_to)."""
-    from tidemark.operators.audit import gap_runs
-
     minutes = per_minute.select((F.unix_seconds("window_start") / seconds).cast("bigint").alias("offset"))
     runs = gap_runs(minutes)
     return runs.select(
