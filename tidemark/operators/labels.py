@@ -23,6 +23,7 @@ from tidemark.functions import change
 from tidemark.functions.stats import whole
 from tidemark.operators import parse
 from tidemark.operators.scan import ROWS_PER_BUCKET, numbered, offset_bucket, running
+from tidemark.session import stored
 
 HOUR_MS = 3_600_000
 MINUTE_MS = 60_000
@@ -109,12 +110,15 @@ def _next_in_log(timed: DataFrame, keys: list[str], values: dict, rules: LabelRu
 
 def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     """Labels of all edits whose window has closed by the end of ``events``."""
-    timed = with_event_time(events, rules)
-    is_hole = F.col("dt") - F.col("mark") > rules.outage_gap_ms
+    # The log is parsed once into this narrow table; later steps only need the few
+    # rows that are edits, reverts, deletions or holes.
+    events = stored(events, "timeline")
+    is_hole = F.coalesce(F.col("dt") - F.col("mark") > rules.outage_gap_ms, F.lit(False))
+    timed = with_event_time(events, rules).where(F.col("kind").isNotNull() | is_hole)
     # The next hole after each event. Holes are ordered, so the first one after
     # an edit decides whether any of them reaches into its window.
     holed = _next_in_log(timed, [], {"hole": ("min", F.when(is_hole, F.struct("offset", F.col("mark").alias("from_ms"))))}, rules)
-    facts = holed.where(F.col("kind").isNotNull())
+    facts = stored(holed.where(F.col("kind").isNotNull()), "facts")
     seen = F.struct("offset", "dt", "mark")
 
     by_rev = facts.where(F.col("kind").isin("edit", "revert"))
@@ -141,7 +145,7 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     reverted = in_window(F.col("tag"))
     deleted = in_window(F.col("deletion")) | in_window(F.col("earliest"))
     incomplete = F.coalesce(F.col("hole.from_ms") < closing, F.lit(False))
-    last = timed.agg(F.max("dt")).scalar()
+    last = events.agg(F.max("dt")).scalar()
     return (
         by_title.where((F.col("kind") == "edit") & (last >= closing))
         .select(

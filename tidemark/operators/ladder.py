@@ -11,6 +11,7 @@ from tidemark.functions import change
 from tidemark.functions.stats import f1, ratio, round_half_up, share, wilson_columns
 from tidemark.operators.quantiles import cumulated, histogram, summarise_histogram
 from tidemark.operators.scoring import decided
+from tidemark.session import stored
 
 # The outer edges a band may take besides the probabilities seen.
 LOWEST_EDGE = 0.0
@@ -166,7 +167,7 @@ def choose_band(pairs: DataFrame, target: float = 0.95, blocks: int = 1000) -> D
     runs; a pair of runs is opened only if its bounds allow a feasible band no
     worse than one already known. With up to ``blocks`` edges a run is one edge.
     """
-    edges = band_edges(pairs).checkpoint()
+    edges = stored(band_edges(pairs), "edges")
     flag = lambda side, actual: F.count_if(F.col(f"{side}_flag") & (F.col("actual") if actual else ~F.col("actual")))
     escalates = F.col("local_p_revert").isNull()
     start = pairs.agg(
@@ -207,7 +208,7 @@ def choose_band(pairs: DataFrame, target: float = 0.95, blocks: int = 1000) -> D
             escalated(F.col("hi_first.n") - F.col("first.n")),
         ).alias("known"),
     ).where("possible")
-    bounded = bounded.checkpoint()
+    bounded = stored(bounded, "bounds")
     # Sending everything to the cloud reaches its recall, so some band exists at 1.0.
     known = bounded.agg(F.coalesce(F.min("known"), F.lit(1.0))).first()[0]
     open_pairs = bounded.where(F.col("best_case") <= F.lit(known)).select("block", "hi_block")

@@ -1,11 +1,16 @@
 """Raw JSON payloads to typed rows, strictly, with a reason for every row that fails.
 
-``from_json`` would coerce ``"id": 7`` to ``'7'`` and ignores required fields, so
-field types are checked on the VARIANT before values are read.
+``from_json`` alone would coerce ``"id": 7`` to ``'7'`` and ignores required
+fields. String fields are therefore read as VARIANT, which keeps their JSON type.
+A row that passes is done after that one read; any other row is parsed as a whole
+document and checked field by field, which names the first field that is wrong.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,12 +117,66 @@ def _text(path: str) -> Column:
     return F.try_variant_get(_DOC, f"$.{path}", "string")
 
 
-def _number(path: str) -> Column:
-    return F.try_variant_get(_DOC, f"$.{path}", "bigint")
+# Both event kinds in one read. Wrong numbers, booleans and objects end in __corrupt.
+_READ_SCHEMA = (
+    "meta STRUCT<id: VARIANT, dt: VARIANT, stream: VARIANT, topic: VARIANT, domain: VARIANT>, type VARIANT, wiki VARIANT, "
+    "namespace BIGINT, title VARIANT, user VARIANT, bot BOOLEAN, minor BOOLEAN, comment VARIANT, timestamp BIGINT, "
+    "length STRUCT<old: BIGINT, new: BIGINT>, revision STRUCT<old: BIGINT, new: BIGINT>, log_type VARIANT, log_action VARIANT, "
+    "database VARIANT, rev_id BIGINT, rev_timestamp VARIANT, page_namespace BIGINT, tags ARRAY<VARIANT>, "
+    "prior_state STRUCT<tags: ARRAY<VARIANT>>, __corrupt STRING"
+)
+_READ = "__read"
+
+
+def _is_text(field: str) -> Column:
+    return F.coalesce(F.schema_of_variant(f"{_READ}.{field}") == "STRING", F.lit(False))
+
+
+def _is_text_or_absent(field: str) -> Column:
+    return F.col(f"{_READ}.{field}").isNull() | _is_text(field)
 
 
-def _flag(path: str) -> Column:
-    return F.try_variant_get(_DOC, f"$.{path}", "boolean")
+def _are_texts(field: str) -> Column:
+    return F.coalesce(F.forall(f"{_READ}.{field}", lambda t: F.schema_of_variant(t) == "STRING"), F.lit(False))
+
+
+def _all(*conditions: Column) -> Column:
+    return reduce(and_, conditions)
+
+
+def _passes() -> Column:
+    """The quick check: true only for rows every declared field of which is right.
+
+    A JSON null reads like an absent field, so rows with any null take the full check.
+    """
+    r = lambda f: F.col(f"{_READ}.{f}")
+    stream = F.try_variant_get(f"{_READ}.meta.stream", "$", "string")
+    common = [r("__corrupt").isNull(), ~F.col("value").rlike(r":\s*null"), *[_is_text(f) for f in ("meta.id", "meta.dt", "meta.stream")]]
+    a_change = [
+        stream == change.CHANGE_STREAM,
+        *[_is_text(f) for f in ("type", "wiki")],
+        *[_is_text_or_absent(f) for f in ("meta.topic", "meta.domain", "title", "user", "comment", "log_type", "log_action")],
+        r("revision").isNull() | r("revision.new").isNotNull(),
+    ]
+    a_tag_change = [
+        stream == change.TAGS_STREAM,
+        *[_is_text(f) for f in ("database", "rev_timestamp")],
+        r("rev_id").isNotNull(),
+        r("page_namespace").isNotNull(),
+        _are_texts("tags"),
+        r("prior_state").isNull() | _are_texts("prior_state.tags"),
+    ]
+    return F.coalesce(_all(*common) & (_all(*a_change) | _all(*a_tag_change)), F.lit(False))
+
+
+def _value(path: str, kind: str) -> Column:
+    """A field from the quick read, or from the whole document where that was needed."""
+    quick = F.col(f"{_READ}.{path}")
+    if kind == "string":
+        quick = F.try_variant_get(f"{_READ}.{path}", "$", "string")
+    elif kind == "array<string>":
+        quick = F.transform(f"{_READ}.{path}", lambda t: F.try_variant_get(t, "$", "string"))
+    return F.when(F.col("__quick"), quick).otherwise(F.try_variant_get(_DOC, f"$.{path}", kind))
 
 
 def with_envelope(raw: DataFrame) -> DataFrame:
@@ -133,56 +192,67 @@ def parse(raw: DataFrame) -> DataFrame:
     ``reason`` is NULL for a readable event; otherwise it names why no stage can
     read it. ``change`` / ``tags`` hold the typed event of the matching stream.
     """
-    doc = _evaluated(raw, **{_DOC: F.try_parse_json("value")})
-    named = _evaluated(doc, stream=F.when(_kind("meta.stream") == "STRING", _text("meta.stream")))
+    options = {"columnNameOfCorruptRecord": "__corrupt"}
+    read = _evaluated(raw, **{_READ: F.from_json("value", _READ_SCHEMA, options)})
+    quick = _evaluated(read, __quick=_passes())
+    doc = _evaluated(quick, **{_DOC: F.when(~F.col("__quick"), F.try_parse_json("value"))})
+    full_stream = F.when(_kind("meta.stream") == "STRING", _text("meta.stream"))
+    named = doc.withColumn("stream", F.when(F.col("__quick"), _value("meta.stream", "string")).otherwise(full_stream))
     checked = _evaluated(
         named,
-        __bad=F.when(F.col("stream") == change.CHANGE_STREAM, _first_bad(CHANGE_FIELDS)).when(
-            F.col("stream") == change.TAGS_STREAM, _first_bad(TAGS_FIELDS)
-        ),
+        __bad=F.when(F.col("__quick"), F.lit(None).cast("string"))
+        .when(F.col("stream") == change.CHANGE_STREAM, _first_bad(CHANGE_FIELDS))
+        .when(F.col("stream") == change.TAGS_STREAM, _first_bad(TAGS_FIELDS)),
     )
     reason = (
-        F.when(F.col(_DOC).isNull(), "not JSON")
+        F.when(F.col("__quick"), F.lit(None).cast("string"))
+        .when(F.col(_DOC).isNull(), "not JSON")
         .when(F.col("stream") == change.CHANGE_STREAM, F.concat(F.lit("recentchange schema: "), "__bad"))
         .when(F.col("stream") == change.TAGS_STREAM, F.concat(F.lit("tags-change schema: "), "__bad"))
         .otherwise(F.concat(F.lit("unknown stream: "), F.coalesce("stream", F.lit("undefined"))))
     )
+    has_tags = F.when(F.col("__quick"), F.col(f"{_READ}.tags").isNotNull()).otherwise(_at("tags").isNotNull())
     change_event = F.struct(
-        _text("meta.topic").alias("topic"),
-        _text("meta.domain").alias("domain"),
-        _text("type").alias("type"),
-        _text("wiki").alias("wiki"),
-        _number("namespace").alias("namespace"),
-        _text("title").alias("title"),
-        _text("user").alias("user"),
-        _flag("bot").alias("bot"),
-        _flag("minor").alias("minor"),
-        _text("comment").alias("comment"),
-        _number("timestamp").alias("timestamp"),
-        _number("length.old").alias("length_old"),
-        _number("length.new").alias("length_new"),
-        _number("revision.old").alias("rev_old"),
-        _number("revision.new").alias("rev_id"),
-        _text("log_type").alias("log_type"),
-        _text("log_action").alias("log_action"),
-        _at("tags").isNotNull().alias("has_tags_field"),
+        *[
+            _value(path, kind).alias(name)
+            for name, path, kind in (
+                ("topic", "meta.topic", "string"),
+                ("domain", "meta.domain", "string"),
+                ("type", "type", "string"),
+                ("wiki", "wiki", "string"),
+                ("namespace", "namespace", "bigint"),
+                ("title", "title", "string"),
+                ("user", "user", "string"),
+                ("bot", "bot", "boolean"),
+                ("minor", "minor", "boolean"),
+                ("comment", "comment", "string"),
+                ("timestamp", "timestamp", "bigint"),
+                ("length_old", "length.old", "bigint"),
+                ("length_new", "length.new", "bigint"),
+                ("rev_old", "revision.old", "bigint"),
+                ("rev_id", "revision.new", "bigint"),
+                ("log_type", "log_type", "string"),
+                ("log_action", "log_action", "string"),
+            )
+        ],
+        has_tags.alias("has_tags_field"),
     )
     tags_event = F.struct(
-        _text("database").alias("wiki"),
-        _number("rev_id").alias("rev_id"),
-        F.try_to_timestamp(_text("rev_timestamp")).alias("rev_timestamp"),
-        _number("page_namespace").alias("namespace"),
-        F.try_variant_get(_DOC, "$.tags", "array<string>").alias("tags"),
-        F.try_variant_get(_DOC, "$.prior_state.tags", "array<string>").alias("prior_tags"),
+        _value("database", "string").alias("wiki"),
+        _value("rev_id", "bigint").alias("rev_id"),
+        F.try_to_timestamp(_value("rev_timestamp", "string")).alias("rev_timestamp"),
+        _value("page_namespace", "bigint").alias("namespace"),
+        _value("tags", "array<string>").alias("tags"),
+        _value("prior_state.tags", "array<string>").alias("prior_tags"),
     )
     ok = F.col("reason").isNull()
     return (
         checked.withColumn("reason", reason)
-        .withColumn("meta_id", _text("meta.id"))
-        .withColumn("dt", F.try_to_timestamp(_text("meta.dt")))
+        .withColumn("meta_id", _value("meta.id", "string"))
+        .withColumn("dt", F.try_to_timestamp(_value("meta.dt", "string")))
         .withColumn("change", F.when(ok & (F.col("stream") == change.CHANGE_STREAM), change_event))
         .withColumn("tags", F.when(ok & (F.col("stream") == change.TAGS_STREAM), tags_event))
-        .drop(_DOC, "__bad")
+        .drop(_DOC, _READ, "__quick", "__bad")
     )
 
 

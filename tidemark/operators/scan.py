@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.session import shared_dir
+from tidemark.session import stored
 
 ROWS_PER_BUCKET = 1_000_000
 _BUCKET = "__bucket"
@@ -37,13 +37,10 @@ def offset_bucket(offset: Column, rows: int = ROWS_PER_BUCKET) -> Column:
 def sliced(df: DataFrame, *order: Column | str, slices: int | None = None, name: str = "slice") -> DataFrame:
     """Cut ``df`` into contiguous, evenly filled ranges of ``order``.
 
-    The range number is only stable once stored (a re-run may sample other
-    bounds), hence the checkpoint in the shared folder.
+    The range number is only stable once stored (a re-run may sample other bounds).
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()).checkpoint()
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "slices")
 
 
 def running(

@@ -16,6 +16,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def widened(df: DataFrame, *by: str) -> DataFrame:
+    """Spread a table that has fewer input splits than there are cores.
+
+    Meant before CPU-heavy steps such as JSON parsing. A table of many files or row
+    groups is returned as it is, so nothing large is ever shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted cells, doubled quotes, line breaks inside cells."""
     df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
