@@ -1,5 +1,4 @@
 import json
-import os
 import sys
 from pathlib import Path
 
@@ -7,7 +6,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-os.environ.setdefault("PYTHONPATH", str(Path(__file__).resolve().parent.parent))
 
 HOUR, MINUTE, DAY0 = 3_600_000, 60_000, 1_759_000_000_000
 

@@ -183,14 +183,13 @@ def test_freeze_and_thaw(spark, tmp_path):
         tables.thaw(spark, path)
 
 
-class Echo:
-    config = "echo__p1"
-
-    def open(self):
-        return lambda b: pd.DataFrame({"rev_id": b.rev_id, "raw": '{"revert": true, "p_revert": 1}', "latency_ms": 1.0, "tokens_in": 1, "tokens_out": 1, "model_version": "e"})
+def test_resume_and_sealed_sets(spark):
+    class Echo:
+        config = "echo__p1"
 
+        def open(self):
+            return lambda b: pd.DataFrame({"rev_id": b.rev_id, "raw": '{"revert": true, "p_revert": 1}', "latency_ms": 1.0, "tokens_in": 1, "tokens_out": 1, "model_version": "e"})
 
-def test_resume_and_sealed_sets(spark):
     e = edits(spark, [(i, "reverted") for i in range(5)])
     request = F.struct(F.lit("s").alias("system"), F.lit("u").alias("user"))
     done = runs(spark, [(i, True, 1.0, 1, 1, 1) for i in range(3)], Echo.config)

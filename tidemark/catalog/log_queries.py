@@ -174,23 +174,21 @@ def replay_window(spark, sf):
     return rows.select(F.col("offset").alias("off"), ms("dt").alias("dt_ms"))
 
 
-@register("replay_offsets", query(FACTS, "SELECT rev_id, off FROM (SELECT *, off AS rev_id FROM facts) WHERE off BETWEEN 1000 AND 2000 AND state = 'ok' AND wiki = 'enwiki' AND namespace = 0 AND event_type IN ('click', 'view', 'signup')"))
+@register("replay_offsets", query(FACTS, "SELECT rev_id, off FROM (SELECT *, off AS rev_id FROM facts) WHERE off BETWEEN (SELECT max(event_id) // 4 FROM events) AND (SELECT max(event_id) // 2 FROM events) AND state = 'ok' AND wiki = 'enwiki' AND namespace = 0 AND event_type IN ('click', 'view', 'signup')"))
 def replay_offsets(spark, sf):
-    part = log.in_offsets(b.raw_log(spark, sf), 1000, 2000)
+    last = b.load(spark, sf, "events").agg(F.max("event_id"))
+    quarter, half = (last.select(F.floor(F.col("max(event_id)") / n)).scalar() for n in (4, 2))
+    part = log.in_offsets(b.raw_log(spark, sf), quarter, half)
     return parse.edits(parse.parse(part)).select("rev_id", F.col("offset").alias("off"))
 
 
 def partitioned_log(spark, sf):
-    """Six log partitions by user, each with dense offsets of its own."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("partition").orderBy("event_id")
-    return b.load(spark, sf, "events").withColumn("partition", (F.col("user_id") % 6).cast("int")).withColumn(
-        "offset", (F.row_number().over(w) - 1).cast("bigint")
-    )
+    """Six log partitions, each with dense offsets of its own."""
+    e = F.col("event_id")
+    return b.load(spark, sf, "events").withColumn("partition", (e % 6).cast("int")).withColumn("offset", F.floor(e / 6).cast("bigint"))
 
 
-PARTS = "parts AS (SELECT *, CAST(user_id % 6 AS INTEGER) AS part, row_number() OVER (PARTITION BY user_id % 6 ORDER BY event_id) - 1 AS off FROM events)"
+PARTS = "parts AS (SELECT *, CAST(event_id % 6 AS INTEGER) AS part, event_id // 6 AS off FROM events)"
 
 
 @register("tail_of_partitions", query(PARTS, "SELECT part, off, event_id FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY off DESC) AS n FROM parts) WHERE n <= 20"))

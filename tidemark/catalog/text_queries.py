@@ -62,11 +62,11 @@ def diff_texts(spark, sf):
     return b.turn_pairs(spark, sf).select("conv_id", "turn", text.diff_text(diff_html(F.col("asked"), F.col("answered"))).alias("text"))
 
 
-@register("capped_diff_texts", query(CELLS.replace("{{", "{").replace("}}", "}"), "SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || chr(10) || '[diff truncated]' ELSE text END AS text, length(text) > 200 AS truncated FROM lines"))
+@register("capped_diff_texts", query(CELLS.replace("{{", "{").replace("}}", "}"), "SELECT conv_id, turn, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '[diff truncated]' ELSE text END AS text, length(text) > 3000 AS truncated FROM lines"))
 def capped_diff_texts(spark, sf):
     """The length limit a scorer sets for its input, with the marker it expects."""
     whole = b.turn_pairs(spark, sf).select("conv_id", "turn", text.diff_text(diff_html(F.col("asked"), F.col("answered"))).alias("t"))
-    return whole.select("conv_id", "turn", text.capped(F.col("t"), 200).alias("c")).select("conv_id", "turn", "c.*")
+    return whole.select("conv_id", "turn", text.capped(F.col("t")).alias("c")).select("conv_id", "turn", "c.*")
 
 
 def edit_features(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import ratio, round_half_up, share, wilson_columns
 from tidemark.operators.scan import offset_bucket, running
 from tidemark.operators.scoring import decided
+from tidemark.session import stored
 
 
 def exactly_once(handled: DataFrame, start: int | Column, end: int | Column) -> DataFrame:
@@ -19,16 +20,17 @@ def exactly_once(handled: DataFrame, start: int | Column, end: int | Column) ->
     """
     lo = F.lit(start) if isinstance(start, int) else start
     hi = F.lit(end) if isinstance(end, int) else end
-    counts = handled.groupBy("offset").agg(F.count("*").alias("times"))
+    # Read three times below; whatever produced ``handled`` runs once.
+    counts = stored(handled.groupBy("offset").agg(F.count("*").alias("times")), "handled")
+    inside = (F.col("offset") >= lo) & (F.col("offset") < hi)
     # A missing run starts right after a handled offset, or at ``start``.
-    origin = handled.sparkSession.range(1).select((lo - 1).cast("bigint").alias("offset"))
-    succeeded = counts.select("offset").unionByName(origin).select((F.col("offset") + 1).alias("offset"))
-    holes = succeeded.where((F.col("offset") >= lo) & (F.col("offset") < hi)).join(counts, "offset", "left_anti")
-    first_missing = holes.agg(F.min("offset")).scalar()
+    succeeded = counts.select((F.col("offset") + 1).alias("offset")).where(inside)
+    first_hole = succeeded.join(counts, "offset", "left_anti").agg(F.min("offset")).scalar()
     sums = counts.agg(
         F.coalesce(F.sum("times"), F.lit(0)).alias("handled"),
         F.count("*").alias("__distinct"),
-        F.count_if((F.col("offset") >= lo) & (F.col("offset") < hi)).alias("__inside"),
+        F.count_if(inside).alias("__inside"),
+        F.count_if(F.col("offset") == lo).alias("__has_start"),
         F.min(F.when(F.col("times") > 1, F.col("offset") + 1)).alias("__after_repeat"),
     )
     expected = (hi - lo).cast("bigint")
@@ -37,7 +39,7 @@ def exactly_once(handled: DataFrame, start: int | Column, end: int | Column) ->
         expected.alias("expected"),
         (F.col("handled") - F.col("__distinct")).alias("duplicates"),
         (expected - F.col("__inside")).alias("missing"),
-        F.least("__after_repeat", first_missing).alias("first_gap"),
+        F.least("__after_repeat", first_hole, F.when((F.col("__has_start") == 0) & (expected > 0), lo)).cast("bigint").alias("first_gap"),
     )
     clean = (F.col("duplicates") == 0) & F.col("first_gap").isNull() & (F.col("handled") == F.col("expected"))
     return out.withColumn("ok", clean)

@@ -70,7 +70,7 @@ def in_window(df: DataFrame, since: Column, until: Column, time: str = "dt") ->
     return df.where((F.col(time) >= since) & (F.col(time) < until))
 
 
-def in_offsets(df: DataFrame, first: int, last: int) -> DataFrame:
+def in_offsets(df: DataFrame, first: int | Column, last: int | Column) -> DataFrame:
     """Replay range by offset, both ends included."""
     return df.where(F.col("offset").between(first, last))
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import parse
-from tidemark.operators.audit import gap_runs
+from tidemark.operators.audit import gap_runs, observed
 from tidemark.operators.labels import LIVE, LabelRules, timeline
 
 GRACE = "10 minutes"
@@ -31,6 +31,15 @@ def counts(stream: DataFrame, time: str, width: str, delay: str = GRACE, slide:
     )
 
 
+def _timed_by_all(stream: DataFrame, time: str, delay: str, name: str) -> DataFrame:
+    """Let every event move the watermark, also those a later filter drops.
+
+    Filters are pushed below a watermark but not below observed metrics, which
+    count the feed as well.
+    """
+    return observed(stream.withWatermark(time, delay), name)
+
+
 def label_by_joins(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     """Labels as two stream-stream outer joins, then the earliest hit per edit.
 
@@ -42,15 +51,18 @@ def label_by_joins(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     slack = f"INTERVAL {rules.grace_ms // 1000} SECONDS"
     # Rows without an event time cannot be placed in a window.
     base = timeline(parsed, rules)
-    edits = base.where("kind = 'edit'").select(
-        "rev_id", "title", "offset", F.timestamp_millis("edit_ms").alias("edit_time")
-    ).withWatermark("edit_time", grace)
-    tags = base.where("kind = 'revert'").select(
-        F.col("rev_id").alias("tag_rev"), F.col("offset").alias("tag_offset"), F.timestamp_millis("dt").alias("tag_time")
-    ).withWatermark("tag_time", grace)
-    drops = base.where("kind = 'deletion'").select(
-        F.col("title").alias("drop_title"), F.col("offset").alias("drop_offset"), F.timestamp_millis("dt").alias("drop_time")
-    ).withWatermark("drop_time", grace)
+    edits = _timed_by_all(
+        base.select("kind", "rev_id", "title", "offset", F.timestamp_millis(F.coalesce("edit_ms", "dt")).alias("edit_time")),
+        "edit_time", grace, "edit_feed",
+    ).where("kind = 'edit'").drop("kind")
+    tags = _timed_by_all(
+        base.select("kind", F.col("rev_id").alias("tag_rev"), F.col("offset").alias("tag_offset"), F.timestamp_millis("dt").alias("tag_time")),
+        "tag_time", grace, "tag_feed",
+    ).where("kind = 'revert'").drop("kind")
+    drops = _timed_by_all(
+        base.select("kind", F.col("title").alias("drop_title"), F.col("offset").alias("drop_offset"), F.timestamp_millis("dt").alias("drop_time")),
+        "drop_time", grace, "deletion_feed",
+    ).where("kind = 'deletion'").drop("kind")
     tagged = edits.join(
         tags,
         F.expr(f"rev_id = tag_rev AND tag_offset > offset AND tag_time >= edit_time - {slack} AND tag_time <= edit_time + {window}"),
@@ -107,12 +119,10 @@ def label_with_state(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
             state.update(current)
             state.setTimeoutTimestamp(max(current[0] + window + grace, state.getCurrentWatermarkMs() + 1))
 
-    facts = (
-        timeline(parsed, rules)
-        .where("kind IN ('edit', 'revert')")
-        .select("rev_id", "kind", "offset", "dt", "edit_ms", F.timestamp_millis("dt").alias("event_time"))
-        .withWatermark("event_time", "0 seconds")
+    events = timeline(parsed, rules).select(
+        "rev_id", "kind", "offset", "dt", "edit_ms", F.timestamp_millis("dt").alias("event_time")
     )
+    facts = _timed_by_all(events, "event_time", "0 seconds", "label_feed").where("kind IN ('edit', 'revert')")
     rows = facts.groupBy("rev_id").applyInPandasWithState(
         step, LABEL_ROWS, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
