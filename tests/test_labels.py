@@ -144,7 +144,7 @@ def test_as_of_accounts(spark):
     snaps = [(rng.choice(["A", "B"]), base + rng.randrange(20_000), n) for n in range(60)]
     e = spark.createDataFrame(edits_, "offset bigint, user string, s bigint").select("offset", "user", F.lit("registered").alias("user_class"), F.timestamp_seconds("s").alias("dt"))
     s = spark.createDataFrame(snaps, "user string, s bigint, editcount bigint").select("user", F.timestamp_seconds("s").alias("as_of"), F.lit(None).cast("timestamp").alias("registration"), "editcount")
-    got = {r["offset"]: r["n"] for r in enrich.attach_accounts_as_of(e, s, bucket_seconds=700).select("offset", F.unix_seconds("account_as_of").alias("n")).collect()}
+    got = {r["offset"]: r["n"] for r in enrich.attach_accounts_as_of(e, s, slices=5).select("offset", F.unix_seconds("account_as_of").alias("n")).collect()}
     assert len(got) == 200
     for i, user, at in edits_:
         before = [t for u, t, _ in snaps if u == user and t <= at]

@@ -217,6 +217,15 @@ def filter_trade_off_ranges(spark, sf):
     return scoring.ranges(weekly, F.col("policy"), ["volume_removed", "reverted_lost_rate"])
 
 
+@register("sampled_rows_in_tables", query(f"{LOG}, {ACCOUNTS}", "SELECT policy, count(*) AS found, count(*) FILTER (rule <> 'kept') AS dropped FROM decisions WHERE rev_id % 9 = 1 AND rev_id % 4 <> 3 GROUP BY 1"))
+def sampled_rows_in_tables(spark, sf):
+    """Judged rows looked up in several edit tables, some of which overlap."""
+    rows = enriched(spark, sf)
+    sample = rows.where("rev_id % 9 = 1").select("rev_id")
+    found = audit.found_in(sample, rows.where("rev_id % 4 = 0"), rows.where("rev_id % 4 IN (1, 2)"), rows.where("rev_id % 4 = 2"))
+    return enrich.per_policy(found).groupBy("policy").agg(F.count("*").alias("found"), F.count_if(F.col("rule") != "kept").alias("dropped"))
+
+
 @register("filter_table_codes", query(f"{LOG}, {ACCOUNTS}, {SHORT_SQL}", "SELECT CASE label WHEN 'reverted' THEN '1' WHEN 'not-reverted' THEN '0' ELSE 'gone' END AS code, count(*) AS n FROM labels_ GROUP BY 1"))
 def filter_table_codes(spark, sf):
     return jobs.filter_table(b.parsed_log(spark, sf), b.accounts(spark, sf), SHORT).groupBy("code").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import ratio, round_half_up, share, wilson_columns
+from tidemark.operators.parse import first_by_key
 from tidemark.operators.scan import offset_bucket, running
 from tidemark.operators.scoring import decided
 from tidemark.session import stored
@@ -186,6 +187,15 @@ def seen_before(tags: DataFrame, edits: DataFrame) -> DataFrame:
     return tags.join(first, "rev_id").where(F.col("__edit_offset") < F.col("offset")).drop("__edit_offset")
 
 
+def found_in(sample: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Rows of any of the tables whose revision is in the sample, one per revision."""
+    rows = tables[0]
+    for table in tables[1:]:
+        rows = rows.unionByName(table)
+    wanted = rows.join(sample.select("rev_id").distinct(), "rev_id", "left_semi")
+    return first_by_key(wanted, "rev_id", "offset")
+
+
 # The label windows the delay probe reports, in seconds.
 DELAY_BOUNDS = {"1h": 3_600, "6h": 21_600, "24h": 86_400, "72h": 259_200, "7d": 604_800, "30d": 2_592_000}
 

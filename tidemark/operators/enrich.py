@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import trust
 from tidemark.functions.stats import round_half_up
-from tidemark.operators.scan import running
+from tidemark.operators.scan import running, sliced
 
 
 def attach_accounts(edits: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -32,12 +32,12 @@ def attach_accounts(edits: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def attach_accounts_as_of(
-    edits: DataFrame, snapshots: DataFrame, *, ttl: str | None = "60 minutes", bucket_seconds: int = 3600
+    edits: DataFrame, snapshots: DataFrame, *, ttl: str | None = "60 minutes", slices: int | None = None
 ) -> DataFrame:
     """As-of form: the latest snapshot at or before the edit and not older than ``ttl``.
 
-    Edits and snapshots of a user are read as one ordered series cut into time
-    buckets, so a busy user spreads over tasks and no edit meets every snapshot.
+    Edits and snapshots are read as one series ordered by user and time and cut into
+    even ranges, so a busy user spreads over tasks and no edit meets every snapshot.
     """
     edit_cols = edits.columns
     series = (
@@ -54,10 +54,11 @@ def attach_accounts_as_of(
             )
         )
     )
+    cut = sliced(series, "__user", "__t", "__side", "__tie", slices=slices, name="__slice")
     seen = running(
-        series,
+        cut,
         keys=["__user"],
-        bucket=F.floor(F.unix_seconds("__t") / F.lit(bucket_seconds)).cast("bigint"),
+        bucket=F.col("__slice"),
         order=[F.col("__t"), F.col("__side"), F.col("__tie")],
         values={"__last": ("max", F.col("__snap"))},
     ).where("__side = 1")

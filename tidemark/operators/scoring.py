@@ -35,7 +35,8 @@ def grid(edits: DataFrame, runs: DataFrame, continuous_latency: bool = False) ->
     """One row per (set, config). An edit without an answer counts as not flagged.
 
     ``edits`` is unique per (set, rev_id). Runs are narrowed to one row per answered
-    edit first; the last answer decides.
+    edit first; the last answer decides. Latencies are whole milliseconds, so their
+    histogram is short; say ``continuous_latency`` if they are not.
     """
     has_tokens = F.col("tokens_in").isNotNull() & F.col("tokens_out").isNotNull()
     answers = runs.groupBy("set", "config", "rev_id").agg(
