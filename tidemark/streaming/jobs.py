@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators import parse
 from tidemark.operators.audit import gap_runs, observed
 from tidemark.operators.labels import LIVE, LabelRules, timeline
+from tidemark.session import stored
 
 GRACE = "10 minutes"
 
@@ -188,10 +190,10 @@ def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "source
         spark: SparkSession = batch.sparkSession
         try:
             seen = spark.read.parquet(path).select(key)
-        except Exception:  # the table does not exist before the first batch
+        except AnalysisException:  # the table does not exist before the first batch
             seen = None
         fresh = batch if seen is None else batch.join(seen, key, "left_anti")
         # Materialised first: the plan reads the table it appends to.
-        fresh.checkpoint().write.mode("append").parquet(path)
+        stored(fresh, "fresh").write.mode("append").parquet(path)
 
     return each_batch(stream, checkpoint, write)
