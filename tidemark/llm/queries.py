@@ -10,9 +10,6 @@ MODULES = (
     "url_rules",
     "blob_ledger",
     "exact_runs",
-    "near_forest",
-    "curve_shards",
-    "suffix_repeats",
     "piece_agenda",
     "bin_slack",
 )
