@@ -10,6 +10,8 @@ MODULES = (
     "url_rules",
     "blob_ledger",
     "exact_runs",
+    "near_forest",
+    "curve_shards",
     "piece_agenda",
     "bin_slack",
 )
