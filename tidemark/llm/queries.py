@@ -12,6 +12,7 @@ MODULES = (
     "exact_runs",
     "near_forest",
     "curve_shards",
+    "suffix_repeats",
     "piece_agenda",
     "bin_slack",
 )
