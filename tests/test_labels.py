@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from conftest import DAY0, HOUR, MINUTE, edit, raw, tags, tick, ticks
 from tidemark.operators import audit, enrich, labels, parse
+from tidemark.plans import jobs
+from tidemark.streaming import jobs as streaming
 
 RULES = replace(labels.LIVE, outage_gap_ms=100 * HOUR)
 
@@ -101,14 +103,15 @@ def naive(events, rules):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4, 5])
 def test_random_logs_equal_the_definition(spark, seed):
     rng = random.Random(seed)
     rules = replace(labels.LIVE, window_ms=2 * HOUR, outage_gap_ms=12 * MINUTE, rows_per_bucket=23)
     now, events, revs = DAY0, [], []
     for i in range(400):
         now += rng.choice([10_000, 60_000, 300_000, 700_000 if rng.random() < 0.2 else 5_000, 800_000 if rng.random() < 0.3 else 0])
-        at = now - rng.choice([0, 0, 0, 60_000, 240_000])
+        # Some events arrive long after the grace.
+        at = now - rng.choice([0, 0, 0, 60_000, 240_000, 2_400_000 if rng.random() < 0.4 else 0])
         kind = rng.random()
         # One page and one revision range draw a third of all events.
         title = "Hot" if rng.random() < 0.33 else f"P{rng.randrange(30)}"
@@ -127,6 +130,49 @@ def test_random_logs_equal_the_definition(spark, seed):
     assert len(set(got.values())) >= 3
 
 
+def deletion(ms, title):
+    return edit(ms, 1, type="log", log_type="delete", log_action="delete", title=title)
+
+
+def test_a_late_deletion_inside_the_window_counts_whatever_came_before(spark):
+    gone = [deletion(DAY0 + 72 * HOUR + 5 * MINUTE, "A"), deletion(DAY0 + 71 * HOUR, "A"), tick(DAY0 + 72 * HOUR + 7 * MINUTE), deletion(DAY0 + 70 * HOUR, "A")]
+    events = [edit(DAY0, 10, title="A"), *ticks(DAY0 + MINUTE, DAY0 + 72 * HOUR, MINUTE * 2), *gone, *ticks(DAY0 + 72 * HOUR + 8 * MINUTE, DAY0 + 74 * HOUR, MINUTE)]
+    got = labels.label_log(parse.parse(raw(spark, events))).collect()
+    assert [(r["rev_id"], r["label"]) for r in got] == [(10, "deleted")]
+
+
+def test_guards_hold_for_readers_that_drop_the_checked_column(spark):
+    parsed = parse.parse(raw(spark, [edit(DAY0, 1), edit(DAY0 + 73 * HOUR, 2), tick(DAY0 + 73 * HOUR + MINUTE)]))
+    young = enrich.require_closed(parse.edits(parsed), F.timestamp_millis(F.lit(DAY0 + 100_000)))
+    with pytest.raises(Exception, match="has not closed"):
+        young.agg(F.count("*"), F.max("title")).collect()
+    accounts = spark.createDataFrame([], "user string, registration timestamp, editcount bigint, as_of timestamp")
+    with pytest.raises(Exception, match="no label for revision 2"):
+        jobs.filter_table(parsed, accounts).agg(F.count("*")).collect()
+    assert {r["open_edits"] for r in jobs.trade_off(parsed, accounts).collect()} == {1}
+
+
+def appended(spark, tmp_path, name, rows, schema="source_offset bigint, v int"):
+    src = str(tmp_path / f"in-{name}")
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(src)
+    stream = spark.readStream.schema(schema).json(src)
+    streaming.append_new(stream, str(tmp_path / "table"), str(tmp_path / f"state-{name}")).awaitTermination()
+    return sorted(r["source_offset"] for r in spark.read.parquet(str(tmp_path / "table")).collect())
+
+
+def test_append_new_writes_each_offset_once(spark, tmp_path):
+    assert appended(spark, tmp_path, "a", [(1, 1), (2, 1), (2, 1), (5_000_000, 1)]) == [1, 2, 5_000_000]
+    # Another stream replays a part: only what is new is added, from the runs its offsets fall into.
+    assert appended(spark, tmp_path, "b", [(2, 9), (3, 9), (3, 9), (5_000_000, 9)]) == [1, 2, 3, 5_000_000]
+    assert len(list((tmp_path / "table").glob("source_offset_run=*"))) == 2
+
+
+def test_append_new_refuses_a_table_without_the_key(spark, tmp_path):
+    spark.createDataFrame([(1, 0)], "other int, source_offset_run bigint").write.partitionBy("source_offset_run").parquet(str(tmp_path / "table"))
+    with pytest.raises(Exception, match="source_offset"):
+        appended(spark, tmp_path, "c", [(1, 1)])
+
+
 def test_next_event_with_a_hot_key(spark):
     rng = random.Random(5)
     rows = [(i, "hot" if rng.random() < 0.4 else f"u{rng.randrange(9)}", rng.choice(["a", "b", "c"]), DAY0 // 1000 + i * 60) for i in range(500)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import change
 from tidemark.operators import parse
-from tidemark.sources.tables import load, widened
+from tidemark.sources.tables import load
 
 
 def iso(ts: Column) -> Column:
@@ -22,7 +22,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     """``events`` with the columns both forms of the log are built from."""
     e, u = F.col("event_id"), F.col("user_id")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("bigint")
-    df = widened(load(spark, sf, "events"), "event_id").withColumn("k", k)
+    df = load(spark, sf, "events").repartition("event_id").withColumn("k", k)
     k = F.col("k")
     state = (
         F.when(e % 97 == 5, "cut")

@@ -154,10 +154,10 @@ def accounts_as_of_edit(spark, sf):
 
 @register(
     "account_age_at_edit",
-    query(f"{LOG}, {ACCOUNTS}", f"SELECT rev_id, CASE WHEN found THEN {r4('CASE WHEN registration IS NULL THEN 99999.0 ELSE least((timestamp - epoch(registration)) / 86400.0, 99999.0) END')} END AS account_age_days, length_new - coalesce(length_old, 0) AS size_delta, comment FROM enriched"),
+    query(f"{LOG}, {ACCOUNTS}", f"SELECT rev_id, CASE WHEN found THEN {r4('(timestamp - epoch(registration)) / 86400.0')} END AS account_age_days, CASE WHEN found THEN registration IS NULL END AS age_unrecorded, length_new - coalesce(length_old, 0) AS size_delta, comment FROM enriched"),
 )
 def account_age_at_edit(spark, sf):
-    return enrich.features(enriched(spark, sf)).select("rev_id", "account_age_days", "size_delta", "comment")
+    return enrich.features(enriched(spark, sf)).select("rev_id", "account_age_days", "age_unrecorded", "size_delta", "comment")
 
 
 @register("filter_decisions", query(f"{LOG}, {ACCOUNTS}", "SELECT rev_id, policy, rule, rule = 'kept' AS keep FROM decisions WHERE policy = 'extendedconfirmed'"))
@@ -189,7 +189,8 @@ TRADE = f"""SELECT policy, count(*) AS edits, count(*) FILTER (rule <> 'kept') A
   {wilson("reverted_lost", "count(*) FILTER (reverted AND rule <> 'kept')", "count(*) FILTER (reverted)")},
   {share("count(*) FILTER (reverted)", "count(reverted)")} AS revert_rate_before,
   {share("count(*) FILTER (reverted AND rule = 'kept')", "count(*) FILTER (reverted IS NOT NULL AND rule = 'kept')")} AS revert_rate_after,
-  count(*) FILTER (reverted AND rule = 'bot') AS lost_bot, count(*) FILTER (reverted AND rule = 'trusted-account') AS lost_trusted
+  count(*) FILTER (reverted AND rule = 'bot') AS lost_bot, count(*) FILTER (reverted AND rule = 'trusted-account') AS lost_trusted,
+  (SELECT count(DISTINCT rev_id) FROM decisions o WHERE NOT EXISTS (SELECT 1 FROM labels_ k WHERE k.rev_id = o.rev_id)) AS open_edits
 FROM (SELECT d.*, CASE l.label WHEN 'reverted' THEN true WHEN 'not-reverted' THEN false END AS reverted FROM decisions d JOIN labels_ l USING (rev_id)) GROUP BY policy"""
 
 
@@ -211,7 +212,7 @@ def filter_trade_off_2h(spark, sf):
 )
 def filter_trade_off_ranges(spark, sf):
     """The trade-off per week of edits, and its range over the weeks."""
-    table = jobs.filter_table(b.parsed_log(spark, sf), b.accounts(spark, sf), SHORT)
+    table = jobs.labelled_edits(b.parsed_log(spark, sf), b.accounts(spark, sf), SHORT).where("code IS NOT NULL")
     known = table.withColumn("reverted", F.when(F.col("code") != "gone", F.col("code") == "1")).withColumn("week", F.floor(F.col("timestamp") / 604_800))
     weekly = scoring.trade_off(enrich.per_policy(known), ["week"])
     return scoring.ranges(weekly, F.col("policy"), ["volume_removed", "reverted_lost_rate"])
@@ -228,7 +229,8 @@ def sampled_rows_in_tables(spark, sf):
 
 @register("filter_table_codes", query(f"{LOG}, {ACCOUNTS}, {SHORT_SQL}", "SELECT CASE label WHEN 'reverted' THEN '1' WHEN 'not-reverted' THEN '0' ELSE 'gone' END AS code, count(*) AS n FROM labels_ GROUP BY 1"))
 def filter_table_codes(spark, sf):
-    return jobs.filter_table(b.parsed_log(spark, sf), b.accounts(spark, sf), SHORT).groupBy("code").agg(F.count("*").alias("n"))
+    closed = jobs.labelled_edits(b.parsed_log(spark, sf), b.accounts(spark, sf), SHORT).where("code IS NOT NULL")
+    return closed.groupBy("code").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -278,7 +280,7 @@ def revert_delay_summary(spark, sf):
 )
 def value_percentiles(spark, sf):
     """Unrounded doubles: distinct values may be as many as rows, so the order is sliced."""
-    return quantiles.summarise(b.load(spark, sf, "events"), ["event_type"], "value", continuous=True)
+    return quantiles.summarise(b.load(spark, sf, "events"), ["event_type"], "value")
 
 
 # -- agreement ---------------------------------------------------------------
@@ -364,7 +366,7 @@ def edits_by_label_age(spark, sf):
 @register("closed_window_guard", query(LOG, "SELECT count(*) AS edits, min(timestamp) AS first_s, max(timestamp) AS last_s FROM edits"))
 def closed_window_guard(spark, sf):
     edits = enrich.require_closed(parse.edits(b.parsed_log(spark, sf)), F.lit("2024-02-05").cast("timestamp"))
-    return edits.where("rev_id >= 0").agg(F.count("*").alias("edits"), F.min("timestamp").alias("first_s"), F.max("timestamp").alias("last_s"))
+    return edits.agg(F.count("*").alias("edits"), F.min("timestamp").alias("first_s"), F.max("timestamp").alias("last_s"))
 
 
 @register("label_codes_from_tags", query(LOG, "SELECT CASE WHEN tag_off IS NULL THEN 'gone' WHEN k2 % 4 IN (1, 2, 3) THEN '1' ELSE '0' END AS code, count(*) AS n FROM (SELECT e.rev_id, arg_max(t.off, t.off) AS tag_off, arg_max(t.k, t.off) AS k2 FROM edits e LEFT JOIN tags t ON t.rev_id = e.rev_id AND t.wiki = 'enwiki' GROUP BY 1) GROUP BY 1"))
@@ -390,8 +392,8 @@ def merged_captures(spark, sf):
     query(LOG, f"""SELECT count(*) AS labelled, count(*) FILTER (v = 'u') AS unsure,
   {wilson("reverted_not_vandalism", "count(*) FILTER (reverted AND v = 'n')", "count(*) FILTER (reverted AND v <> 'u')")},
   {wilson("kept_but_vandalism", "count(*) FILTER (NOT reverted AND v = 'y')", "count(*) FILTER (NOT reverted AND v <> 'u')")},
-  0.0622::DOUBLE AS population_rate,
-  {r4("0.0622 * (1 - count(*) FILTER (reverted AND v = 'n')::DOUBLE / count(*) FILTER (reverted AND v <> 'u')) + (1 - 0.0622) * (1 - count(*) FILTER (NOT reverted AND v = 'y')::DOUBLE / count(*) FILTER (NOT reverted AND v <> 'u'))")} AS population_agreement
+  0.0815::DOUBLE AS population_rate,
+  {r4("0.0815 * (1 - count(*) FILTER (reverted AND v = 'n')::DOUBLE / count(*) FILTER (reverted AND v <> 'u')) + (1 - 0.0815) * (1 - count(*) FILTER (NOT reverted AND v = 'y')::DOUBLE / count(*) FILTER (NOT reverted AND v <> 'u'))")} AS population_agreement
 FROM (SELECT k % 4 = 1 AS reverted, CASE WHEN k % 9 = 0 THEN 'u' WHEN k % 5 < 2 THEN 'y' ELSE 'n' END AS v FROM edits WHERE rev_id % 3 = 0 AND rev_id % 41 <> 0 AND k % 17 <> 0)"""),
 )
 def label_noise(spark, sf):
@@ -403,7 +405,7 @@ def label_noise(spark, sf):
     sheet = base.select("rev_id", verdict.alias("vandalism"))
     key = base.where("rev_id % 41 <> 0").select("rev_id", (F.col("k") % 4 == 1).alias("reverted"))
     usable = audit.judged(sheet, key).where("problem IS NULL")
-    return audit.label_noise(usable, 0.0622)
+    return audit.label_noise(usable, 0.0815)
 
 
 @register("sheet_problems", query(LOG, "SELECT CASE WHEN rev_id % 41 = 0 THEN 'not in key' ELSE 'vandalism must be y/n/u' END AS problem, count(*) AS n FROM edits WHERE rev_id % 3 = 0 AND (rev_id % 41 = 0 OR k % 17 = 0) GROUP BY 1"))
@@ -450,9 +452,9 @@ def stratified_sample(spark, sf):
     return rows.select("quality", "doc_id", F.col("position").cast("bigint").alias("position"))
 
 
-@register("drift_subset", query("eval_docs AS (SELECT DISTINCT doc_id FROM labels)", "SELECT doc_id FROM eval_docs ORDER BY sha256('20261004:' || doc_id) LIMIT 50"))
+@register("drift_subset", query("eval_docs AS (SELECT DISTINCT doc_id FROM labels)", "SELECT doc_id FROM eval_docs ORDER BY sha256('40417:' || doc_id) LIMIT 50"))
 def drift_subset(spark, sf):
-    return sampling.subset(b.load(spark, sf, "labels"), "doc_id", 50, 20261004)
+    return sampling.subset(b.load(spark, sf, "labels"), "doc_id", 50, 40417)
 
 
 @register("evaluation_set", query(f"{LOG}, {ACCOUNTS}, {LONG_SQL}", "SELECT 'sealed' AS \"set\", rev_id, user_class, size_delta, label FROM (SELECT d.rev_id, d.user_class, d.length_new - coalesce(d.length_old, 0) AS size_delta, label FROM decisions d JOIN labels_ USING (rev_id) WHERE policy = 'extendedconfirmed' AND rule = 'kept' ORDER BY sha256('11:' || d.rev_id) LIMIT 200)"))

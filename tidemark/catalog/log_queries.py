@@ -218,7 +218,7 @@ def resume_point_with_empty_partition(spark, sf):
 def keyed_sink_messages(spark, sf):
     """Edits as (key, value) messages, spread by key, read back from their JSON."""
     edits = parse.edits(b.parsed_log(spark, sf)).select("rev_id", "title", "timestamp", "user_class")
-    messages = log.keyed(log.spread(edits))
+    messages = log.keyed(log.spread(edits, 6))
     fields = F.from_json("value", "title STRING, timestamp BIGINT, user_class STRING")
     return messages.select("key", fields.alias("v")).select("key", "v.*")
 
@@ -258,9 +258,15 @@ def both_streams_of_one_log(spark, sf):
     return rows.groupBy("stream").agg(F.count("*").alias("n"), ms(F.min("dt")).alias("first_ms"), ms(F.max("dt")).alias("last_ms"))
 
 
-@register("content_fingerprint", "SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(sha256('{\"lang\":' || CASE WHEN lang IS NULL THEN 'null' ELSE '\"' || lang || '\"' END || ',\"n_chars\":' || n_chars || ',\"rev_id\":' || doc_id || '}'), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM documents")
+_ROW_SHA = """sha256('{"lang":' || CASE WHEN lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || ',"n_chars":' || n_chars
+  || ',"rev_id":' || doc_id || ',"text":"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r') || '"}')"""
+_PART_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS VARCHAR)" for i in range(8))
+
+
+@register("content_fingerprint", f"SELECT count(*) AS rows, sha256(concat_ws(',', {_PART_SUMS})) AS digest FROM (SELECT {_ROW_SHA} AS h FROM documents)")
 def content_fingerprint(spark, sf):
-    return tables.fingerprint(b.load(spark, sf, "documents").select(F.col("doc_id").alias("rev_id"), "lang", "n_chars"))
+    rows = b.load(spark, sf, "documents").select(F.col("doc_id").alias("rev_id"), "lang", "n_chars", "text")
+    return tables.fingerprint(rows)
 
 
 @register("frozen_set", "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")

@@ -54,7 +54,7 @@ def diff_html(asked, answered):
 
 CELLS = PAIRS + f""",
 cells AS (SELECT conv_id, turn, {trim_sql(strip_sql('asked'))} AS d, substr(answered, 1, 10) AS head, {strip_sql('substr(answered, 11)')} AS tail FROM turn_pairs),
-lines AS (SELECT conv_id, turn, CASE WHEN d <> '' THEN '- ' || d || chr(10) ELSE '' END || '+ …' || regexp_replace(head, '^\\s+', '') || '{{+' || tail || '+}} end & more…' AS text FROM cells)"""
+lines AS (SELECT conv_id, turn, CASE WHEN d <> '' THEN '- ' || d || chr(10) ELSE '' END || '+ ' || regexp_replace(head, '^\\s+', '') || '{{+' || tail || '+}} end & more' AS text FROM cells)"""
 
 
 @register("diff_texts", query(CELLS.replace("{{", "{").replace("}}", "}"), "SELECT conv_id, turn, text FROM lines"))
@@ -62,13 +62,6 @@ def diff_texts(spark, sf):
     return b.turn_pairs(spark, sf).select("conv_id", "turn", text.diff_text(diff_html(F.col("asked"), F.col("answered"))).alias("text"))
 
 
-@register("capped_diff_texts", query(CELLS.replace("{{", "{").replace("}}", "}"), "SELECT conv_id, turn, CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || chr(10) || '[diff truncated]' ELSE text END AS text, length(text) > 3000 AS truncated FROM lines"))
-def capped_diff_texts(spark, sf):
-    """The length limit a scorer sets for its input, with the marker it expects."""
-    whole = b.turn_pairs(spark, sf).select("conv_id", "turn", text.diff_text(diff_html(F.col("asked"), F.col("answered"))).alias("t"))
-    return whole.select("conv_id", "turn", text.capped(F.col("t")).alias("c")).select("conv_id", "turn", "c.*")
-
-
 def edit_features(spark, sf):
     """Turn pairs dressed as edits."""
     n = F.col("conv_id") * 100 + F.col("turn")

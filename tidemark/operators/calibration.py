@@ -81,13 +81,13 @@ def ece(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return buckets.groupBy(*keys).agg(round_half_up(F.sum(gap).cast("double") / F.sum("n")).alias("ece"))
 
 
-def brier_and_auroc(hist: DataFrame, keys: Sequence[str], continuous: bool = True) -> DataFrame:
+def brier_and_auroc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, n, distinct_p, brier, auroc).
 
     AUROC by rank sum, tied probabilities sharing their mean rank; NULL when one
     class is empty.
     """
-    ranked = cumulated(hist, keys, "p", {"__below": "n"}, continuous)
+    ranked = cumulated(hist, keys, "p", {"__below": "n"})
     p, n, pos = F.col("p"), F.col("n"), F.col("pos")
     mean_rank = F.col("__below") + (n + 1) / 2
     miss = as_exact(F.pow(1 - p, F.lit(2))) * pos + as_exact(F.pow(p, F.lit(2))) * (n - pos)
@@ -103,7 +103,7 @@ def brier_and_auroc(hist: DataFrame, keys: Sequence[str], continuous: bool = Tru
     return sums.select(*keys, "n", "distinct_p", "brier", round_half_up(area).alias("auroc"))
 
 
-def calibration(edits: DataFrame, runs: DataFrame, continuous: bool = True) -> DataFrame:
+def calibration(edits: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per (set, config, segment) of all runs that state real probabilities."""
     hist = probabilities(edits, runs)
     usable = calibratable(edits, runs, hist)
@@ -112,5 +112,5 @@ def calibration(edits: DataFrame, runs: DataFrame, continuous: bool = True) -> D
     segments = by_segment(hist)
     errors = ece(reliability(segments, keys), keys)
     return (
-        brier_and_auroc(segments, keys, continuous).join(errors, keys).join(usable, ["set", "config"])
+        brier_and_auroc(segments, keys).join(errors, keys).join(usable, ["set", "config"])
     )

@@ -94,11 +94,14 @@ def per_policy(enriched: DataFrame) -> DataFrame:
     )
 
 
-def features(scored: DataFrame, cap_age: float | None = 99_999.0, extra: tuple[str, ...] = ()) -> DataFrame:
-    """What a scorer may see of an edit. Frozen sets round and cap the age; live rows keep it."""
-    age: Column = trust.account_age_days(F.col("account.registration"), F.col("timestamp"))
-    if cap_age is not None:
-        age = round_half_up(F.least(age, F.lit(cap_age)))
+def features(scored: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """What a scorer may see of an edit.
+
+    An account without a registration date is older than the field: its age is NULL and
+    ``age_unrecorded`` true. Without an account both are NULL.
+    """
+    registration = F.col("account.registration")
+    age = round_half_up(trust.account_age_days(registration, F.col("timestamp")))
     has_account = F.col("account").isNotNull()
     return scored.select(
         "rev_id",
@@ -107,7 +110,8 @@ def features(scored: DataFrame, cap_age: float | None = 99_999.0, extra: tuple[s
         "is_new",
         "minor",
         "user_class",
-        F.when(has_account, age).alias("account_age_days"),
+        F.when(has_account & registration.isNotNull(), age).alias("account_age_days"),
+        F.when(has_account, registration.isNull()).alias("age_unrecorded"),
         F.when(has_account, F.col("account.editcount")).alias("editcount"),
         (F.coalesce("length_new", F.lit(0)) - F.coalesce("length_old", F.lit(0))).alias("size_delta"),
         "comment",
@@ -124,7 +128,10 @@ def by_age(edits: DataFrame, as_of: Column, min_hours: float = 72, max_hours: fl
 
 
 def require_closed(edits: DataFrame, as_of: Column, hours: float = 72) -> DataFrame:
-    """The edits unchanged, but any row younger than the label window fails the job."""
+    """The edits unchanged, but any row younger than the label window fails the job.
+
+    The check is a filter, so no reader of the result can have it pruned away.
+    """
     age = (F.unix_micros(as_of) - F.unix_micros(F.timestamp_seconds("timestamp"))) / 3.6e9
     message = F.concat(F.lit("the label window of revision "), F.col("rev_id"), F.lit(" has not closed"))
-    return edits.withColumn("rev_id", F.when(age >= hours, F.col("rev_id")).otherwise(F.raise_error(message).cast("bigint")))
+    return edits.where(F.when(age >= hours, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

@@ -129,13 +129,14 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     dropped = facts.where(F.col("kind") == "deletion").withColumn("tag", F.lit(None).cast(edits.schema["tag"].dataType))
     by_title = edits.select(columns).unionByName(dropped.select(columns))
     is_deletion = F.col("kind") == "deletion"
+    prompt = F.coalesce(F.col("mark") - F.col("dt") < rules.grace_ms, F.lit(True))
     by_title = _next_in_log(
         by_title,
         ["title"],
         {
-            "deletion": ("min", F.when(is_deletion, seen)),
-            # Deletions may arrive out of order: the earliest by event time counts as well.
-            "earliest": ("min", F.when(is_deletion, F.struct("dt", "mark"))),
+            # One that is less than the grace behind is seen in time if it lies in the window at all.
+            "prompt": ("min", F.when(is_deletion & prompt, F.col("dt"))),
+            "late": ("min", F.when(is_deletion & ~prompt, seen)),
         },
         rules,
     )
@@ -143,7 +144,14 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     ends = F.col("edit_ms") + rules.window_ms
     in_window = lambda hit: F.coalesce((hit["dt"] <= ends) & (hit["mark"] < closing), F.lit(False))
     reverted = in_window(F.col("tag"))
-    deleted = in_window(F.col("deletion")) | in_window(F.col("earliest"))
+    # Behind an edit that is itself in order, the first late deletion seen in time lies in the
+    # window; an edit behind a later one needs a look at all late deletions of its page, both rare.
+    behind = by_title.where((F.col("kind") == "edit") & (F.col("due_ms") > F.col("edit_ms")))
+    late = facts.where((F.col("kind") == "deletion") & ~prompt).select(*[F.col(c).alias(f"late_{c}") for c in ("title", "offset", "dt", "mark")])
+    hit = (F.col("title") == F.col("late_title")) & (F.col("late_offset") > F.col("offset")) & (F.col("late_dt") <= ends) & (F.col("late_mark") < closing)
+    hits = behind.join(late, hit, "left_semi").select("rev_id", F.lit(True).alias("late_hit"))
+    by_title = by_title.join(hits, "rev_id", "left")
+    deleted = F.coalesce(F.col("prompt") <= ends, F.lit(False)) | in_window(F.col("late")) | F.coalesce("late_hit", F.lit(False))
     incomplete = F.coalesce(F.col("hole.from_ms") < closing, F.lit(False))
     last = events.agg(F.max("dt")).scalar()
     return (

@@ -16,6 +16,8 @@ from tidemark.session import stored
 # The outer edges a band may take besides the probabilities seen.
 LOWEST_EDGE = 0.0
 HIGHEST_EDGE = 1.000001
+#: Runs that a run of edges is cut into at each step of the band search.
+FAN = 32
 POLICIES = ("heuristics only", "local only", "cloud only", "ladder")
 LATENCY_POINTS = {"latency_p50": 50.0, "latency_p95": 95.0}
 
@@ -54,13 +56,14 @@ def paired(edits: DataFrame, local: DataFrame, cloud: DataFrame) -> DataFrame:
         cols = ["revert", "p_revert", "latency_ms", *extra]
         return df.select("rev_id", F.lit(True).alias(f"{prefix}_found"), *[F.col(c).alias(f"{prefix}_{c}") for c in cols])
 
-    def need(prefix: str) -> Column:
+    def has(prefix: str) -> Column:
         error = F.raise_error(F.concat(F.lit(f"{prefix} run has no answer for revision "), F.col("rev_id")))
-        return F.when(F.col(f"{prefix}_found"), F.col("rev_id")).otherwise(error.cast("bigint"))
+        return F.when(F.col(f"{prefix}_found"), F.lit(True)).otherwise(error.cast("boolean"))
 
     kept = edits.where(decided(F.col("label"))).select("rev_id", (F.col("label") == "reverted").alias("actual"))
     both = kept.join(side(local, "local"), "rev_id", "left").join(side(cloud, "cloud", "cost"), "rev_id", "left")
-    checked = both.withColumn("rev_id", F.when(need("local") == need("cloud"), F.col("rev_id")))
+    # A filter, so that no reader can have the check pruned away.
+    checked = both.where(has("local") & has("cloud"))
     return (
         checked.withColumn("local_flag", F.coalesce("local_revert", F.lit(False)))
         .withColumn("cloud_flag", F.coalesce("cloud_revert", F.lit(False)))
@@ -156,16 +159,16 @@ def band_edges(pairs: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in ("__n", "__tp", "__fp")], F.lit(1).cast("bigint").alias("__one")
     )
     running_sums = {"idx": "__one", "n": "__n", "tp": "__tp", "fp": "__fp"}
-    return cumulated(steps, [], "edge", running_sums, continuous=True).select("edge", *running_sums)
+    return cumulated(steps, [], "edge", running_sums).select("edge", *running_sums)
 
 
-def choose_band(pairs: DataFrame, target: float = 0.95, blocks: int = 1000) -> DataFrame:
+def choose_band(pairs: DataFrame, target: float = 0.95, fan: int = FAN) -> DataFrame:
     """The band [lo, hi) with the lowest escalation whose recall is at least ``target`` of the cloud's.
 
-    Ties go to the higher F1, then the lower lo, then the lower hi. Exact over all
-    edge pairs without forming them: edges are grouped into at most ``blocks``
-    runs; a pair of runs is opened only if its bounds allow a feasible band no
-    worse than one already known. With up to ``blocks`` edges a run is one edge.
+    Ties go to the higher F1, then the lower lo, then the lower hi. Exact over all edge pairs
+    without forming them: edges are cut into ``fan`` runs, and a pair of runs stays open only
+    if its bounds allow a feasible band no worse than one already known. The runs of open
+    pairs are cut again, until a run is one edge.
     """
     edges = stored(band_edges(pairs), "edges")
     flag = lambda side, actual: F.count_if(F.col(f"{side}_flag") & (F.col("actual") if actual else ~F.col("actual")))
@@ -187,34 +190,39 @@ def choose_band(pairs: DataFrame, target: float = 0.95, blocks: int = 1000) -> D
     escalated = lambda n: share(F.lit(start["always"]) + n, total)
     enough = lambda tp: recall(tp) >= F.lit(target) * cloud_recall
 
-    count = edges.count()
-    per_block = -(-count // blocks)
-    cut = edges.withColumn("block", F.floor(F.col("idx") / F.lit(per_block)).cast("bigint"))
-    runs = cut.groupBy("block").agg(
-        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("tp").alias("tp_min"), F.max("tp").alias("tp_max"),
-        F.min_by(F.struct("n", "tp"), "idx").alias("first"),
-    )
-    last_block = (count - 1) // per_block
-    left = runs.select("*", F.explode(F.sequence("block", F.lit(last_block))).alias("hi_block"))
-    right = runs.select(*[F.col(c).alias(f"hi_{c}") for c in ("block", "n_min", "n_max", "tp_min", "tp_max", "first")])
-    bounded = left.join(right, "hi_block").select(
-        "block",
-        "hi_block",
-        escalated(F.greatest(F.col("hi_n_min") - F.col("n_max"), F.lit(0))).alias("best_case"),
-        enough(F.col("hi_tp_max") - F.col("tp_min")).alias("possible"),
-        # The first edges of two runs are a real band: a bound on the answer.
-        F.when(
-            (F.col("block") < F.col("hi_block")) & enough(F.col("hi_first.tp") - F.col("first.tp")),
-            escalated(F.col("hi_first.n") - F.col("first.n")),
-        ).alias("known"),
-    ).where("possible")
-    bounded = stored(bounded, "bounds")
+    size = 1
+    while size * fan < edges.count():
+        size *= fan
     # Sending everything to the cloud reaches its recall, so some band exists at 1.0.
-    known = bounded.agg(F.coalesce(F.min("known"), F.lit(1.0))).first()[0]
-    open_pairs = bounded.where(F.col("best_case") <= F.lit(known)).select("block", "hi_block")
-    lo = cut.select("block", *[F.col(c).alias(f"lo_{c}") for c in ("idx", "edge", "n", "tp", "fp")])
-    hi = cut.select(F.col("block").alias("hi_block"), *[F.col(c).alias(f"hi_{c}") for c in ("idx", "edge", "n", "tp", "fp")])
-    bands = open_pairs.join(lo, "block").join(hi, "hi_block").where("lo_idx < hi_idx")
+    known = 1.0
+    span = F.explode(F.sequence(F.lit(0), F.lit(fan - 1)))
+    open_pairs = pairs.sparkSession.range(fan).select(F.col("id").alias("lo_run")).select("lo_run", span.alias("hi_run"))
+    while True:
+        runs = edges.groupBy(F.floor(F.col("idx") / F.lit(size)).cast("bigint").alias("run")).agg(
+            F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("tp").alias("tp_min"), F.max("tp").alias("tp_max"),
+            F.min_by(F.struct("edge", "n", "tp", "fp"), "idx").alias("first"),
+        )
+        side = lambda s: runs.select(*[F.col(c).alias(f"{s}_{c}") for c in runs.columns])  # noqa: B023,E731
+        met = open_pairs.where("lo_run <= hi_run").join(side("lo"), "lo_run").join(side("hi"), "hi_run")
+        bounded = met.select(
+            "*",
+            escalated(F.greatest(F.col("hi_n_min") - F.col("lo_n_max"), F.lit(0))).alias("best_case"),
+            # The first edges of two runs are a real band: a bound on the answer.
+            F.when(
+                (F.col("lo_run") < F.col("hi_run")) & enough(F.col("hi_first.tp") - F.col("lo_first.tp")),
+                escalated(F.col("hi_first.n") - F.col("lo_first.n")),
+            ).alias("known"),
+        ).where(enough(F.col("hi_tp_max") - F.col("lo_tp_min")))
+        bounded = stored(bounded, "bounds")
+        known = min(known, bounded.agg(F.coalesce(F.min("known"), F.lit(1.0))).first()[0])
+        still = bounded.where(F.col("best_case") <= F.lit(known))
+        if size == 1:
+            break
+        size //= fan
+        child = lambda c: F.explode(F.sequence(F.col(c) * fan, F.col(c) * fan + fan - 1)).alias(c)
+        open_pairs = still.select(child("lo_run"), "hi_run").select("lo_run", child("hi_run"))
+    part = lambda s: [F.col(f"{s}_first.{c}").alias(f"{s}_{c}") for c in ("edge", "n", "tp", "fp")]
+    bands = still.where("lo_run < hi_run").select(*part("lo"), *part("hi"))
     d_tp, d_fp, d_n = (F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in ("tp", "fp", "n"))
     tp, fp = F.lit(start["tp0"]) + d_tp, F.lit(start["fp0"]) + d_fp
     score = round_half_up(f1(tp, fp, reverted - tp))

@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidemark.functions.stats import round_half_up
 from tidemark.operators.scan import running, sliced
@@ -25,20 +24,15 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str | Column, name: str
     return rows.groupBy(*keys, name).agg(F.count("*").alias("n"))
 
 
-def cumulated(hist: DataFrame, keys: Sequence[str], value: str, counts: dict[str, str], continuous: bool) -> DataFrame:
+def cumulated(hist: DataFrame, keys: Sequence[str], value: str, counts: dict[str, str]) -> DataFrame:
     """Add ``new`` = sum of ``count`` over smaller values of the same keys, per (new, count).
 
-    ``continuous`` says the distinct values may themselves be too many for one
-    task (unrounded doubles): the order is then cut into stored slices. Without
-    it the values are known to be few (whole seconds of a window, percentages).
+    Distinct values may themselves be too many for one task, so their order is cut into
+    stored slices.
     """
     sums = {new: ("sum", F.col(count)) for new, count in counts.items()}
-    if continuous:
-        cut = sliced(hist, *keys, value, name="__slice")
-        out = running(cut, keys=keys, bucket=F.col("__slice"), order=[F.col(value)], values=sums).drop("__slice")
-    else:
-        before = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        out = hist.select("*", *[F.sum(count).over(before).alias(new) for new, count in counts.items()])
+    cut = sliced(hist, *keys, value, name="__slice")
+    out = running(cut, keys=keys, bucket=F.col("__slice"), order=[F.col(value)], values=sums).drop("__slice")
     for new in counts:
         out = out.withColumn(new, F.coalesce(F.col(new), F.lit(0)))
     return out
@@ -49,7 +43,6 @@ def summarise_histogram(
     keys: Sequence[str],
     value: str = "value",
     points: dict[str, float] | None = None,
-    continuous: bool = False,
 ) -> DataFrame:
     """(keys, n, mean, percentiles, max) of a (keys, value, n) histogram."""
     points = points or STANDARD
@@ -58,7 +51,7 @@ def summarise_histogram(
         round_half_up(F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("__mean"),
         F.max(value).alias("__max"),
     )
-    ranked = cumulated(hist, keys, value, {"__below": "n"}, continuous)
+    ranked = cumulated(hist, keys, value, {"__below": "n"})
     if keys:
         both = ranked.join(totals, list(keys))
     else:
@@ -78,6 +71,5 @@ def summarise(
     keys: Sequence[str],
     value: str | Column,
     points: dict[str, float] | None = None,
-    continuous: bool = False,
 ) -> DataFrame:
-    return summarise_histogram(histogram(df, keys, value), keys, "value", points, continuous)
+    return summarise_histogram(histogram(df, keys, value), keys, "value", points)

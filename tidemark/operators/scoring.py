@@ -31,12 +31,11 @@ def base_rate(edits: DataFrame) -> DataFrame:
     return totals.select("set", "set_edits", *wilson_columns("base", F.col("set_reverted"), F.col("set_decided")))
 
 
-def grid(edits: DataFrame, runs: DataFrame, continuous_latency: bool = False) -> DataFrame:
+def grid(edits: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per (set, config). An edit without an answer counts as not flagged.
 
     ``edits`` is unique per (set, rev_id). Runs are narrowed to one row per answered
-    edit first; the last answer decides. Latencies are whole milliseconds, so their
-    histogram is short; say ``continuous_latency`` if they are not.
+    edit first; the last answer decides.
     """
     has_tokens = F.col("tokens_in").isNotNull() & F.col("tokens_out").isNotNull()
     answers = runs.groupBy("set", "config", "rev_id").agg(
@@ -68,7 +67,7 @@ def grid(edits: DataFrame, runs: DataFrame, continuous_latency: bool = False) ->
         .withColumn("fn", F.col("set_reverted") - F.col("tp"))
     )
     latency = summarise_histogram(
-        histogram(runs, ["set", "config"], "latency_ms"), ["set", "config"], "value", LATENCY_POINTS, continuous_latency
+        histogram(runs, ["set", "config"], "latency_ms"), ["set", "config"], "value", LATENCY_POINTS
     ).select("set", "config", *LATENCY_POINTS, F.col("max").alias("__slowest"))
     timed = counted.join(latency, ["set", "config"], "left")
     return timed.select(
@@ -136,7 +135,7 @@ def by_threshold(p: Column, status: Column, body: Column, threshold: float = 0.5
     return [
         (p >= threshold).alias("revert"),
         p.alias("p_revert"),
-        F.when(p.isNull(), F.concat(status, F.lit(": "), F.substring(body, 1, 200))).alias("invalid"),
+        F.when(p.isNull(), F.concat(status, F.lit(": "), body)).alias("invalid"),
     ]
 
 

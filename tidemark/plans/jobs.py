@@ -13,7 +13,7 @@ from tidemark.functions import change, text
 from tidemark.functions.trust import DEFAULT_POLICY
 from tidemark.operators import enrich, labels, parse, sampling, scoring
 from tidemark.operators.labels import LIVE, LabelRules
-from tidemark.session import scratch
+from tidemark.session import scratch, stored
 
 SEALED = "sealed"
 ANSWER_SCHEMA = "rev_id BIGINT, raw STRING, latency_ms DOUBLE, tokens_in BIGINT, tokens_out BIGINT, model_version STRING"
@@ -38,19 +38,31 @@ def edits_to_scored(raw: DataFrame, accounts: DataFrame, policy: str = DEFAULT_P
     return enrich.with_filter(enrich.attach_accounts(edits, accounts), policy)
 
 
-def filter_table(parsed: DataFrame, accounts: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
-    """One row per edit: the filter's inputs and its label code 1/0/gone."""
+def labelled_edits(parsed: DataFrame, accounts: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
+    """One row per edit: the filter's inputs and its label code 1/0/gone, NULL while its window is open."""
     edits = parse.last_by_key(parse.edits(parsed, rules.wiki), "rev_id", "offset")
-    enriched = enrich.attach_accounts(edits, accounts)
     found = labels.label_log(parsed, rules).select("rev_id", "label")
-    return enriched.join(found, "rev_id").withColumn("code", change.label_code(F.col("label")))
+    labelled = edits.join(found, "rev_id", "left")
+    code = F.when(F.col("label").isNotNull(), change.label_code(F.col("label")))
+    return enrich.attach_accounts(labelled, accounts).withColumn("code", code)
+
+
+def filter_table(parsed: DataFrame, accounts: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
+    """``labelled_edits`` of a log that covers every window; an edit without a label fails the job."""
+    missing = F.raise_error(F.concat(F.lit("no label for revision "), F.col("rev_id"))).cast("boolean")
+    return labelled_edits(parsed, accounts, rules).where(F.when(F.col("code").isNotNull(), F.lit(True)).otherwise(missing))
 
 
 def trade_off(parsed: DataFrame, accounts: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
-    """Flagship: per policy, the share of volume removed and of reverted edits lost."""
-    table = filter_table(parsed, accounts, rules)
-    known = table.withColumn("reverted", F.when(F.col("code") != "gone", F.col("code") == "1"))
-    return scoring.trade_off(enrich.per_policy(known), [])
+    """Flagship: per policy, the share of volume removed and of reverted edits lost.
+
+    Edits whose window is still open have no say in the shares; ``open_edits`` counts them.
+    """
+    columns = ["user_class", "account", "timestamp", "code"]
+    table = stored(labelled_edits(parsed, accounts, rules).select(*columns), "filter-table")
+    known = table.where(F.col("code").isNotNull()).withColumn("reverted", F.when(F.col("code") != "gone", F.col("code") == "1"))
+    waiting = table.agg(F.count_if(F.col("code").isNull())).scalar()
+    return scoring.trade_off(enrich.per_policy(known), []).withColumn("open_edits", waiting)
 
 
 def evaluation_set(parsed: DataFrame, accounts: DataFrame, name: str, n: int, seed: int, rules: LabelRules = LIVE) -> DataFrame:
@@ -84,7 +96,7 @@ def score_with(edits: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
         "__a.revert",
         "__a.p_revert",
         "__a.invalid",
-        F.substring("raw", 1, text.RAW_ANSWER_CHARS).alias("raw"),
+        "raw",
         F.floor(F.col("latency_ms") + 0.5).cast("double").alias("latency_ms"),
         "tokens_in",
         "tokens_out",
@@ -95,18 +107,13 @@ def score_with(edits: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
     )
 
 
-def resume(edits: DataFrame, runs: DataFrame, scorer: Scorer, request: Column, limit: int | None = None) -> DataFrame:
-    """The answers a run still lacks. A sealed set is scored once and never in part."""
+def resume(edits: DataFrame, runs: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
+    """The answers a run still lacks, all of them. A sealed set is scored once."""
     own = runs.where(F.col("config") == scorer.config)
     todo = scoring.unanswered(edits, own)
     sealed = edits.where(F.col("set") == SEALED)
-    if not sealed.isEmpty():
-        if limit is not None:
-            raise ValueError("a sealed set is not scored in part")
-        if scoring.unanswered(sealed, own).isEmpty():
-            raise ValueError(f"{scorer.config} is already scored on the sealed set")
-    if limit is not None:
-        todo = todo.orderBy("rev_id").limit(limit)
+    if not sealed.isEmpty() and scoring.unanswered(sealed, own).isEmpty():
+        raise ValueError(f"{scorer.config} is already scored on the sealed set")
     return score_with(todo, scorer, request)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # How far past the end of a replay window a topic must be read, since events
 # arrive slightly out of order.
 REPLAY_PADDING_SECONDS = 120
-SCORED_PARTITIONS = 6
 RAW_SCHEMA = "offset BIGINT, value STRING"
 
 
@@ -108,6 +107,6 @@ def keyed(df: DataFrame, key: str = "rev_id") -> DataFrame:
     return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def spread(df: DataFrame, key: str = "rev_id", partitions: int = SCORED_PARTITIONS) -> DataFrame:
-    """Spread a table over a fixed number of partitions by key."""
+def spread(df: DataFrame, partitions: int, key: str = "rev_id") -> DataFrame:
+    """Spread a table over as many partitions as the topic it goes to has, by key."""
     return df.repartition(partitions, key)

@@ -16,16 +16,6 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def widened(df: DataFrame, *by: str) -> DataFrame:
-    """Spread a table that has fewer input splits than there are cores.
-
-    Meant before CPU-heavy steps such as JSON parsing. A table of many files or row
-    groups is returned as it is, so nothing large is ever shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *by) if df.rdd.getNumPartitions() < cores else df
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """Quoted cells, doubled quotes, line breaks inside cells."""
     df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
@@ -77,13 +67,15 @@ def append_log(rows: DataFrame, path: str) -> None:
 def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, digest): content identity that ignores row order and file layout.
 
-    Each row becomes SHA-256 of its JSON; 60 bits of every digest are summed
-    exactly, so the sum combines before the shuffle at any table size.
+    Each row becomes SHA-256 of its JSON; all 256 bits are summed exactly, in parts of
+    32, so the sums combine before the shuffle at any table size. The digest is
+    the SHA-256 of the joined sums.
     """
     digest = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.select(part.alias("part")).agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum("part"), F.lit(0)).cast("string").alias("digest")
+    parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = [F.coalesce(F.sum(f"p{i}"), F.lit(0)).cast("string") for i in range(8)]
+    return df.select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).agg(
+        F.count("*").alias("rows"), F.sha2(F.concat_ws(",", *sums), 256).alias("digest")
     )
 
 

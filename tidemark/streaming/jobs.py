@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators import parse
 from tidemark.operators.audit import gap_runs, observed
 from tidemark.operators.labels import LIVE, LabelRules, timeline
+from tidemark.operators.scan import offset_bucket
 from tidemark.session import stored
 
 GRACE = "10 minutes"
@@ -181,19 +182,29 @@ def split_sink(stream: DataFrame, events_path: str, dead_path: str, checkpoint:
 
 
 def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "source_offset") -> StreamingQuery:
-    """Append only rows whose source offset the table does not hold yet.
+    """Append only rows whose source offset the table does not hold yet, one for each offset.
 
-    For tables also fed by replays, where a checkpoint alone does not know what exists.
+    For tables also fed by replays, where a checkpoint alone does not know what exists. The
+    table is partitioned by runs of offsets (``<key>_run``); a batch reads only the runs
+    that its own offsets fall into.
     """
+    run = f"{key}_run"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
+        fresh = stored(parse.first_by_key(batch, key, key).withColumn(run, offset_bucket(F.col(key))), "fresh")
+        lo, hi = fresh.agg(F.min(run), F.max(run)).first()
+        if lo is None:
+            return
         try:
-            seen = spark.read.parquet(path).select(key)
-        except AnalysisException:  # the table does not exist before the first batch
-            seen = None
-        fresh = batch if seen is None else batch.join(seen, key, "left_anti")
-        # Materialised first: the plan reads the table it appends to.
-        stored(fresh, "fresh").write.mode("append").parquet(path)
+            table = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            seen = table.where(F.col(run).between(lo, hi)).select(key)
+            # Materialised first: the plan reads the table it appends to.
+            fresh = stored(fresh.join(seen, key, "left_anti"), "fresh")
+        fresh.write.mode("append").partitionBy(run).parquet(path)
 
     return each_batch(stream, checkpoint, write)
