@@ -1,39 +1,72 @@
-"""Token ids by stretches between spaces, each encoded once per task and kept while room lasts.
+"""Token ids by stretches between spaces, each encoded once per worker and kept while room lasts.
 
-Both vocabularies used here cut a text before a space that follows something else, so such
-stretches have the same ids alone and in their text. Ids are kept as little-endian unsigned
+A vocabulary that cuts a text before a space that follows something else gives such
+stretches the same ids alone and in their text. Ids are kept as little-endian unsigned
 32-bit integers, so a text's ids are one join of bytes.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
-#: Entries after which the cache starts anew; an entry takes some 250 bytes.
-ENTRIES = 300_000
+#: Entries of a generation; two are kept, and an entry takes some 200 bytes.
+ENTRIES = 600_000
 #: A space whose left neighbour is no white space of any definition starts a stretch.
 _CUT = re.compile(r"(?<=\S)(?= )")
 _ODD = re.compile(r"(?:^|\s) ")
 
 
-def stretches(text: str) -> list[str]:
+def of_worker(key: tuple, make: Callable):
+    """What ``make`` gives, once for each Python worker: a worker outlives its tasks, their functions do not."""
+    home = sys.__dict__.setdefault("_tidemark_of_worker", {})
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
+def stretches(text: str) -> tuple[str, list[str]]:
+    """A text's first stretch, and the others without the space they start with."""
     if _ODD.search(text):
-        return _CUT.split(text)
+        first, *rest = _CUT.split(text)
+        return first, [r[1:] for r in rest]
     first, *rest = text.split(" ")
-    return [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
+    return first, rest
 
 
-class ChunkCache:
+class Known:
+    """Ids by string: those in use lately, and those before them. What is asked for again stays."""
+
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.known = encode, {}
+        self.encode, self.ids, self.earlier = encode, {}, {}
+
+    def learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """All of ``wanted``, and perhaps more."""
+        if len(self.ids) > ENTRIES:
+            self.ids, self.earlier = {}, self.ids
+        missing = wanted.difference(self.ids)
+        earlier = self.earlier
+        again = [w for w in missing if w in earlier]
+        self.ids.update(zip(again, map(earlier.__getitem__, again)))
+        new = list(missing.difference(again))
+        self.ids.update(zip(new, self.encode(new), strict=True))
+        return self.ids
+
+
+class ChunkCache:
+    """``encode`` gets stretches with the space they start with; ``lead`` puts one before each text that is not empty."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], lead: bool = False):
+        self.lead = lead
+        self.first = Known(encode)
+        self.spaced = Known(lambda words: encode([" " + w for w in words]))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; missing stretches of all texts are encoded together."""
-        if len(self.known) > ENTRIES:
-            self.known = {}
         cut = [stretches(t) for t in texts]
-        known = self.known
-        missing = list({s: None for parts in cut for s in parts if s not in known})
-        known.update(zip(missing, self.encode(missing), strict=True))
-        return [b"".join([known[s] for s in parts]) for parts in cut]
+        if self.lead:
+            cut = [("", [f, *r] if f or r else r) for f, r in cut]
+        first = self.first.learn({f for f, _ in cut})
+        spaced = self.spaced.learn(set().union(*(r for _, r in cut))).__getitem__
+        return [first[f] + b"".join(map(spaced, r)) for f, r in cut]
