@@ -9,6 +9,8 @@ from tidemark.catalog.sql import EVAL, RERUNS, RUNS, exact_avg, f1, query, r4, s
 from tidemark.functions import change
 from tidemark.functions.stats import round_half_up
 from tidemark.operators import calibration, drift, ladder, scoring
+from tidemark.session import scratch
+from tidemark.sources import tables
 
 Q: dict = {}
 
@@ -257,17 +259,29 @@ def drift_flips(spark, sf):
     return drift.flips(*drift_inputs(spark, sf))
 
 
-@register("drift_alert_log", query(f"{RERUNS}, {DRIFT}", f"SELECT config, unnest(string_split(alerts, ' | ')) AS alert FROM (SELECT config, {ALERTS} AS alerts FROM checks) WHERE alerts <> ''"))
+RUN_TIMES = ("2024-02-01 00:00:00", "2024-02-02 00:00:00")
+AT_SQL = f"CAST(epoch(CASE WHEN config < 'm' THEN TIMESTAMP '{RUN_TIMES[0]}' ELSE TIMESTAMP '{RUN_TIMES[1]}' END) AS BIGINT)"
+
+
+def logged(spark, sf, rows_of, name):
+    """Two checks of different configurations, each appended with its time, and the log read back."""
+    path = scratch(spark, name)
+    checks = drift.compare(*drift_inputs(spark, sf))
+    for at, part in zip(RUN_TIMES, ("config < 'm'", "config >= 'm'"), strict=True):
+        rows = rows_of(checks.where(part), F.lit(at).cast("timestamp"))
+        tables.append_log(rows, path)
+    return spark.read.schema(rows.schema).parquet(path).withColumn("at", F.unix_seconds("at"))
+
+
+@register("drift_alert_log", query(f"{RERUNS}, {DRIFT}", f"SELECT {AT_SQL} AS at, config, unnest(string_split(alerts, ' | ')) AS alert FROM (SELECT config, {ALERTS} AS alerts FROM checks) WHERE alerts <> ''"))
 def drift_alert_log(spark, sf):
-    """Alerts appended to their log table twice over two runs and read back."""
-    from tidemark.session import scratch
-    from tidemark.sources import tables
+    return logged(spark, sf, drift.alert_log, "alerts")
+
 
-    path = scratch(spark, "alerts")
-    alerts = drift.alert_log(drift.compare(*drift_inputs(spark, sf)))
-    tables.append_log(alerts.where("config < 'm'"), path)
-    tables.append_log(alerts.where("config >= 'm'"), path)
-    return spark.read.schema(alerts.schema).parquet(path)
+@register("drift_history", query(f"{RERUNS}, {DRIFT}", f"SELECT {AT_SQL} AS at, config, edits, agreement, {ALERTS} AS alerts FROM checks"))
+def drift_history(spark, sf):
+    rows = logged(spark, sf, drift.check_history, "history")
+    return rows.select("at", "config", "edits", "agreement", F.array_join("alerts", " | ").alias("alerts"))
 
 
 @register("degraded_runs", query(RUNS, """SELECT rev_id, CASE WHEN flip AND revert IS NOT NULL THEN NOT revert ELSE revert END AS revert, CASE WHEN flip AND revert IS NOT NULL THEN floor((1 - p_revert) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE p_revert END AS p_revert

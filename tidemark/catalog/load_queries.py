@@ -131,6 +131,8 @@ def feed_replica_correlation(spark, sf):
     "load_report",
     query(KEPT_MINUTES, f"""SELECT (SELECT {r4('(epoch(max(t)) - epoch(min(t))) / 3600.0')} FROM samples) AS hours_spanned, (SELECT count(*) FROM minutes) AS minutes_recorded, (SELECT min(replicas) FROM minutes) AS replicas_min, (SELECT max(replicas) FROM minutes) AS replicas_max,
   (SELECT start FROM ({window_sql(60)}) ORDER BY feed DESC, start LIMIT 1) AS busiest_hour, (SELECT start FROM ({window_sql(60)}) ORDER BY feed, start LIMIT 1) AS quietest_hour,
+  (SELECT start FROM ({window_sql(60)}) WHERE kept IS NOT NULL ORDER BY kept DESC, start LIMIT 1) AS busiest_kept_hour, (SELECT start FROM ({window_sql(60)}) WHERE kept IS NOT NULL ORDER BY kept, start LIMIT 1) AS quietest_kept_hour,
+  (SELECT CAST(floor(epoch(min(t))) AS BIGINT) FROM samples) AS from_s, (SELECT CAST(floor(epoch(max(t))) AS BIGINT) FROM samples) AS to_s,
   (SELECT {r4('corr(feed, replicas)')} FROM ({window_sql(30)})) AS feed_vs_replicas, (SELECT {r4('corr(kept, replicas)')} FROM ({window_sql(30)})) AS kept_vs_replicas"""),
 )
 def load_report(spark, sf):

@@ -153,12 +153,15 @@ def label_summary(labels: DataFrame) -> DataFrame:
 def decisions_for(labels: DataFrame, scored: DataFrame) -> DataFrame:
     """Decided labels with the first filter decision recorded for their revision.
 
+    A revision that was labelled again counts by its last label.
+
     The log of decisions is first cut to labelled revisions, then to one row each
     (it is at-least-once), then joined.
     """
-    wanted = scored.join(labels.select("rev_id"), "rev_id", "left_semi")
+    last = labels.groupBy("rev_id").agg(F.max_by(F.struct(*labels.columns), "source_offset").alias("l")).select("l.*")
+    wanted = scored.join(last.select("rev_id"), "rev_id", "left_semi")
     first = wanted.groupBy("rev_id").agg(F.min_by("filter", "offset").alias("filter"))
-    return labels.where(decided(F.col("label"))).join(first, "rev_id")
+    return last.where(decided(F.col("label"))).join(first, "rev_id")
 
 
 def live_trade_off(joined: DataFrame) -> DataFrame:

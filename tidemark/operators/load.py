@@ -14,6 +14,18 @@ from tidemark.operators.scan import running
 
 MAX_STEP_SECONDS = 180
 MINUTE = 60
+DAY = 86_400
+
+
+def _by_day(df: DataFrame, seconds: Column, margin: int) -> DataFrame:
+    """Deal a time series to days: ``__day``, and rows of the day before's last ``margin`` seconds as ``__context``.
+
+    A window that looks back no further than the margin finds all it needs in its day.
+    """
+    day = F.floor(seconds / F.lit(DAY)).cast("bigint")
+    near_end = seconds - day * DAY >= DAY - margin
+    dealt = df.withColumn("__day", F.explode(F.when(near_end, F.array(day, day + 1)).otherwise(F.array(day))))
+    return dealt.withColumn("__context", F.coalesce(F.col("__day") != day, F.lit(False)))
 
 
 def per_period(df: DataFrame, time: Column, seconds: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +76,8 @@ def rates(samples: DataFrame, source: Sequence[str] = ()) -> DataFrame:
     A step of zero, backwards, or over three minutes gives no point, and neither
     does a sample with a NULL. Samples are one row a minute per source.
     """
-    w = W.partitionBy(*source).orderBy("t")
+    w = W.partitionBy(*source, "__day").orderBy("t")
+    samples = _by_day(samples, F.unix_micros("t") / 1e6, MAX_STEP_SECONDS + 1)
     step = F.unix_micros("t") / 1e6 - F.unix_micros(F.lag("t").over(w)) / 1e6
     stepped = samples.withColumn("__step", step).withColumn("__last", F.lag("scored").over(w))
     good = (
@@ -75,7 +88,7 @@ def rates(samples: DataFrame, source: Sequence[str] = ()) -> DataFrame:
         & F.col("replicas").isNotNull()
         & F.col("classifier_lag").isNotNull()
     )
-    return stepped.where(good).select(
+    return stepped.where(good & ~F.col("__context")).select(
         *source,
         "t",
         ((F.col("scored") - F.col("__last")) * 60 / F.col("__step")).alias("feed"),
@@ -86,12 +99,11 @@ def rates(samples: DataFrame, source: Sequence[str] = ()) -> DataFrame:
 
 def sample_gaps(samples: DataFrame, source: Sequence[str] = ()) -> DataFrame:
     """Where the recording itself paused."""
-    w = W.partitionBy(*source).orderBy("t")
-    before = F.lag("t").over(w)
+    day = F.floor(F.unix_seconds("t") / F.lit(DAY)).cast("bigint")
     seconds = F.unix_micros("t") / 1e6 - F.unix_micros("__from") / 1e6
+    seen = running(samples.select(*source, "t"), keys=source, bucket=day, order=[F.col("t")], values={"__from": ("max", F.col("t"))})
     return (
-        samples.select(*source, "t", before.alias("__from"))
-        .where(seconds > MAX_STEP_SECONDS)
+        seen.where(seconds > MAX_STEP_SECONDS)
         .select(*source, F.col("__from").alias("gap_from"), F.col("t").alias("gap_to"), F.floor(seconds / 60 + 0.5).cast("bigint").alias("minutes"))
     )
 
@@ -104,19 +116,20 @@ def kept_per_minute(scored: DataFrame, time: str = "arrived") -> DataFrame:
     return rows.groupBy("t").agg(F.count("*").alias("all"), F.count_if("keep").alias("kept"))
 
 
-def attach_kept(minutes: DataFrame, per_minute: DataFrame, trailing: int = 5) -> DataFrame:
+def attach_kept(minutes: DataFrame, per_minute: DataFrame, trailing: int = 5, source: Sequence[str] = ()) -> DataFrame:
     """Mean kept rate of the ``trailing`` whole minutes before each point; silent minutes count as 0.
 
     Points and minute counts are merged into one series and read with a range frame.
     """
     minute = (F.floor(F.unix_seconds("t") / F.lit(MINUTE)) * MINUTE).cast("bigint")
-    points = minutes.select(minute.alias("m"), F.lit(None).cast("bigint").alias("kept"), F.struct(*minutes.columns).alias("p"))
+    points = minutes.select(*source, minute.alias("m"), F.lit(None).cast("bigint").alias("kept"), F.struct(*minutes.columns).alias("p"))
     counts = per_minute.select(
-        F.col("t").alias("m"), "kept", F.lit(None).cast(points.schema["p"].dataType).alias("p")
+        *source, F.col("t").alias("m"), "kept", F.lit(None).cast(points.schema["p"].dataType).alias("p")
     )
-    frame = W.orderBy("m").rangeBetween(-trailing * MINUTE, -MINUTE)
+    series = _by_day(points.unionByName(counts), F.col("m"), trailing * MINUTE)
+    frame = W.partitionBy(*source, "__day").orderBy("m").rangeBetween(-trailing * MINUTE, -MINUTE)
     mean = F.coalesce(F.sum("kept").over(frame), F.lit(0)) / trailing
-    return points.unionByName(counts).withColumn("kept", mean).where("p IS NOT NULL").select("p.*", "kept")
+    return series.withColumn("kept", mean).where("p IS NOT NULL AND NOT __context").select("p.*", "kept")
 
 
 def windows(minutes: DataFrame, size: int, coverage: float = 0.8) -> DataFrame:
@@ -136,29 +149,38 @@ def windows(minutes: DataFrame, size: int, coverage: float = 0.8) -> DataFrame:
 
 
 def load_report(samples: DataFrame, minutes: DataFrame, coverage: float = 0.8) -> DataFrame:
-    """One row: span, replica range, busiest and quietest hour, and correlations over half hours."""
+    """One row: span, replica range, busiest and quietest hours by feed and by kept edits, and correlations over half hours."""
     half, hour = windows(minutes, 30, coverage), windows(minutes, 60, coverage)
     busiest = hour.agg(
         F.max_by("start", F.struct("feed", (-F.col("start")).alias("s"))).alias("busiest_hour"),
         F.min_by("start", F.struct("feed", "start")).alias("quietest_hour"),
     )
+    parts = {}
+    if "kept" in minutes.columns:
+        parts["__kept"] = hour.where("kept IS NOT NULL").agg(
+            F.max_by("start", F.struct("kept", (-F.col("start")).alias("s"))).alias("busiest_kept_hour"),
+            F.min_by("start", F.struct("kept", "start")).alias("quietest_kept_hour"),
+        )
     figures = [pearson(F.col("feed"), F.col("replicas")).alias("feed_vs_replicas")]
     if "kept" in minutes.columns:
         figures.append(pearson(F.col("kept"), F.col("replicas")).alias("kept_vs_replicas"))
     together = half.agg(*figures)
     extent = samples.agg(
+        F.unix_seconds(F.min("t")).alias("from_s"),
+        F.unix_seconds(F.max("t")).alias("to_s"),
         round_half_up((F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 3.6e9).alias("hours_spanned")
     )
     span = minutes.agg(F.count("*").alias("minutes_recorded"), F.min("replicas").alias("replicas_min"), F.max("replicas").alias("replicas_max"))
     # One-row tables side by side, as scalar subqueries.
-    parts = {"__span": span, "__busiest": busiest, "__together": together}
+    parts |= {"__span": span, "__busiest": busiest, "__together": together}
     row = extent.select("*", *[df.select(F.struct("*")).scalar().alias(name) for name, df in parts.items()])
-    return row.select("hours_spanned", *[f"{name}.*" for name in parts])
+    return row.select("from_s", "to_s", "hours_spanned", *[f"{name}.*" for name in parts])
 
 
-def trailing_mean(minutes: DataFrame, value: str, points: int = 15, minutes_back: int = 15) -> DataFrame:
+def trailing_mean(minutes: DataFrame, value: str, points: int = 15, minutes_back: int = 15, source: Sequence[str] = ()) -> DataFrame:
     """Mean of the last ``points`` samples that are also within ``minutes_back`` of the row."""
-    w = W.orderBy("t").rowsBetween(-(points - 1), 0)
+    minutes = _by_day(minutes, F.unix_micros("t") / 1e6, minutes_back * MINUTE + 1)
+    w = W.partitionBy(*source, "__day").orderBy("t").rowsBetween(-(points - 1), 0)
     # At most ``points`` entries are held per row.
     recent = F.collect_list(F.struct(F.unix_micros("t").alias("t"), F.col(value).cast("double").alias("v"))).over(w)
     inside = F.filter("__recent", lambda e: e["t"] >= F.unix_micros("t") - minutes_back * 60_000_000)
@@ -166,7 +188,8 @@ def trailing_mean(minutes: DataFrame, value: str, points: int = 15, minutes_back
     return (
         minutes.withColumn("__recent", recent)
         .withColumn("trailing", total / F.size(inside))
-        .drop("__recent")
+        .where(~F.col("__context"))
+        .drop("__recent", "__day", "__context")
     )
 
 
