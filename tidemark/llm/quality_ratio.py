@@ -25,6 +25,8 @@ BUCKETS = 8_192
 SMOOTHING = 1.0
 #: Nats for each n-gram; an edit below it reads unlike the trusted ones.
 THRESHOLD = -0.30
+#: Labelled edits that the trusted multinomial is fitted on; more are thinned by a hash of their id.
+TRUSTED_LIMIT = 200_000
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
@@ -108,14 +110,26 @@ def base_counts(text: Column) -> Column:
     )
 
 
-def ratio_table(edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """(bucket, ratio) for every bucket that occurs, counted over all edits.
+def trusted_sample(trusted: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
+    """Distinct trusted ids, at most about ``limit`` of them, chosen by a hash of the id."""
+    ids = trusted.select(F.col("rev_id").cast("bigint").alias("rev_id")).where(F.col("rev_id").isNotNull()).distinct()
+    ids = stored(ids, "trusted-ids")
+    share = min(1.0, limit / max(1, ids.count()))
+    return ids.where(F.pmod(F.xxhash64("rev_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
 
-    ``trusted`` lists the ``rev_id`` of trusted edits; repeats and NULLs do no harm. A
-    bucket that occurs nowhere has no row, and no edit can ask for it.
+
+def ratio_table(
+    edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED_LIMIT
+) -> DataFrame:
+    """(bucket, ratio) for every bucket that occurs; the raw corpus is counted over all edits.
+
+    ``trusted`` lists the ``rev_id`` of trusted edits; repeats and NULLs do no harm. The
+    trusted multinomial is fitted on at most about ``limit`` of them, so their ids can be sent to
+    every task and no text moves. A bucket that occurs nowhere has no row, and no edit can
+    ask for it.
     """
-    mark = trusted.select(F.col("rev_id").cast("bigint").alias("rev_id")).where(F.col("rev_id").isNotNull()).distinct()
-    marked = edit_columns(edits).join(mark.withColumn("good", F.lit(1)), "rev_id", "left")
+    mark = F.broadcast(trusted_sample(trusted, limit).withColumn("good", F.lit(1)))
+    marked = edit_columns(edits).join(mark, "rev_id", "left")
     grams = marked.select("good", F.explode(ngram_buckets(F.col("diff"), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     counts = stored(counts, "gram-counts")
