@@ -1,5 +1,6 @@
 import itertools
 import random
+from dataclasses import replace
 
 import pandas as pd
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import DAY0, HOUR, MINUTE, edit, raw, tags, tick
 from tidemark.catalog import catalog
 from tidemark.functions import stats
-from tidemark.operators import audit, calibration, drift, ladder, load, parse, sampling, scoring
+from tidemark.operators import audit, calibration, drift, labels, ladder, load, parse, sampling, scoring
 from tidemark.plans import jobs
 from tidemark.sources import log, tables
 from tidemark.streaming import jobs as streaming
@@ -216,16 +217,31 @@ def test_resume_and_sealed_sets(spark):
         jobs.resume(sealed, full, Echo(), request)
 
 
-def test_streamed_state_labels_and_restart(spark, tmp_path):
-    events = [edit(DAY0, 1), edit(DAY0 + MINUTE, 2), tags(DAY0 + HOUR, 1), tick(DAY0 + 80 * HOUR), tick(DAY0 + 80 * HOUR + MINUTE)]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_labels_equal_batch_over_restarts(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    rules = replace(labels.LIVE, window_ms=2 * HOUR, outage_gap_ms=20 * MINUTE)
+    events, now = [], DAY0
+    for i in range(160):
+        now += rng.choice([30_000, 300_000, 900_000, 1_500_000 if rng.random() < 0.2 else 0])
+        at = now - rng.choice([0, 0, 60_000, 1_800_000 if rng.random() < 0.3 else 0])
+        kind, title = rng.random(), f"P{rng.randrange(6)}"
+        if kind < 0.5:
+            events.append(edit(at, i if rng.random() < 0.9 else max(0, i - 40), title=title))
+        elif kind < 0.75:
+            events.append(tags(at, rng.randrange(max(1, i - 12), i + 1)))
+        elif kind < 0.85:
+            events.append(edit(at, 0, type="log", log_type="delete", log_action="delete", title=title, revision={"new": 0}))
+        else:
+            events.append(tick(at))
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     log_df = raw(spark, events)
-    for lo, hi in ((0, 2), (3, 3), (4, 4)):
-        log_df.where(F.col("offset").between(lo, hi)).coalesce(1).write.mode("append").json(src)
-        stream = streaming.label_with_state(parse.parse(log.stream_files(spark, src, log.RAW_SCHEMA)))
-        streaming.to_table(stream, out, state).awaitTermination()
-    got = {r["rev_id"]: r["label"] for r in spark.read.parquet(out).collect()}
-    assert got == {1: "reverted", 2: "not-reverted"} and spark.read.parquet(out).count() == 2
+    for lo in range(0, 160, 40):
+        log_df.where(F.col("offset").between(lo, lo + 39)).coalesce(1).write.mode("append").json(src)
+        streaming.label_stream(log.stream_files(spark, src, log.RAW_SCHEMA), out, state, rules).awaitTermination()
+    got = sorted(map(tuple, streaming.read_labels(spark, out).select("source_offset", "rev_id", "label", "reverted_at").collect()))
+    want = sorted(map(tuple, labels.label_log(parse.parse(log_df), rules).select("source_offset", "rev_id", "label", "reverted_at").collect()))
+    assert got == want and len({r[2] for r in want}) >= 3
 
 
 def test_catalog_is_consistent():

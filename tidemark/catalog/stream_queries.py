@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
-from tidemark.catalog.label_queries import RULES
-from tidemark.catalog.sql import FACTS, LOG, labels as label_sql, query
+from tidemark.catalog.label_queries import LONG_SQL, RULES, SHORT, SHORT_SQL
+from tidemark.catalog.sql import FACTS, LOG, query
 from tidemark.operators import audit, parse
-from tidemark.operators.labels import HOUR_MS
 from tidemark.operators.scan import offset_bucket
-from tidemark.session import configure, scratch
+from tidemark.session import configure, scratch, stored
 from tidemark.sources import log
 from tidemark.streaming import jobs
 
@@ -34,18 +33,20 @@ def event_stream(spark, sf):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed_log(spark, sf, parts: int = 4):
+def landed_log(spark, sf, parts: int = 4, files: int = 4):
     """The raw log landed part by part as JSON files, then read as a stream of one part per micro-batch.
 
-    File streams read by modification time, so the parts are written one after another.
+    The log is rendered once. File streams read by modification time, so the parts are
+    written one after another, each as the same number of files.
     """
     folder = scratch(spark, "landed")
-    raw = b.raw_log(spark, sf).select("offset", "value")
     last = b.load(spark, sf, "events").agg(F.max("event_id")).scalar()
+    piece = F.least(F.floor(F.col("offset") * parts * files / (last + 1)), F.lit(parts * files - 1)).cast("int")
+    raw = stored(b.raw_log(spark, sf).select("offset", "value").withColumn("piece", piece), "rendered")
     for part in range(parts):
-        here = F.least(F.floor(F.col("offset") * parts / (last + 1)), F.lit(parts - 1)) == part
-        raw.where(here).coalesce(1).write.mode("append").json(folder)
-    return log.stream_files(spark, folder, log.RAW_SCHEMA)
+        rows = raw.where(F.floor(F.col("piece") / files) == part)
+        rows.repartitionById(files, F.col("piece") % files).drop("piece").write.mode("append").json(folder)
+    return log.stream_files(spark, folder, log.RAW_SCHEMA, per_batch=files)
 
 
 def run(stream, name):
@@ -107,32 +108,25 @@ def stream_resumed_counts(spark, sf):
     return audit.exactly_once(spark.read.parquet(out).select("offset"), 0, end)
 
 
-# No outages: they are marked in batch from the minute counts.
-STREAM_LABELS = label_sql(10**15)
+def streamed_labels(spark, sf, rules):
+    folder = scratch(spark, "labels")
+    jobs.label_stream(landed_log(spark, sf), folder, scratch(spark, "labels-state"), rules).awaitTermination()
+    rows = jobs.read_labels(spark, folder)
+    return rows.select("rev_id", F.unix_millis("edit_time").alias("edit_ms"), "label", F.unix_millis("reverted_at").alias("tag_ms"))
 
 
-@register(
-    "stream_labels_by_joins",
-    query(f"{LOG}, {STREAM_LABELS}", "SELECT rev_id, edit_ms, label, tag_ms FROM labels_ WHERE edit_ms <= (SELECT max(dt_ms) FROM log) - 2 * 259200000 - 7200000"),
-)
-def stream_labels_by_joins(spark, sf):
-    """Two chained outer stream joins; only windows that the log itself closes are compared."""
-    stream = landed_log(spark, sf)
-    rows = run(jobs.label_by_joins(parse.parse(stream), RULES), "joined")
-    last = parse.readable(b.parsed_log(spark, sf)).agg(F.unix_millis(F.max("dt"))).scalar()
-    final = last - 2 * RULES.window_ms - 2 * HOUR_MS
-    return rows.where(F.col("edit_ms") <= final).select("rev_id", "edit_ms", "label", "tag_ms")
+STREAMED = "SELECT rev_id, edit_ms, label, CASE WHEN label = 'reverted' THEN tag_ms END AS tag_ms FROM labels_"
 
 
-@register(
-    "stream_labels_with_state",
-    query(f"{LOG}, {STREAM_LABELS}", """SELECT rev_id, edit_ms, CASE WHEN tag_ms IS NULL THEN 'not-reverted' ELSE 'reverted' END AS label, tag_ms FROM labels_"""),
-)
-def stream_labels_with_state(spark, sf):
-    """Keyed state with event-time timers."""
-    rows = run(jobs.label_with_state(parse.parse(landed_log(spark, sf)), RULES), "stateful")
-    closed = parse.readable(b.parsed_log(spark, sf)).agg(F.unix_millis(F.max("dt")) - RULES.window_ms - RULES.grace_ms).scalar()
-    return rows.where(F.col("edit_ms") <= closed).select("rev_id", "edit_ms", "label", "tag_ms")
+@register("stream_labels_72h", query(f"{LOG}, {LONG_SQL}", STREAMED))
+def stream_labels_72h(spark, sf):
+    """All four labels as windows close over several micro-batches, outages included."""
+    return streamed_labels(spark, sf, RULES)
+
+
+@register("stream_labels_2h", query(f"{LOG}, {SHORT_SQL}", STREAMED))
+def stream_labels_2h(spark, sf):
+    return streamed_labels(spark, sf, SHORT)
 
 
 @register(

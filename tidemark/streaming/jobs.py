@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import parse
-from tidemark.operators.audit import gap_runs, observed
-from tidemark.operators.labels import LIVE, LabelRules, timeline
+from tidemark.operators.audit import gap_runs
+from tidemark.operators.labels import LIVE, LabelRules, label, timeline, with_event_time
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import stored
 
@@ -34,102 +32,57 @@ def counts(stream: DataFrame, time: str, width: str, delay: str = GRACE, slide:
     )
 
 
-def _timed_by_all(stream: DataFrame, time: str, delay: str, name: str) -> DataFrame:
-    """Let every event move the watermark, also those a later filter drops.
-
-    Filters are pushed below a watermark but not below observed metrics, which
-    count the feed as well.
-    """
-    return observed(stream.withWatermark(time, delay), name)
+TIMELINE = "offset BIGINT, dt BIGINT, kind STRING, rev_id BIGINT, title STRING, edit_ms BIGINT"
 
 
-def label_by_joins(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
-    """Labels as two stream-stream outer joins, then the earliest hit per edit.
+def label_stream(stream: DataFrame, folder: str, checkpoint: str, rules: LabelRules = LIVE) -> StreamingQuery:
+    """Label the edits of a raw log as their windows close, exactly as the batch form does.
 
-    The second join waits for the first, so a label is final two windows after its
-    edit. Outages come from the all-events counts (``missing_minutes``), in batch.
+    Micro-batches must come in log order. Each one is cut down to the narrow timeline and
+    labelled together with the open end of the log: everything from the first edit that still
+    waits, and one row for what lies before it (the event time reached and the latest edit
+    time). Labels leave in log order, so nothing before that edit is needed again. Results go to
+    ``folder/labels``, the open end to ``folder/open``, each in a folder of its batch that a
+    retry replaces.
     """
-    window = f"INTERVAL {rules.window_ms // 1000} SECONDS"
-    grace = f"{rules.grace_ms // 1000} seconds"
-    slack = f"INTERVAL {rules.grace_ms // 1000} SECONDS"
-    # Rows without an event time cannot be placed in a window.
-    base = timeline(parsed, rules)
-    edits = _timed_by_all(
-        base.select("kind", "rev_id", "title", "offset", F.timestamp_millis(F.coalesce("edit_ms", "dt")).alias("edit_time")),
-        "edit_time", grace, "edit_feed",
-    ).where("kind = 'edit'").drop("kind")
-    tags = _timed_by_all(
-        base.select("kind", F.col("rev_id").alias("tag_rev"), F.col("offset").alias("tag_offset"), F.timestamp_millis("dt").alias("tag_time")),
-        "tag_time", grace, "tag_feed",
-    ).where("kind = 'revert'").drop("kind")
-    drops = _timed_by_all(
-        base.select("kind", F.col("title").alias("drop_title"), F.col("offset").alias("drop_offset"), F.timestamp_millis("dt").alias("drop_time")),
-        "drop_time", grace, "deletion_feed",
-    ).where("kind = 'deletion'").drop("kind")
-    tagged = edits.join(
-        tags,
-        F.expr(f"rev_id = tag_rev AND tag_offset > offset AND tag_time >= edit_time - {slack} AND tag_time <= edit_time + {window}"),
-        "leftOuter",
-    ).withColumn("tag_ms", F.unix_millis("tag_time")).drop("tag_time", "tag_rev", "tag_offset")
-    dropped = tagged.join(
-        drops,
-        F.expr(f"title = drop_title AND drop_offset > offset AND drop_time >= edit_time - {slack} AND drop_time <= edit_time + {window}"),
-        "leftOuter",
-    ).withColumn("drop_ms", F.unix_millis("drop_time")).drop("drop_time", "drop_title", "drop_offset")
-    # Only the window may carry event time into the aggregate.
-    timed = dropped.withColumn("edit_ms", F.unix_millis("edit_time"))
-    first = timed.groupBy(F.window("edit_time", "1 minute"), "rev_id", "title", "edit_ms").agg(
-        F.min("offset").alias("source_offset"), F.min("tag_ms").alias("tag_ms"), F.min("drop_ms").alias("drop_ms")
-    )
-    return first.select(
-        "rev_id",
-        "title",
-        "edit_ms",
-        F.when(F.col("tag_ms").isNotNull(), "reverted").when(F.col("drop_ms").isNotNull(), "deleted").otherwise("not-reverted").alias("label"),
-        "tag_ms",
-        "source_offset",
-    )
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark: SparkSession = batch.sparkSession
+        events = timeline(parse.parse(batch), rules).select(*[c.split()[0] for c in TIMELINE.split(", ")])
+        if batch_id:
+            events = events.unionByName(spark.read.schema(TIMELINE).parquet(f"{folder}/open/batch={batch_id - 1}"))
+        events = stored(events, "stream-timeline")
+        found = label(events, rules).withColumn("rev_run", offset_bucket(F.col("rev_id")))
+        done = earlier_labels(spark, folder, batch_id, found)
+        found.join(done, "rev_id", "left_anti").write.mode("overwrite").partitionBy("rev_run").parquet(f"{folder}/labels/batch={batch_id}")
+        last = events.agg(F.max("dt")).scalar()
+        waiting = with_event_time(events, rules).where((F.col("kind") == "edit") & (last < F.col("due_ms") + rules.window_ms + rules.grace_ms))
+        start = waiting.agg(F.min("offset")).first()[0]
+        ahead = F.lit(True) if start is None else F.col("offset") < start
+        before = events.where(ahead).agg(F.max("offset").alias("offset"), F.max("dt").alias("dt"), F.max("edit_ms").alias("edit_ms"))
+        carried = before.where(F.col("dt").isNotNull()).select(
+            "offset", "dt", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("rev_id"), F.lit("").alias("title"), "edit_ms"
+        )
+        events.where(~ahead).unionByName(carried).write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
+
+    return each_batch(stream, checkpoint, write)
 
-LABEL_STATE = "edit_ms BIGINT, source_offset BIGINT, tag_ms BIGINT"
-LABEL_ROWS = "rev_id BIGINT, edit_ms BIGINT, label STRING, tag_ms BIGINT, source_offset BIGINT"
 
+def earlier_labels(spark: SparkSession, folder: str, batch_id: int, found: DataFrame) -> DataFrame:
+    """Revisions labelled by earlier batches, from the runs of revisions that ``found`` falls into.
 
-def label_with_state(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
-    """Reverted or not per edit, from keyed state with an event-time timer at the end of its window."""
-    window, grace = rules.window_ms, rules.grace_ms
+    A revision that occurs again is labelled once.
+    """
+    lo, hi = found.agg(F.min("rev_run"), F.max("rev_run")).first()
+    if lo is None or not batch_id:
+        return spark.createDataFrame([], "rev_id BIGINT")
+    known = spark.read.schema("rev_id BIGINT, batch BIGINT, rev_run BIGINT").parquet(f"{folder}/labels")
+    return known.where((F.col("batch") < batch_id) & F.col("rev_run").between(lo, hi)).select("rev_id")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            edit_ms, offset, tag_ms = state.get
-            inside = tag_ms >= 0 and tag_ms <= edit_ms + window
-            state.remove()
-            yield pd.DataFrame(
-                {
-                    "rev_id": [key[0]], "edit_ms": [edit_ms], "label": ["reverted" if inside else "not-reverted"],
-                    "tag_ms": [tag_ms if inside else -1], "source_offset": [offset],
-                }
-            )
-            return
-        rows = pd.concat(list(batches)).sort_values("offset")
-        current = state.get if state.exists else None
-        for kind, offset, dt, edit_ms in rows[["kind", "offset", "dt", "edit_ms"]].itertuples(index=False):
-            if kind == "edit" and current is None:
-                current = (int(edit_ms), int(offset), -1)
-            elif kind == "revert" and current is not None and current[2] < 0:
-                current = (current[0], current[1], int(dt))
-        if current is not None:
-            state.update(current)
-            state.setTimeoutTimestamp(max(current[0] + window + grace, state.getCurrentWatermarkMs() + 1))
-
-    events = timeline(parsed, rules).select(
-        "rev_id", "kind", "offset", "dt", "edit_ms", F.timestamp_millis("dt").alias("event_time")
-    )
-    facts = _timed_by_all(events, "event_time", "0 seconds", "label_feed").where("kind IN ('edit', 'revert')")
-    rows = facts.groupBy("rev_id").applyInPandasWithState(
-        step, LABEL_ROWS, LABEL_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return rows.withColumn("tag_ms", F.when(F.col("tag_ms") >= 0, F.col("tag_ms")))
+
+def read_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels written so far."""
+    return spark.read.parquet(f"{folder}/labels").drop("batch", "rev_run")
 
 
 def missing_minutes(per_minute: DataFrame, seconds: int = 60) -> DataFrame:
