@@ -53,7 +53,8 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = catalog()
-    spark.read.parquet(f"{folder}/events.parquet").count()
+    # The first parse of a session compiles; it is not what the figures are about.
+    queries["edits_parsed"][0](spark, folder).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in HEADLINE:
         start = time.perf_counter()

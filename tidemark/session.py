@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SCRATCH = "tidemark-scratch"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -17,25 +17,29 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder of its own.
-    """
+    """The folder all executors can reach: the one the cluster names, else one in the warehouse."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
     if root is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tidemark-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{SCRATCH}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for one intermediate table, below this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{SCRATCH}-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
