@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DAY0, HOUR, MINUTE, edit, raw, tags, tick
+import bench
 from tidemark.catalog import catalog
 from tidemark.functions import stats
 from tidemark.operators import audit, calibration, drift, labels, ladder, load, parse, sampling, scoring
@@ -250,11 +251,34 @@ def test_catalog_is_consistent():
     assert all(callable(fn) for fn, _ in entries.values())
 
 
-@pytest.mark.parametrize("name", ["dead_letters", "edits_with_accounts", "drift_checks", "score_grid", "exactly_once_audit", "next_error_after_purchase"])
-def test_plans_have_no_cross_joins_or_single_task_sorts(spark, name):
+def single_task_windows(plan):
+    """Windows fed by one task, but for those over one row per bucket of a running value."""
+    lines = [x.strip(" +-:*()0123456789") for x in plan.split("\n")]
+    found = []
+    for i, line in enumerate(lines):
+        if line.startswith(("Window", "WindowGroupLimit")) and any("Exchange SinglePartition" in x for x in lines[i + 1 : i + 4]) and "__bucket" not in line:
+            found.append(line[:200])
+    return found
+
+
+@pytest.mark.parametrize("name", [n for n in bench.HEADLINE if not n.startswith("stream_")] + ["feed_per_minute", "recording_gaps", "trailing_kept_rate", "trailing_15_point_mean", "load_report", "routing_headline"])
+def test_plans_have_no_cross_joins_or_single_task_windows(spark, name):
     fn, _ = catalog()[name]
     plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert single_task_windows(plan) == []
+
+
+def test_scores_are_appended_once_and_whole(spark, tmp_path):
+    path, long_raw = str(tmp_path / "runs"), '{"revert": true, "p_revert": 0.75, "reason": "' + "r" * 9000 + '"}'
+    e = edits(spark, [(i, "reverted") for i in range(6)])
+    given = spark.createDataFrame([(i, long_raw, 1.0, 1, 1, "v") for i in range(5)], jobs.ANSWER_SCHEMA)
+    score = lambda todo: jobs.score_from(todo, given, "m__p1")
+    jobs.score_into(e.where("rev_id < 3"), path, "m__p1", score)
+    done = jobs.score_into(e, path, "m__p1", score)
+    assert sorted((r["rev_id"], r["revert"], r["raw"] == long_raw) for r in done.collect()) == [(i, True, True) for i in range(5)]
+    # The edit without an answer is asked for again, the others are not.
+    assert jobs.score_into(e, path, "m__p1", score).count() == 5
 
 
 def test_share_of_nothing_is_null(spark):

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
 from tidemark.catalog.label_queries import LONG_SQL, RULES, SHORT, SHORT_SQL
-from tidemark.catalog.sql import FACTS, LOG, query
-from tidemark.operators import audit, parse
+from tidemark.catalog.sql import ACCOUNTS, FACTS, LOG, query
+from tidemark.operators import audit, enrich, parse
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import configure, scratch, stored
 from tidemark.sources import log
@@ -86,6 +86,15 @@ def stream_edits(spark, sf):
     return run(edits.select("rev_id", "title", "user_class", "timestamp"), "edits")
 
 
+@register("stream_edits_with_accounts", query(f"{LOG}, {ACCOUNTS}", "SELECT rev_id, user_class, found, CAST(epoch(registration) AS BIGINT) AS registered_s, editcount, CASE WHEN found THEN true END AS dated FROM enriched"))
+def stream_edits_with_accounts(spark, sf):
+    """Accounts joined as a static table while edits stream in, stored with the time of what was seen."""
+    edits = enrich.attach_accounts(parse.edits(parse.parse(landed_log(spark, sf))), b.accounts(spark, sf))
+    a = F.col("account")
+    rows = edits.select("rev_id", "user_class", a.isNotNull().alias("found"), F.unix_seconds(a["registration"]).alias("registered_s"), a["editcount"].alias("editcount"), "account_as_of")
+    return run(rows, "enriched").select("rev_id", "user_class", "found", "registered_s", "editcount", F.when(F.col("account_as_of").isNotNull(), True).alias("dated"))
+
+
 @register("stream_dead_letters", query(FACTS, "SELECT CASE WHEN state = 'ok' THEN 'readable' ELSE 'dead' END AS sink, count(*) AS n FROM facts GROUP BY 1"))
 def stream_dead_letters(spark, sf):
     """One parse, two sinks, written per batch."""

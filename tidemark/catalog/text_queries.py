@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
 from tidemark.catalog.sql import PAIRS, query
 from tidemark.functions import text
 from tidemark.plans import jobs
+from tidemark.session import scratch
 
 Q: dict = {}
 
@@ -135,35 +135,33 @@ def parsed_answers(spark, sf):
     return answers(spark, sf).select("rev_id", text.parse_answer(F.col("raw")).alias("a")).select("rev_id", "a.*")
 
 
-class LengthScorer:
-    """Stands for an external model: one client per partition, answers batches, may skip rows."""
+CONFIG = "stored__plain"
 
-    config = "length__p1-plain"
 
-    def open(self):
-        def ask(batch: pd.DataFrame) -> pd.DataFrame:
-            size = batch["user"].str.len()
-            p = (size % 100) / 100
-            raw = ['{"revert": %s, "p_revert": %.2f}' % ("true" if x >= 0.5 else "false", x) for x in p]
-            out = pd.DataFrame(
-                {"rev_id": batch["rev_id"], "raw": raw, "latency_ms": size.astype("float64"), "tokens_in": size // 4, "tokens_out": 12, "model_version": "length@1"}
-            )
-            # A failed call leaves no row; the next run asks again.
-            return out[batch["rev_id"] % 17 != 0]
+def stored_answers(spark, sf):
+    """What a model answered, with what it cost."""
+    n = F.col("rev_id")
+    return answers(spark, sf).select(
+        "rev_id", "raw", (n % 700 + 0.5).cast("double").alias("latency_ms"), (n % 90).alias("tokens_in"), F.lit(12).cast("bigint").alias("tokens_out"), F.lit("s@1").alias("model_version")
+    )
+
 
-        return ask
+ANSWERED = """SELECT n AS rev_id, CASE WHEN n % 8 IN (0, 4, 7) THEN n % 2 = 0 WHEN n % 8 = 5 THEN true END AS revert, CASE WHEN n % 8 IN (0, 4, 7) THEN (n % 101)::DOUBLE / 100 WHEN n % 8 = 5 THEN 1.0::DOUBLE END AS p_revert,
+  CASE WHEN n % 8 = 1 THEN 'not JSON' WHEN n % 8 IN (2, 3, 6) THEN 'wrong shape' END AS invalid, (n % 700 + 1)::DOUBLE AS latency_ms, n % 90 AS tokens_in FROM (SELECT conv_id * 100 + turn AS n FROM turn_pairs)"""
 
 
-@register("scored_by_model", query(EDITS, """SELECT rev_id, (m % 100)::DOUBLE / 100 >= 0.5 AS revert, (m % 100)::DOUBLE / 100 AS p_revert, m::DOUBLE AS latency_ms, m // 4 AS tokens_in FROM (SELECT rev_id, length('Here it is.' || chr(10) || regexp_replace(body, '\\s+$', '')) AS m FROM rendered) WHERE rev_id % 17 <> 0"""))
+@register("scored_by_model", query(PAIRS, ANSWERED))
 def scored_by_model(spark, sf):
-    request = text.request(REQUEST_FILE, text.render_edit())
-    rows = jobs.score_with(edit_features(spark, sf), LengthScorer(), request)
-    return rows.select("rev_id", "revert", "p_revert", "latency_ms", "tokens_in")
+    """Stored answers of a model onto the edits they belong to."""
+    rows = jobs.score_from(edit_features(spark, sf), stored_answers(spark, sf), CONFIG)
+    return rows.select("rev_id", "revert", "p_revert", "invalid", "latency_ms", "tokens_in")
 
 
-@register("resumed_scoring", query(EDITS, """SELECT rev_id FROM rendered WHERE rev_id % 17 <> 0 AND rev_id % 2 = 1"""))
+@register("resumed_scoring", query(PAIRS, ANSWERED))
 def resumed_scoring(spark, sf):
-    """Half of the edits are answered already; only the others are asked."""
-    edits = edit_features(spark, sf)
-    done = edits.where("rev_id % 2 = 0").select("set", "rev_id", F.lit(LengthScorer.config).alias("config"))
-    return jobs.resume(edits, done, LengthScorer(), text.request(REQUEST_FILE, text.render_edit())).select("rev_id")
+    """A run that stopped after a part of the edits, run again to its end; every edit has one row."""
+    path, edits, given = scratch(spark, "runs"), edit_features(spark, sf), stored_answers(spark, sf)
+    score = lambda todo: jobs.score_from(todo, given, CONFIG)
+    jobs.score_into(edits.where("rev_id % 2 = 0"), path, CONFIG, score)
+    runs = jobs.score_into(edits, path, CONFIG, score)
+    return runs.select("rev_id", "revert", "p_revert", "invalid", "latency_ms", "tokens_in")

@@ -14,6 +14,7 @@ from tidemark.functions.trust import DEFAULT_POLICY
 from tidemark.operators import enrich, labels, parse, sampling, scoring
 from tidemark.operators.labels import LIVE, LabelRules
 from tidemark.session import scratch, stored
+from tidemark.sources.tables import append_runs, read_or_no_runs, read_runs
 
 SEALED = "sealed"
 ANSWER_SCHEMA = "rev_id BIGINT, raw STRING, latency_ms DOUBLE, tokens_in BIGINT, tokens_out BIGINT, model_version STRING"
@@ -89,9 +90,19 @@ def score_with(edits: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
             out = ask(batch)
             yield out.merge(batch[["rev_id", "set"]], on="rev_id")
 
-    answers = asked.mapInPandas(answer, ANSWER_SCHEMA + ", `set` STRING")
-    parsed = text.parse_answer(F.col("raw"))
-    return answers.withColumn("__a", parsed).select(
+    return _read_answers(asked.mapInPandas(answer, ANSWER_SCHEMA + ", `set` STRING"), scorer.config)
+
+
+def score_from(edits: DataFrame, answers: DataFrame, config: str) -> DataFrame:
+    """Answers that were given elsewhere and stored, read like a scorer's own; an edit without one gets no row.
+
+    ``answers`` has the columns of ``ANSWER_SCHEMA``.
+    """
+    return _read_answers(edits.select("set", "rev_id").join(answers, "rev_id"), config)
+
+
+def _read_answers(answers: DataFrame, config: str) -> DataFrame:
+    return answers.withColumn("__a", text.parse_answer(F.col("raw"))).select(
         "rev_id",
         "__a.revert",
         "__a.p_revert",
@@ -103,18 +114,35 @@ def score_with(edits: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
         "model_version",
         F.current_timestamp().alias("at"),
         "set",
-        F.lit(scorer.config).alias("config"),
+        F.lit(config).alias("config"),
     )
 
 
-def resume(edits: DataFrame, runs: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
-    """The answers a run still lacks, all of them. A sealed set is scored once."""
-    own = runs.where(F.col("config") == scorer.config)
-    todo = scoring.unanswered(edits, own)
+def pending(edits: DataFrame, runs: DataFrame, config: str) -> DataFrame:
+    """The edits a configuration has no row for yet. A sealed set is scored once."""
+    own = runs.where(F.col("config") == config)
     sealed = edits.where(F.col("set") == SEALED)
     if not sealed.isEmpty() and scoring.unanswered(sealed, own).isEmpty():
-        raise ValueError(f"{scorer.config} is already scored on the sealed set")
-    return score_with(todo, scorer, request)
+        raise ValueError(f"{config} is already scored on the sealed set")
+    return scoring.unanswered(edits, own)
+
+
+def resume(edits: DataFrame, runs: DataFrame, scorer: Scorer, request: Column) -> DataFrame:
+    """The answers a run still lacks, all of them."""
+    return score_with(pending(edits, runs, scorer.config), scorer, request)
+
+
+def score_into(edits: DataFrame, path: str, config: str, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Append to the run table at ``path`` what ``config`` lacks there, and return the table.
+
+    ``score`` turns edits into run rows. After a failure the job is run again: rows that
+    were appended are not asked for a second time.
+    """
+    spark = edits.sparkSession
+    # Stored first: the plan reads the table it appends to.
+    rows = stored(score(pending(edits, read_or_no_runs(spark, path), config)), "answers")
+    append_runs(rows, path)
+    return read_runs(spark, path)
 
 
 def through_table(df: DataFrame, name: str, write: Callable[[DataFrame, str], None], read: Callable) -> DataFrame:

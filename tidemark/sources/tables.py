@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,16 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(path)
 
 
+def read_or_no_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run table, empty where nothing was appended yet."""
+    try:
+        return read_runs(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RUN_SCHEMA)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """History and alert logs only grow."""
     rows.write.mode("append").parquet(path)
