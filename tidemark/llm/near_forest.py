@@ -4,22 +4,26 @@ An edit's set is its distinct shingles of five words; edits with equal sets are
 from here on. A node's MinHash signature is read by several trees, each in an order of its own;
 sorting the nodes by a tree's reading puts those with the longest common prefix side by side.
 
-1. Neighbours in the first sorted order that share a prefix of the floor depth are
+1. Neighbours in the first sorted orders that share a prefix of the floor depth are
    confirmed on full sets, and confirmed links are joined to components. A group of near
-   copies is mostly one component after that, from as many links as it has nodes.
+   copies is mostly one component after that, from a few links for each node.
 2. In every tree, the nodes that share a prefix of the floor depth are a region. A region inside
-   one component is done. In the others, nodes of different components are
-   compared by signature, and close ones confirmed on full sets. A region with too many
-   such comparisons is read one level deeper first, and again, so that depth adapts to how
-   crowded a region is; at the deepest level all are made.
-
-Pairs inside a component are never formed. Two nodes at the similarity bound share a region
-in at least one of ``TREES`` trees with probability 1 - (1 - 0.75^4)^32, over 0.999994.
+   one component is done. In the others, nodes outside the largest component are compared with
+   the rest by signature, a pair in the first tree only where it meets. A region with too many such
+   comparisons is crowded: it is read deeper first, and pairs in it still meet in other trees.
+   Depth so adapts to each region; at the deepest level all comparisons are made.
+3. Nodes with a near partner in another component meet in their region once more with
+   their full sets. Components are joined there as links are confirmed, so a region gives
+   at most as many links as it has nodes, and no pairs leave it.
+
+Two nodes at the similarity bound share a region in at least one of ``TREES`` trees with
+probability 1 - (1 - 0.75^4)^32, over 0.999994.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,8 @@ WORDS = 5
 PERCENT = 75
 TREES = 32
 FLOOR_DEPTH = 4
+#: Trees whose sorted order gives the first candidates.
+ORDERS = 2
 DEEPEST = 16
 HASHES = TREES * FLOOR_DEPTH
 #: Share of equal hashes from which a pair is confirmed; five standard deviations below the bound.
@@ -141,18 +147,22 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before, node_before = None, None
     for batch in batches:
         a, b = [], []
-        for key, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if before is not None and before[: 4 * FLOOR_DEPTH] == key[: 4 * FLOOR_DEPTH]:
-                a.append(node_before)
-                b.append(node)
-            before, node_before = key, node
+        for tree, reading, node in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            prefix = (tree, reading[: 4 * FLOOR_DEPTH])
+            if before == prefix:
+                a.append(min(node, node_before))
+                b.append(max(node, node_before))
+            before, node_before = prefix, node
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _first_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = [_reading(s, 0, 2 * FLOOR_DEPTH) for s in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["reading", "node"])
+        nodes, signatures = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for tree in range(ORDERS):
+            readings = [_reading(s, tree, 2 * FLOOR_DEPTH) for s in signatures]
+            columns = [pa.array([tree] * len(nodes), pa.int32()), pa.array(readings, pa.binary()), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["tree", "reading", "node"])
 
 
 def _all_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,69 +182,121 @@ def _all_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(regions), pa.array(tree), pa.array(nodes)], names=["region", "tree", "node"])
 
 
-_CROSSED = "a bigint, b bigint, tree int, node bigint, component bigint, signature binary"
-_CROSSED_ARROW = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("signature", pa.binary())]
-)
+def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one region after another, without the region, from rows sorted by it."""
+    region, held = None, []
+    for batch in batches:
+        for first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first != region and held:
+                yield held
+                held = []
+            region = first
+            held.append((first, *row))
+    if held:
+        yield held
+
+
+def _largest(component: np.ndarray) -> int:
+    names, sizes = np.unique(component, return_counts=True)
+    return int(names[sizes.argmax()])
+
 
+_MET = "region bigint, tree int, node bigint, component bigint, crowded boolean"
+_MET_ARROW = pa.schema([("region", pa.int64()), ("tree", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("crowded", pa.bool_())])
 
-def _crossing(last_level: bool):
-    """Close pairs of different components in each region; rows of a crowded region come back as they are."""
 
-    def region(rows: list[tuple]) -> Iterator[tuple]:
-        rows.sort(key=lambda r: r[2:4])
+def _meeting(first_only: bool, last_level: bool):
+    """Nodes of a region with a near partner in another component; of a crowded region, all nodes.
+
+    ``first_only``: a pair counts in the first tree alone in which it meets outside crowded regions.
+    """
+
+    def active(rows: list[tuple]) -> np.ndarray:
+        tree = rows[0][1]
+        masks = np.array([r[6] for r in rows])
         component = np.array([r[3] for r in rows])
-        order = np.argsort(component, kind="stable")
-        rows = [rows[i] for i in order]
-        component = component[order]
-        _, sizes = np.unique(component, return_counts=True)
-        if len(sizes) < 2:
-            return
-        if not last_level and (len(rows) ** 2 - int((sizes.astype(np.int64) ** 2).sum())) // 2 > CROWDED:
-            for _, tree, node, c, s in rows:
-                yield (None, None, tree, node, c, s)
-            return
-        signatures = np.frombuffer(b"".join(r[4] for r in rows), ">u4").reshape(len(rows), HASHES).astype(np.uint32)
-        nodes = np.array([r[2] for r in rows])
-        ends = np.cumsum(sizes)
-        for i in range(len(rows)):
-            start = ends[np.searchsorted(ends, i, side="right")]
-            for j in range(start, len(rows), 8192):
-                equal = (signatures[j : j + 8192] == signatures[i]).sum(1)
-                for k in np.flatnonzero(equal >= NEAR * HASHES):
-                    x, y = int(nodes[i]), int(nodes[j + k])
-                    yield (min(x, y), max(x, y), None, None, None, None)
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        size = np.array([r[5] for r in rows])
+        signatures = np.frombuffer(b"".join(r[4] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
+        marked = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(component != _largest(component)):
+            others = np.flatnonzero((component != component[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
+            for k in range(0, len(others), 8192):
+                part = others[k : k + 8192]
+                equal = signatures[part] == signatures[i]
+                near = equal.sum(1) >= NEAR * HASHES
+                hits = part[near]
+                if first_only:
+                    # Where two nodes meet, the region is crowded for both or for none.
+                    open_trees = masks[i] >> np.arange(TREES) & 1 == 0
+                    met = equal[near].reshape(-1, TREES, FLOOR_DEPTH).all(2) & open_trees
+                    hits = hits[met.argmax(1) == tree]
+                marked[hits] = True
+                marked[i] |= len(hits) > 0
+        return marked
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    out += region(held)
-                    held = []
-                held.append(row)
+        for rows in _by_region(batches):
+            component = np.array([r[3] for r in rows])
+            outside = int((component != _largest(component)).sum())
+            crowded = not first_only and not last_level and outside * len(rows) > CROWDED
+            chosen = range(len(rows)) if crowded else np.flatnonzero(active(rows))
+            out += [(*rows[i][:4], crowded) for i in chosen]
             if len(out) > 5000:
-                yield _rows(out)
+                yield _met(out)
                 out = []
-        if held:
-            out += region(held)
         if out:
-            yield _rows(out)
+            yield _met(out)
 
-    return cross
+    return meet
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CROSSED_ARROW, strict=True)], schema=_CROSSED_ARROW)
+def _met(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MET_ARROW, strict=True)], schema=_MET_ARROW)
+
+
+def joining_links(nodes: list[int], component: list[int], bags: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between components, each of which joins two that were apart.
+
+    Only nodes outside the largest component are looked at, against all others, through the
+    list of nodes that hold each shingle.
+    """
+    label = np.unique(component, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in bags])
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    values, token = np.unique(np.concatenate(bags), return_inverse=True)
+    holders = owner[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token, minlength=len(values)))
+    starts = np.concatenate([[0], ends[:-1]])
+    tokens = np.split(token, np.cumsum(sizes)[:-1])
+    links = []
+    for i in np.argsort(sizes, kind="stable"):
+        if label[i] == np.bincount(label).argmax():
+            continue
+        both = np.bincount(np.concatenate([holders[s:e] for s, e in zip(starts[tokens[i]], ends[tokens[i]], strict=True)]), minlength=len(bags))
+        near = np.flatnonzero((100 * both >= PERCENT * (sizes + sizes[i] - both)) & (label != label[i]))
+        for j in near:
+            if label[j] != label[i]:
+                links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in _by_region(batches):
+        bags = [np.frombuffer(r[3], np.uint64) for r in rows]
+        links = joining_links([r[1] for r in rows], [r[2] for r in rows], bags)
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _deeper(depth: int):
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees, signatures = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            trees, signatures = batch.column(1).to_pylist(), batch.column(4).to_pylist()
             ids = [xxhash.xxh3_64_intdigest(_reading(s, t, depth), seed=t) - (1 << 63) for t, s in zip(trees, signatures, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.columns], names=["region", "tree", "node", "component", "signature"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
 
     return regions
 
@@ -258,6 +320,22 @@ def confirm(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("a", "b", "p", "q").mapInArrow(_confirmed, "a bigint, b bigint")
 
 
+def _met_rows(rows: DataFrame, signed: DataFrame, first_only: bool, last_level: bool, depth: int = FLOOR_DEPTH) -> DataFrame:
+    """What ``_meeting`` leaves of region rows (region, tree, node, component, mask), read to ``depth``."""
+    mask = F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")
+    full = rows.join(signed, "node").select("region", "tree", "node", "component", "signature", "n_shingles", mask)
+    if depth > FLOOR_DEPTH:
+        full = full.mapInArrow(_deeper(depth), full.schema)
+    dealt = full.repartition("region").sortWithinPartitions("region", "node")
+    return stored(dealt.mapInArrow(_meeting(first_only, last_level), _MET), "meetings")
+
+
+def _links_of(met: DataFrame, bags: DataFrame) -> DataFrame:
+    """Confirmed links that join components in each region."""
+    close = met.join(bags, "node").select("region", "node", "component", "bag")
+    return close.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined, "a bigint, b bigint")
+
+
 def near_duplicates(edits: DataFrame) -> DataFrame:
     """One row per edit: rev_id, n_shingles, component_id, kept.
 
@@ -276,14 +354,15 @@ def near_duplicates(edits: DataFrame) -> DataFrame:
     picked = stored(groups.groupBy("node").agg(F.min("set_key").alias("set_key")), "nodes")
     keyed = picked.select("node", F.col("set_key").alias("k"))
     signed = sets.join(keyed, (F.col("rev_id") == F.col("node")) & (F.col("set_key") == F.col("k")))
-    signed = stored(signed.groupBy("node").agg(F.first("signature").alias("signature")), "signatures")
+    signed = stored(signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")), "signatures")
 
-    order = signed.mapInArrow(_first_order, "reading binary, node bigint")
-    order = order.repartitionByRange("reading", "node").sortWithinPartitions("reading", "node")
-    first_pairs = stored(order.mapInArrow(_neighbours, "a bigint, b bigint"), "first-pairs")
+    order = signed.select("node", "signature").mapInArrow(_orders, "tree int, reading binary, node bigint")
+    order = order.repartitionByRange("tree", "reading", "node").sortWithinPartitions("tree", "reading", "node")
+    first_pairs = stored(order.mapInArrow(_neighbours, "a bigint, b bigint").distinct(), "first-pairs")
 
-    regions = signed.mapInArrow(_all_regions, "region bigint, tree int, node bigint")
-    shared = regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region")
+    regions = signed.select("node", "signature").mapInArrow(_all_regions, "region bigint, tree int, node bigint")
+    # Counts are stored before they meet their rows: such a join has a shuffle that Spark can split at a hot region.
+    shared = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "shared-regions")
     shared = stored(regions.join(shared, "region"), "regions")
     wanted = shared.select("node").union(first_pairs.select("a")).union(first_pairs.select("b")).distinct()
     texts = v.join(picked.join(wanted, "node", "left_semi"), F.col("rev_id") == F.col("node")).select("node", "set_key", "diff")
@@ -293,20 +372,23 @@ def near_duplicates(edits: DataFrame) -> DataFrame:
     known = stored(components(links), "first-components")
 
     rows = shared.join(known, "node", "left").select("region", "tree", "node", F.coalesce("component", "node").alias("component"))
-    mixed = rows.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("region")
-    open_ = rows.join(mixed, "region").join(signed, "node").select("region", "tree", "node", "component", "signature")
-    pairs = None
-    for depth in range(FLOOR_DEPTH, DEEPEST + 1, 2):
-        dealt = open_.repartition("region").sortWithinPartitions("region")
-        found = stored(dealt.mapInArrow(_crossing(depth + 2 > DEEPEST), _CROSSED), "crossings")
-        here = found.where(F.col("a").isNotNull()).select("a", "b")
-        pairs = here if pairs is None else pairs.unionByName(here)
-        crowded = found.where(F.col("node").isNotNull()).select("tree", "node", "component", "signature")
+    # Counts by component first: a region inside one component ends here.
+    shape = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    mixed = shape.where("n > top").select("region", ((F.col("n") - F.col("top")) * F.col("n") > CROWDED).alias("crowded"))
+    mixed = stored(mixed, "mixed-regions")
+    open_ = stored(rows.join(mixed, "region"), "open-regions")
+    crowded = open_.where("crowded")
+    masks = crowded.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"))
+    plain = open_.where("NOT crowded").join(masks, "node", "left")
+    more = [_links_of(_met_rows(plain, signed, True, False), bags)]
+    for depth in range(FLOOR_DEPTH + 2, DEEPEST + 1, 2):
         if crowded.isEmpty():
             break
-        open_ = crowded.mapInArrow(_deeper(depth + 2), "region bigint, tree int, node bigint, component bigint, signature binary")
-    more = confirm(pairs.distinct(), bags)
-    named = stored(components(links.unionByName(more)), "components")
+        deeper = crowded.withColumn("mask", F.lit(0).cast("bigint"))
+        met = _met_rows(deeper, signed, False, depth + 2 > DEEPEST, depth)
+        more.append(_links_of(met.where("NOT crowded"), bags))
+        crowded = met.where("crowded")
+    named = stored(components(reduce(DataFrame.unionByName, more, links)), "components")
 
     # What goes back to the rows is small for each set or node, but its rows may be many: both joins are salted.
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
