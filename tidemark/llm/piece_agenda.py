@@ -6,26 +6,27 @@ equals, merges first and puts its new neighbours on the agenda. What is no piece
 becomes its UTF-8 bytes.
 
 No piece of such a vocabulary holds a space mark after another character (checked when it is
-loaded), so no merge crosses from one word into the next mark, and a word is worked out once per task. Every Arrow batch is
-then encoded by the sentencepiece library too, and any difference fails the job.
+loaded), so no merge crosses from one word into the next mark, and a word is worked out once.
+In every Arrow batch the sentencepiece library encodes the words that are new to the worker too,
+and one whole text in ``CHECKED``; any difference fails the job. It also decodes.
 """
 
 from __future__ import annotations
 
-import heapq
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.chunk_cache import ChunkCache
+from tidemark.llm.chunk_cache import ChunkCache, of_worker
 from tidemark.llm.common import edit_columns
 
 MARK = "▁"
 #: Texts encoded, checked and decoded at a time.
 SLICE = 256
+CHECKED = 16
 ENCODED = "rev_id bigint, ids binary, decoded string"
 _ARROW = pa.schema([("rev_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
@@ -55,64 +56,82 @@ class Pieces:
 
     def merge(self, word: str) -> list[int]:
         """Ids of a stretch of characters."""
-        rank = self.rank
+        rank = self.rank.get
         symbols = list(word)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            union = symbols[i] + symbols[i + 1]
-            if union in rank:
-                agenda.append((rank[union], i, union))
-        heapq.heapify(agenda)
+        # The rank of the pair that starts at each place now; an entry with another rank is stale.
+        now = [rank(a + b) for a, b in zip(symbols, symbols[1:], strict=False)]
+        now.append(None)
+        agenda = [r * n + i for i, r in enumerate(now) if r is not None]
+        heapify(agenda)
         while agenda:
-            _, i, union = heapq.heappop(agenda)
-            j = after[i]
-            # A pair that has changed since it was put there is stale.
-            if j >= n or symbols[i] is None or symbols[i] + symbols[j] != union:
+            r, i = divmod(heappop(agenda), n)
+            if now[i] != r:
                 continue
-            symbols[i], symbols[j] = union, None
+            j = after[i]
+            union = symbols[i] = symbols[i] + symbols[j]
+            symbols[j] = now[j] = now[i] = None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                more = union + symbols[k]
-                if more in rank:
-                    heapq.heappush(agenda, (rank[more], i, more))
+                r = now[i] = rank(union + symbols[k])
+                if r is not None:
+                    heappush(agenda, r * n + i)
             h = before[i]
             if h >= 0:
-                more = symbols[h] + union
-                if more in rank:
-                    heapq.heappush(agenda, (rank[more], h, more))
+                r = now[h] = rank(symbols[h] + union)
+                if r is not None:
+                    heappush(agenda, r * n + h)
+        ids = self.ids
         out: list[int] = []
         for s in symbols:
             if s is not None:
-                found = self.ids.get(s)
-                out += [found] if found is not None else [self.byte_ids[b] for b in s.encode()]
+                if s in ids:
+                    out.append(ids[s])
+                else:
+                    out += [self.byte_ids[b] for b in s.encode()]
         return out
 
 
-@lru_cache(maxsize=2)
 def pieces_of(model: str) -> Pieces:
-    return Pieces(model)
+    return of_worker(("pieces", model), lambda: Pieces(model))
+
+
+def _cache(pieces: Pieces) -> ChunkCache:
+    def encode(words: list[str]) -> list[bytes]:
+        """Each stretch by the agenda, and all of them by the library."""
+        out = []
+        library = pieces.library.encode([w[1:] for w in words], num_threads=1)
+        for word, want in zip(words, library, strict=True):
+            found = pieces.merge(word.replace(" ", MARK))
+            # A space alone is no text to the library, which drops it.
+            if word != " " and found != want:
+                raise EncodingMismatch(word[:200])
+            out.append(array("I", found).tobytes())
+        return out
+
+    # The library puts a space before a text that is not empty.
+    return ChunkCache(encode, lead=True)
 
 
 def _coder(model: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        cache = ChunkCache(lambda words: [array("I", pieces.merge(w.replace(" ", MARK))).tobytes() for w in words])
+        cache = of_worker(("piece chunks", model), lambda: _cache(pieces))
         begin, end = array("I", [pieces.begin]).tobytes(), array("I", [pieces.end]).tobytes()
         library = pieces.library
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 texts = part.column(1).to_pylist()
-                # The library puts a space before a text that is not empty, and a mark in a text is a space to it.
-                found = [begin + ids + end for ids in cache.ids([" " + t.replace(MARK, " ") if t else "" for t in texts])]
-                expected = library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-                for text, ids, want in zip(texts, found, expected, strict=True):
-                    if array("I", want).tobytes() != ids:
-                        raise EncodingMismatch(text[:200])
-                decoded = [library.decode(want) for want in expected]
+                # A mark in a text is a space to the library.
+                found = [begin + ids + end for ids in cache.ids([t.replace(MARK, " ") for t in texts])]
+                for at in range(0, len(texts), CHECKED):
+                    want = library.encode(texts[at], add_bos=True, add_eos=True)
+                    if array("I", want).tobytes() != found[at]:
+                        raise EncodingMismatch(texts[at][:200])
+                decoded = library.decode([array("I", ids).tolist() for ids in found], num_threads=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array(decoded, pa.string())], schema=_ARROW)
 
     return code
