@@ -315,7 +315,8 @@ def repeated_stretches(edits: DataFrame, *, length: int = LENGTH, gram: int = GR
 
     anchors = stored(v.select("diff").mapInArrow(_anchors(length, gram), _ANCHORS), "anchors")
     grams = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("x"), F.max("k1").alias("y"), F.max("twice").alias("twice"))
-    repeated = grams.where((F.col("x") != F.col("y")) | F.col("twice")).select("gram", "n")
+    # Stored, so that the join has a shuffle of its own that Spark can split at a hot gram.
+    repeated = stored(grams.where((F.col("x") != F.col("y")) | F.col("twice")).select("gram", "n"), "repeated-grams")
     # Equal texts have equal anchors: a set keeps each once.
     per_text = anchors.join(repeated, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place", "back", "ahead", "n")).alias("anchors"))
     per_text = stored(per_text, "text-anchors")
