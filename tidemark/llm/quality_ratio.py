@@ -22,7 +22,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 8_192
-SMOOTHING = 1.0
+#: Occurrences added to every bucket: in a small corpus a few copies of a text must not outweigh its labels.
+SMOOTHING = 10.0
 #: Nats for each n-gram; an edit below it reads unlike the trusted ones.
 THRESHOLD = -0.30
 #: Labelled edits that the trusted multinomial is fitted on; more are thinned by a hash of their id.
