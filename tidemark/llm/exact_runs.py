@@ -111,9 +111,9 @@ def winners(prints: DataFrame, rounds: int | None = None) -> DataFrame:
     """(digest, keep_id, group_size) per distinct text, merged over 2^rounds runs.
 
     ``prints`` is what :func:`fingerprints` returns. ``rounds`` defaults to the rounds
-    that cover ``spark.sql.shuffle.partitions``; results do not depend on it.
+    that cover ``spark.sql.shuffle.partitions`` and is one at least; results do not depend on it.
     """
-    k = max(1, (shuffle_width(prints.sparkSession) - 1).bit_length()) if rounds is None else rounds
+    k = max(1, (shuffle_width(prints.sparkSession) - 1).bit_length() if rounds is None else rounds)
     n = 1 << k
     # Level 0: any placement will do, so the scan's own partitions are dealt round the runs.
     rows = prints.select("digest", "check_hash", "length", "chars", F.col("rev_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
