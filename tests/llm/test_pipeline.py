@@ -20,7 +20,7 @@ def folder(spark, tmp_path):
     rows = [(i, t, "en", f"s{i % 3}", len(t or ""), 1, 1, 1, 1, 1) for i, t in texts.items()]
     rows += [rows[0], (None, words(95, 60), None, None, None, None, None, None, None, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(50, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in (*range(30), 60, 62)] + [(50, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
     return f"file://{tmp_path}"
 
 
