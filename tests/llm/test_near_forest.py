@@ -84,6 +84,19 @@ def test_crowded_regions_are_read_deeper(spark, crowded, monkeypatch):
     assert got(near_duplicates(edits(spark, rows))) == expected(rows)
 
 
+def test_isolated_pairs_in_a_crowded_template_family(spark, monkeypatch):
+    # Of 200 shingles 170 are the template's: 0.739 among all, 0.762 for a pair, and every tree's region is crowded.
+    monkeypatch.setattr(near_forest, "CROWDED", 400)
+    template = " ".join(f"t{i}" for i in range(174))
+    rows = []
+    for k in range(240):
+        own = [f"p{k // 2}x{i}" for i in range(3)] + [f"o{k}x{i}" for i in range(27)]
+        rows.append((k, f"{template} {' '.join(own)}"))
+    want = expected(rows)
+    assert len({c for _, _, c, _ in want}) == 120
+    assert got(near_duplicates(edits(spark, rows))) == want
+
+
 def test_repeats_missing_ids_and_empty_tables(spark):
     rows = [(2, words(1, 50)), (2, words(1, 50)), (None, words(1, 50)), (None, words(2, 50)), (1, words(1, 50) + " x")]
     assert got(near_duplicates(edits(spark, rows))) == expected(rows)

@@ -9,12 +9,12 @@ sorting the nodes by a tree's reading puts those with the longest common prefix
    copies is mostly one component after that, from a few links for each node.
 2. In every tree, the nodes that share a prefix of the floor depth are a region. A region inside
    one component is done. In the others, nodes outside the largest component are compared with
-   the rest by signature, a pair in the first tree only where it meets. A region with too many such
-   comparisons is crowded: it is read deeper first, and pairs in it still meet in other trees.
-   Depth so adapts to each region; at the deepest level all comparisons are made.
-3. Nodes with a near partner in another component meet in their region once more with
-   their full sets. Components are joined there as links are confirmed, so a region gives
-   at most as many links as it has nodes, and no pairs leave it.
+   the rest by signature, a pair in the first tree only where it meets. All these comparisons are
+   made: a region is dealt to cells, each of a block of the nodes outside and a block of the
+   rest, so a crowded region is more tasks and not a larger one.
+3. Nodes with a near partner in another component meet in their cell once more with
+   their full sets. Components are joined there as links are confirmed, so a cell gives
+   fewer links than it has nodes, and no pairs leave it.
 
 Two nodes at the similarity bound share a region in at least one of ``TREES`` trees with
 probability 1 - (1 - 0.75^4)^32, over 0.999994.
@@ -22,8 +22,8 @@ probability 1 - (1 - 0.75^4)^32, over 0.999994.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,13 @@ TREES = 32
 FLOOR_DEPTH = 4
 #: Trees whose sorted order gives the first candidates.
 ORDERS = 2
-DEEPEST = 16
 HASHES = TREES * FLOOR_DEPTH
 #: Share of equal hashes from which a pair is confirmed; five standard deviations below the bound.
 NEAR = 0.55
-#: Comparisons in a region beyond which it is read one level deeper.
+#: Comparisons in a region beyond which it is dealt to several cells of about as many each.
 CROWDED = 4_000_000
+#: What a row does in a cell: ask whether others are near, be asked, and lie outside the largest component.
+ASKS, ASKED, OUTSIDE = 1, 2, 4
 CACHED_WORDS = 500_000
 SALTS = 16
 
@@ -182,85 +183,94 @@ def _all_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(regions), pa.array(tree), pa.array(nodes)], names=["region", "tree", "node"])
 
 
-def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of one region after another, without the region, from rows sorted by it."""
-    region, held = None, []
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one cell (region, tile) after another, from rows sorted by it."""
+    cell, held = None, []
     for batch in batches:
-        for first, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if first != region and held:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != cell and held:
                 yield held
                 held = []
-            region = first
-            held.append((first, *row))
+            cell = row[:2]
+            held.append(row)
     if held:
         yield held
 
 
-def _largest(component: np.ndarray) -> int:
-    names, sizes = np.unique(component, return_counts=True)
-    return int(names[sizes.argmax()])
+def cells(rows: DataFrame) -> DataFrame:
+    """``rows`` (region, tree, node, component) of regions with several components, as (region, tile, tree, node, component, role).
 
-
-_MET = "region bigint, tree int, node bigint, component bigint, crowded boolean"
-_MET_ARROW = pa.schema([("region", pa.int64()), ("tree", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("crowded", pa.bool_())])
-
-
-def _meeting(first_only: bool, last_level: bool):
-    """Nodes of a region with a near partner in another component; of a crowded region, all nodes.
-
-    ``first_only``: a pair counts in the first tree alone in which it meets outside crowded regions.
+    Every node outside its region's largest component asks all the others in exactly one cell
+    each. A cell is a block of those that ask and a block of those asked, each about the root of ``CROWDED``.
     """
-
-    def active(rows: list[tuple]) -> np.ndarray:
-        tree = rows[0][1]
-        masks = np.array([r[6] for r in rows])
-        component = np.array([r[3] for r in rows])
-        size = np.array([r[5] for r in rows])
-        signatures = np.frombuffer(b"".join(r[4] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
-        marked = np.zeros(len(rows), bool)
-        for i in np.flatnonzero(component != _largest(component)):
-            others = np.flatnonzero((component != component[i]) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])))
-            for k in range(0, len(others), 8192):
-                part = others[k : k + 8192]
-                equal = signatures[part] == signatures[i]
-                near = equal.sum(1) >= NEAR * HASHES
-                hits = part[near]
-                if first_only:
-                    # Where two nodes meet, the region is crowded for both or for none.
-                    open_trees = masks[i] >> np.arange(TREES) & 1 == 0
-                    met = equal[near].reshape(-1, TREES, FLOOR_DEPTH).all(2) & open_trees
-                    hits = hits[met.argmax(1) == tree]
-                marked[hits] = True
-                marked[i] |= len(hits) > 0
-        return marked
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _by_region(batches):
-            component = np.array([r[3] for r in rows])
-            outside = int((component != _largest(component)).sum())
-            crowded = not first_only and not last_level and outside * len(rows) > CROWDED
-            chosen = range(len(rows)) if crowded else np.flatnonzero(active(rows))
-            out += [(*rows[i][:4], crowded) for i in chosen]
-            if len(out) > 5000:
-                yield _met(out)
-                out = []
-        if out:
+    side = max(1, math.isqrt(CROWDED))
+    # Counts by component first: a region inside one component ends here.
+    shape = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = shape.groupBy("region").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"))
+    blocks = [F.ceil(F.col(n) / side).alias(name) for n, name in (("outside", "p"), ("n", "q"))]
+    mixed = shape.where("n > top.n").withColumn("outside", F.expr("n - top.n")).select("region", F.col("top.component").alias("top"), *blocks)
+    mixed = stored(mixed, "mixed-regions")
+    open_ = rows.join(mixed, "region").withColumns(
+        {"outside": F.expr("component <> top"), "at_p": F.expr("pmod(xxhash64(1, node), p)"), "at_q": F.expr("pmod(xxhash64(2, node), q)")}
+    )
+    asked = f"""transform(sequence(0L, p - 1), i -> named_struct('tile', i * q + at_q,
+        'role', {ASKED} + if(outside, {OUTSIDE}, 0) + if(outside AND i = at_p, {ASKS}, 0)))"""
+    asks = f"""transform(filter(sequence(0L, q - 1), j -> outside AND j <> at_q), j -> named_struct('tile', at_p * q + j, 'role', {ASKS + OUTSIDE}))"""
+    dealt = open_.select("region", "tree", "node", "component", F.explode(F.expr(f"concat({asked}, {asks})")).alias("cell"))
+    return dealt.select("region", "cell.tile", "tree", "node", "component", "cell.role")
+
+
+_MET = "region bigint, tile bigint, node bigint, component bigint, role int"
+_MET_ARROW = pa.schema([("region", pa.int64()), ("tile", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("role", pa.int32())])
+
+
+def _pairs_with(i: int, node: np.ndarray, component: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """Whom row ``i`` of a cell asks; of two nodes outside the largest component the smaller asks."""
+    return (role & ASKED > 0) & (component != component[i]) & ((role & OUTSIDE == 0) | (node > node[i]))
+
+
+def _active(rows: list[tuple]) -> np.ndarray:
+    """The rows of a cell with a near partner in another component; a pair counts in the first tree alone in which it meets."""
+    tree = rows[0][2]
+    node, component, role, size = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 7))
+    signatures = np.frombuffer(b"".join(r[6] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
+    marked = np.zeros(len(rows), bool)
+    for i in np.flatnonzero(role & ASKS):
+        alike = 4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i])
+        others = np.flatnonzero(_pairs_with(i, node, component, role) & alike)
+        for k in range(0, len(others), 8192):
+            part = others[k : k + 8192]
+            equal = signatures[part] == signatures[i]
+            near = equal.sum(1) >= NEAR * HASHES
+            met = equal[near].reshape(-1, TREES, FLOOR_DEPTH).all(2)
+            hits = part[near][met.argmax(1) == tree]
+            marked[hits] = True
+            marked[i] |= len(hits) > 0
+    return np.flatnonzero(marked)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for rows in _by_cell(batches):
+        out += [(*rows[i][:2], *rows[i][3:6]) for i in _active(rows)]
+        if len(out) > 5000:
             yield _met(out)
-
-    return meet
+            out = []
+    if out:
+        yield _met(out)
 
 
 def _met(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _MET_ARROW, strict=True)], schema=_MET_ARROW)
 
 
-def joining_links(nodes: list[int], component: list[int], bags: list[np.ndarray]) -> list[tuple[int, int]]:
+def joining_links(nodes: list[int], component: list[int], role: list[int], bags: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between components, each of which joins two that were apart.
 
-    Only nodes outside the largest component are looked at, against all others, through the
-    list of nodes that hold each shingle.
+    Only rows that ask are looked at, against those they ask, through the list of nodes that
+    hold each shingle.
     """
+    node, role = np.array(nodes), np.array(role)
     label = np.unique(component, return_inverse=True)[1]
     sizes = np.array([len(x) for x in bags])
     owner = np.repeat(np.arange(len(bags)), sizes)
@@ -271,10 +281,11 @@ def joining_links(nodes: list[int], component: list[int], bags: list[np.ndarray]
     tokens = np.split(token, np.cumsum(sizes)[:-1])
     links = []
     for i in np.argsort(sizes, kind="stable"):
-        if label[i] == np.bincount(label).argmax():
+        asked = _pairs_with(i, node, label, role)
+        if not role[i] & ASKS or not asked.any():
             continue
         both = np.bincount(np.concatenate([holders[s:e] for s, e in zip(starts[tokens[i]], ends[tokens[i]], strict=True)]), minlength=len(bags))
-        near = np.flatnonzero((100 * both >= PERCENT * (sizes + sizes[i] - both)) & (label != label[i]))
+        near = np.flatnonzero((100 * both >= PERCENT * (sizes + sizes[i] - both)) & asked)
         for j in near:
             if label[j] != label[i]:
                 links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
@@ -283,24 +294,14 @@ def joining_links(nodes: list[int], component: list[int], bags: list[np.ndarray]
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_region(batches):
-        bags = [np.frombuffer(r[3], np.uint64) for r in rows]
-        links = joining_links([r[1] for r in rows], [r[2] for r in rows], bags)
+    for rows in _by_cell(batches):
+        bags = [np.frombuffer(r[5], np.uint64) for r in rows]
+        links = joining_links([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], bags)
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _deeper(depth: int):
-    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            trees, signatures = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            ids = [xxhash.xxh3_64_intdigest(_reading(s, t, depth), seed=t) - (1 << 63) for t, s in zip(trees, signatures, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *batch.columns[1:]], names=batch.schema.names)
-
-    return regions
-
-
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = [], []
@@ -320,20 +321,17 @@ def confirm(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return both.select("a", "b", "p", "q").mapInArrow(_confirmed, "a bigint, b bigint")
 
 
-def _met_rows(rows: DataFrame, signed: DataFrame, first_only: bool, last_level: bool, depth: int = FLOOR_DEPTH) -> DataFrame:
-    """What ``_meeting`` leaves of region rows (region, tree, node, component, mask), read to ``depth``."""
-    mask = F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask")
-    full = rows.join(signed, "node").select("region", "tree", "node", "component", "signature", "n_shingles", mask)
-    if depth > FLOOR_DEPTH:
-        full = full.mapInArrow(_deeper(depth), full.schema)
-    dealt = full.repartition("region").sortWithinPartitions("region", "node")
-    return stored(dealt.mapInArrow(_meeting(first_only, last_level), _MET), "meetings")
+def _met_rows(dealt: DataFrame, signed: DataFrame) -> DataFrame:
+    """The rows of cells that have a near partner in another component."""
+    full = dealt.join(signed, "node").select("region", "tile", "tree", "node", "component", "role", "signature", "n_shingles")
+    full = full.repartition("region", "tile").sortWithinPartitions("region", "tile", "node")
+    return stored(full.mapInArrow(_meet, _MET), "meetings")
 
 
 def _links_of(met: DataFrame, bags: DataFrame) -> DataFrame:
-    """Confirmed links that join components in each region."""
-    close = met.join(bags, "node").select("region", "node", "component", "bag")
-    return close.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_joined, "a bigint, b bigint")
+    """Confirmed links that join components in each cell."""
+    close = met.join(bags, "node").select("region", "tile", "node", "component", "role", "bag")
+    return close.repartition("region", "tile").sortWithinPartitions("region", "tile", "node").mapInArrow(_joined, "a bigint, b bigint")
 
 
 def near_duplicates(edits: DataFrame) -> DataFrame:
@@ -372,23 +370,8 @@ def near_duplicates(edits: DataFrame) -> DataFrame:
     known = stored(components(links), "first-components")
 
     rows = shared.join(known, "node", "left").select("region", "tree", "node", F.coalesce("component", "node").alias("component"))
-    # Counts by component first: a region inside one component ends here.
-    shape = rows.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("region").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    mixed = shape.where("n > top").select("region", ((F.col("n") - F.col("top")) * F.col("n") > CROWDED).alias("crowded"))
-    mixed = stored(mixed, "mixed-regions")
-    open_ = stored(rows.join(mixed, "region"), "open-regions")
-    crowded = open_.where("crowded")
-    masks = crowded.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("mask"))
-    plain = open_.where("NOT crowded").join(masks, "node", "left")
-    more = [_links_of(_met_rows(plain, signed, True, False), bags)]
-    for depth in range(FLOOR_DEPTH + 2, DEEPEST + 1, 2):
-        if crowded.isEmpty():
-            break
-        deeper = crowded.withColumn("mask", F.lit(0).cast("bigint"))
-        met = _met_rows(deeper, signed, False, depth + 2 > DEEPEST, depth)
-        more.append(_links_of(met.where("NOT crowded"), bags))
-        crowded = met.where("crowded")
-    named = stored(components(reduce(DataFrame.unionByName, more, links)), "components")
+    more = _links_of(_met_rows(cells(rows), signed), bags)
+    named = stored(components(links.unionByName(more)), "components")
 
     # What goes back to the rows is small for each set or node, but its rows may be many: both joins are salted.
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
