@@ -97,6 +97,34 @@ def test_isolated_pairs_in_a_crowded_template_family(spark, monkeypatch):
     assert got(near_duplicates(edits(spark, rows))) == want
 
 
+def asked_pairs(found):
+    """(asks, asked) of every cell, from (cell, node, role)."""
+    held = {}
+    for cell, node, role in found:
+        held.setdefault(cell, []).append((node, role))
+    pairs = [(a, b) for rows in held.values() for a, r in rows if r & near_forest.ASKS for b, t in rows if t & near_forest.ASKED]
+    return pairs, max(map(len, held.values()))
+
+
+@pytest.mark.parametrize("outside", [3, 150])
+def test_no_cell_holds_a_hot_region(spark, outside, monkeypatch):
+    monkeypatch.setattr(near_forest, "CROWDED", 400)
+    rows = [(7, 0, i, 0 if i < 1000 else i) for i in range(1000 + outside)]
+    found = near_forest.cells(spark.createDataFrame(rows, "region bigint, tree int, node bigint, component bigint")).collect()
+    pairs, largest = asked_pairs([(r.tile, r.node, r.role) for r in found])
+    assert len(pairs) == len(set(pairs)) == outside * (1000 + outside)
+    assert largest < 100
+
+
+def test_full_sets_meet_in_bounded_parts():
+    roles = [near_forest.ASKED] * 300 + [near_forest.ASKED | near_forest.ASKS | near_forest.OUTSIDE] * 40 + [near_forest.ASKS | near_forest.OUTSIDE] * 30
+    found = list(near_forest.parts(roles, [10] * len(roles), 200))
+    pairs, largest = asked_pairs([(part, k, role) for k, part, role in found])
+    assert len(pairs) == len(set(pairs)) == 70 * 340
+    assert largest <= 40
+    assert list(near_forest.parts([], [], 200)) == [] and [x[1] for x in near_forest.parts([2, 7], [10**9, 10**9], 200)] != [0, 0]
+
+
 def test_repeats_missing_ids_and_empty_tables(spark):
     rows = [(2, words(1, 50)), (2, words(1, 50)), (None, words(1, 50)), (None, words(2, 50)), (1, words(1, 50) + " x")]
     assert got(near_duplicates(edits(spark, rows))) == expected(rows)

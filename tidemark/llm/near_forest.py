@@ -12,9 +12,9 @@ sorting the nodes by a tree's reading puts those with the longest common prefix
    the rest by signature, a pair in the first tree only where it meets. All these comparisons are
    made: a region is dealt to cells, each of a block of the nodes outside and a block of the
    rest, so a crowded region is more tasks and not a larger one.
-3. Nodes with a near partner in another component meet in their cell once more with
-   their full sets. Components are joined there as links are confirmed, so a cell gives
-   fewer links than it has nodes, and no pairs leave it.
+3. Nodes with a near partner in another component meet once more with their full sets, in
+   parts of their cell that hold a bounded number of shingles. Components are joined there as
+   links are confirmed, so a part gives fewer links than it has nodes, and no pairs leave it.
 
 Two nodes at the similarity bound share a region in at least one of ``TREES`` trees with
 probability 1 - (1 - 0.75^4)^32, over 0.999994.
@@ -49,6 +49,8 @@ NEAR = 0.55
 CROWDED = 4_000_000
 #: What a row does in a cell: ask whether others are near, be asked, and lie outside the largest component.
 ASKS, ASKED, OUTSIDE = 1, 2, 4
+#: Shingles of a block of full sets that one task compares with another block.
+BLOCK_SHINGLES = 2_000_000
 CACHED_WORDS = 500_000
 SALTS = 16
 
@@ -183,15 +185,15 @@ def _all_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(regions), pa.array(tree), pa.array(nodes)], names=["region", "tree", "node"])
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The rows of one cell (region, tile) after another, from rows sorted by it."""
+def _by_cell(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of one cell after another, from rows sorted by its first ``keys`` columns."""
     cell, held = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:2] != cell and held:
+            if row[:keys] != cell and held:
                 yield held
                 held = []
-            cell = row[:2]
+            cell = row[:keys]
             held.append(row)
     if held:
         yield held
@@ -220,8 +222,10 @@ def cells(rows: DataFrame) -> DataFrame:
     return dealt.select("region", "cell.tile", "tree", "node", "component", "cell.role")
 
 
-_MET = "region bigint, tile bigint, node bigint, component bigint, role int"
-_MET_ARROW = pa.schema([("region", pa.int64()), ("tile", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("role", pa.int32())])
+_MET = "region bigint, tile bigint, part bigint, node bigint, component bigint, role int"
+_MET_ARROW = pa.schema(
+    [("region", pa.int64()), ("tile", pa.int64()), ("part", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("role", pa.int32())]
+)
 
 
 def _pairs_with(i: int, node: np.ndarray, component: np.ndarray, role: np.ndarray) -> np.ndarray:
@@ -249,10 +253,29 @@ def _active(rows: list[tuple]) -> np.ndarray:
     return np.flatnonzero(marked)
 
 
+def parts(roles: list[int], sizes: list[int], limit: int) -> Iterator[tuple[int, int, int]]:
+    """(row, part, role) so that who asks meets whom it asks in one part, of two blocks of about ``limit`` shingles."""
+    role, size = np.array(roles, np.int64), np.array(sizes, np.int64)
+
+    def blocks(flag: int) -> np.ndarray:
+        own = np.where(role & flag > 0, size, 0)
+        return (np.cumsum(own) - own) // limit
+
+    at_p, at_q = blocks(ASKS), blocks(ASKED)
+    p, q = at_p.max(initial=0) + 1, at_q.max(initial=0) + 1
+    for k, r in enumerate(roles):
+        if r & ASKED:
+            yield from ((k, int(i * q + at_q[k]), r if i == at_p[k] else r & ~ASKS) for i in range(p))
+        if r & ASKS:
+            yield from ((k, int(at_p[k] * q + j), r & ~ASKED) for j in range(q) if not (r & ASKED and j == at_q[k]))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for rows in _by_cell(batches):
-        out += [(*rows[i][:2], *rows[i][3:6]) for i in _active(rows)]
+    for rows in _by_cell(batches, 2):
+        met = [rows[i] for i in _active(rows)]
+        for k, part, role in parts([r[5] for r in met], [r[7] for r in met], BLOCK_SHINGLES):
+            out.append((*met[k][:2], part, *met[k][3:5], role))
         if len(out) > 5000:
             yield _met(out)
             out = []
@@ -294,9 +317,9 @@ def joining_links(nodes: list[int], component: list[int], role: list[int], bags:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by_cell(batches):
-        bags = [np.frombuffer(r[5], np.uint64) for r in rows]
-        links = joining_links([r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows], bags)
+    for rows in _by_cell(batches, 3):
+        bags = [np.frombuffer(r[6], np.uint64) for r in rows]
+        links = joining_links([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], bags)
         if links:
             a, b = zip(*links, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -329,9 +352,10 @@ def _met_rows(dealt: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _links_of(met: DataFrame, bags: DataFrame) -> DataFrame:
-    """Confirmed links that join components in each cell."""
-    close = met.join(bags, "node").select("region", "tile", "node", "component", "role", "bag")
-    return close.repartition("region", "tile").sortWithinPartitions("region", "tile", "node").mapInArrow(_joined, "a bigint, b bigint")
+    """Confirmed links that join components in each part of a cell."""
+    close = met.join(bags, "node").select("region", "tile", "part", "node", "component", "role", "bag")
+    dealt = close.repartition("region", "tile", "part").sortWithinPartitions("region", "tile", "part", "node")
+    return dealt.mapInArrow(_joined, "a bigint, b bigint")
 
 
 def near_duplicates(edits: DataFrame) -> DataFrame:
