@@ -57,6 +57,21 @@ def test_scores_equal_the_formula_and_junk_goes(spark):
     assert not any(r.quality.kept for r in out if (r.diff or "").strip() == "")
 
 
+def test_a_frequent_clean_text_stays(spark):
+    # A clean text without a label makes up a third of the rows; copies of a trusted and of a junk text are few.
+    clean = [(i, words(i, 120)) for i in range(300)]
+    junk = [(500 + i, " ".join(w + "***" for w in words(700 + i, 120).split())) for i in range(20)]
+    hot = [(1000 + i, "".join(chr(97 + i % 26) + f"q{i} " for i in range(120))) for i in range(180)]
+    copies = [(2000 + i, clean[0][1]) for i in range(20)] + [(2100 + i, junk[0][1]) for i in range(20)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 300, 2)], "rev_id bigint")
+    out = q.judged(edits(spark, clean + junk + hot + copies), trusted).collect()
+    once = {r.rev_id: r.quality.score for r in q.judged(edits(spark, clean + junk + hot[:1]), trusted).collect()}
+    kept = {r.rev_id for r in out if r.quality.kept}
+    assert kept >= {i for i, _ in clean + hot + copies[:20]}
+    # Copies move no score.
+    assert all(math.isclose(r.quality.score, once[r.rev_id], abs_tol=1e-9) for r in out if r.rev_id in once)
+
+
 def test_tokens_set_marks_apart(spark):
     r = spark.sql("select 'Ab,c ***x' as t").select(q.tokens(F.col("t")).alias("w"), F.size(q.ngram_buckets(F.col("t"))).alias("n")).first()
     assert r.w == ["Ab", ",", "c", "***", "x"] and r.n == 5 + 4

@@ -1,7 +1,8 @@
 """Quality rules for edit texts: a hashed n-gram log-likelihood ratio beside plain counts.
 
-Two multinomials over hash buckets of token n-grams are counted in one pass over all
-edits: one from the edits a reader trusts (their label says so), one from every edit. An
+Two multinomials over hash buckets of token n-grams are counted over the distinct texts of
+all edits: one from the texts a reader trusts (the label of an edit with it says so), one from every
+text. Copies of a text under other ids so move neither, and no text fails for being frequent. An
 edit's score is the mean of ``ln p_trusted(bucket) - ln p_raw(bucket)`` over its n-grams,
 so long and short edits compare. Every edit is judged by the same threshold; nothing is
 drawn at random, so a re-run keeps the same edits.
@@ -122,18 +123,32 @@ def trusted_sample(trusted: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
 def ratio_table(
     edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED_LIMIT
 ) -> DataFrame:
-    """(bucket, ratio) for every bucket that occurs; the raw corpus is counted over all edits.
+    """(bucket, ratio) for every bucket that occurs; the raw corpus is counted over all distinct texts.
 
     ``trusted`` lists the ``rev_id`` of trusted edits; repeats and NULLs do no harm. The
     trusted multinomial is fitted on at most about ``limit`` of them, so their ids can be sent to
-    every task and no text moves. A bucket that occurs nowhere has no row, and no edit can
-    ask for it.
+    every task. A text is trusted if any of its edits is, and counts once on both sides; only where
+    rows repeat its first trusted id, it counts on both sides as often as they do. A bucket that
+    occurs nowhere has no row, and no edit can ask for it.
     """
     mark = F.broadcast(trusted_sample(trusted, limit).withColumn("good", F.lit(1)))
-    marked = edit_columns(edits).join(mark, "rev_id", "left")
-    grams = marked.select("good", F.explode(ngram_buckets(F.col("diff"), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
-    counts = stored(counts, "gram-counts")
+    v = edit_columns(edits)
+    # 128 bits, from two seeds.
+    digest = {"h1": F.xxhash64("diff"), "h2": F.xxhash64(F.lit(1), "diff")}
+    by_id = v.select("rev_id", *[h.alias(n) for n, h in digest.items()]).groupBy("h1", "h2", "rev_id").agg(F.count(F.lit(1)).alias("k"))
+    by_id = by_id.join(mark, "rev_id", "left")
+    first = F.min(F.struct(F.col("good").isNull().alias("other"), "rev_id", "k")).alias("first")
+    copied = by_id.groupBy("h1", "h2").agg(first, F.sum("k").alias("n")).where("n > 1")
+    # Stored, so that Spark's size check sees how few texts have copies; texts move only if they are many.
+    copied = stored(copied.select("h1", "h2", F.struct("first.*").alias("first")), "copied-texts")
+    marked = v.join(mark, "rev_id", "left").withColumns(digest).join(copied, ["h1", "h2"], "left")
+    single = marked.where("first IS NULL").select("diff", "good", F.lit(1).cast("bigint").alias("weight"))
+    chosen = marked.where("first IS NOT NULL AND rev_id <=> first.rev_id").dropDuplicates(["h1", "h2"])
+    weight = F.when(F.col("first.other"), F.lit(1).cast("bigint")).otherwise(F.col("first.k")).alias("weight")
+    texts = single.unionByName(chosen.select("diff", "good", weight))
+    grams = texts.select("good", "weight", F.explode(ngram_buckets(F.col("diff"), buckets)).alias("bucket"))
+    target = F.coalesce(F.sum(F.when(F.col("good").isNotNull(), F.col("weight"))), F.lit(0)).alias("target")
+    counts = stored(grams.groupBy("bucket").agg(F.sum("weight").alias("raw"), target), "gram-counts")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).select(F.struct("raw", "target")).scalar()
 
     def log_p(count: Column, size: Column) -> Column:
