@@ -15,6 +15,7 @@ MODULES = (
     "suffix_repeats",
     "piece_agenda",
     "bin_slack",
+    "word_exchange",
 )
 
 
