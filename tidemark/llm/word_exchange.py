@@ -18,7 +18,6 @@ Decoding joins ids with the table of token bytes, one row for each token of the
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
@@ -135,10 +134,10 @@ class Cutter:
             theirs[name] = set(bytes(probe.encode_ordinary(every)).decode())
             differing |= theirs[name] ^ set(regex.findall(name, every))
         self.stand = {ord(c): self.STANDS[next((n for n in theirs if c in theirs[n]), "")] for c in differing}
-        self.differs = re.compile("[" + "".join(map(re.escape, sorted(differing))) + "]") if differing else None
+        self.differing = differing
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or self.differs is None or not self.differs.search(text):
+        if text.isascii() or self.differing.isdisjoint(text):
             return self.find.findall(text)
         return [text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.stand))]
 
