@@ -16,6 +16,8 @@ MODULES = (
     "piece_agenda",
     "bin_slack",
     "word_exchange",
+    "word_pointers",
+    "active_lloyd",
 )
 
 
