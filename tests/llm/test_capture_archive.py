@@ -8,7 +8,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import AWKWARD
 
-from tidemark.llm.capture_archive import payloads, read_archive, write_archive
+from pyspark.sql.functions import spark_partition_id
+
+from tidemark.llm.capture_archive import full_uri, payloads, read_archive, write_archive
 
 
 def records(spark, values):
@@ -69,3 +71,33 @@ def test_a_damaged_archive_fails(spark, tmp_path):
     path.write_bytes(gzip.compress(gzip.decompress(path.read_bytes()).replace(b"aaa", b"aab", 1)))
     with pytest.raises(Exception, match="digest differs"):
         read_archive(manifest).count()
+
+
+def test_one_reader_task_for_each_archive(spark):
+    wide = records(spark, [f"{i}" * 2000 for i in range(40)]).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = write_archive(wide)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = manifest.count()
+    assert files > 1
+    chunks = read_archive(manifest.unionByName(manifest))
+    assert chunks.count() == 40
+    assert chunks.rdd.getNumPartitions() == files
+    assert chunks.select(spark_partition_id()).distinct().count() == files
+
+
+def test_folders_without_a_scheme_lie_in_the_default_store(spark, tmp_path):
+    """The manifest names the store, and the reader takes it from there."""
+    manifest = write_archive(records(spark, ["a", "b"]).coalesce(1), f"{tmp_path}/plain").first()
+    assert manifest.uri == f"file://{manifest.path}" and manifest.path.startswith(str(tmp_path))
+    assert full_uri(spark, "hdfs-less/relative").startswith("file:///")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://apart/")
+    conf.set("fs.viewfs.mounttable.apart.link./data", f"file://{tmp_path}")
+    try:
+        assert full_uri(spark, "/data/x") == "viewfs://apart/data/x"
+    finally:
+        conf.set("fs.defaultFS", before)

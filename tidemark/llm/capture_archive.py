@@ -9,8 +9,9 @@ Of records with equal payloads, from a stated size on, the one with the largest
 stored; the others are ``revisit`` records that name it and repeat its digest.
 
 One task writes one gzip archive, a member for each record, under a temporary name and
-renames it when it is complete, so a repeated task leaves the same file. Paths go through
-``pyarrow.fs``: the folder must be one that all executors reach.
+renames it when it is complete, so a repeated task leaves the same file. The folder is made a
+full URI by Spark's own file system configuration, the manifest keeps full URIs, and tasks open them by
+their scheme with ``pyarrow.fs``: it must be a store that all executors reach.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyarrow import fs
 
 from tidemark.session import scratch, stored
@@ -38,7 +40,7 @@ _OFFSET = re.compile(rb"<urn:capture-offset:(-?\d+|none)>")
 #: Bytes asked from a file at a time.
 READ_BYTES = 1 << 20
 
-MANIFEST = "path string, records bigint, bytes bigint"
+MANIFEST = "path string, records bigint, bytes bigint, uri string"
 CHUNKS = (
     "offset bigint, chunk bigint, data binary, data_bytes bigint, record_bytes bigint, sha1 string, last boolean, "
     "record_type string, refers_to bigint, header_digest string"
@@ -97,11 +99,19 @@ def _header(offset: int | None, kind: str, n: int, sha1: str, refers_to: int | N
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
+def full_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` with scheme and authority; one without them lies where Spark's default file system says."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", uri)
+
+
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        final = f"{root}/part-{task.partitionId():06d}.warc.gz"
+        name = f"part-{task.partitionId():06d}.warc.gz"
+        final = f"{root}/{name}"
         draft = f"{root}/.draft-{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
         records = 0
         out = packer = None
@@ -134,21 +144,21 @@ def _writer(folder: str):
             size = out.tell()
             out.close()
             store.move(draft, final)
-            yield pa.RecordBatch.from_pydict({"path": [final], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [final], "records": pa.array([records], pa.int64()), "bytes": pa.array([size], pa.int64()), "uri": [f"{folder}/{name}"]})
 
     return write
 
 
 def write_archive(records: DataFrame, folder: str | None = None, *, chunk_bytes: int = CHUNK_BYTES, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """Write ``records`` (offset, value) as WARC files; the manifest (path, records, bytes) is returned.
+    """Write ``records`` (offset, value) as WARC files; the manifest (path, records, bytes, uri) is returned.
 
     Offsets name records; a row that repeats an offset and a payload is written again. Other columns are ignored. A record without an offset is
-    written under the name ``none``. ``folder`` is a URI all executors reach; by default a
-    new one under the shared folder. No records, no file and an empty manifest.
+    written under the name ``none``. ``folder`` is one that all executors reach; by default a
+    new one under the shared folder. In the manifest ``path`` is the place in the store and ``uri`` names the
+    store as well. No records, no file and an empty manifest.
     """
     spark = records.sparkSession
-    folder = folder or scratch(spark, "warc")
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    folder = full_uri(spark, folder or scratch(spark, "warc"))
     plan = planned(records, revisit_from)
     narrow = records.select(F.col("offset").cast("bigint").alias("at"), F.col("value").cast("string").alias("value"))
     body = F.coalesce("value", F.lit("")).cast("binary")
@@ -230,11 +240,11 @@ def _records(source, chunk_bytes: int, with_data: bool) -> Iterator[tuple]:
             raise ValueError("a record is longer than its length")
 
 
-def _reader(root: str, chunk_bytes: int, with_data: bool):
+def _reader(chunk_bytes: int, with_data: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for uri in batch.column(0).to_pylist():
+                store, path = fs.FileSystem.from_uri(uri)
                 held, size = [], 0
                 with store.open_input_stream(path, compression=None) as source:
                     for row in _records(source, chunk_bytes, with_data):
@@ -253,15 +263,19 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNKS_ARROW, strict=True)], schema=_CHUNKS_ARROW)
 
 
-def read_archive(manifest: DataFrame, *, root: str = "file:///", chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
-    """The chunked record table of the archives a manifest lists, one task for each file.
+def read_archive(manifest: DataFrame, *, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
+    """The chunked record table of the archives a manifest lists (column ``uri``), one task for each file.
 
     Columns: offset, chunk, data (NULL unless ``with_data``), data_bytes, record_bytes and
     sha1 up to and with this chunk, last, record_type, refers_to, header_digest. Memory is
-    bounded by the chunk, not by the record. A broken record or digest fails the job.
+    bounded by the chunk, not by the record. A broken record or digest fails the job. A file
+    that is listed twice is read once.
     """
-    files = manifest.select("path").distinct()
-    return files.repartition("path").mapInArrow(_reader(root, chunk_bytes, with_data), CHUNKS)
+    files = stored(manifest.select("uri").distinct(), "archive-files")
+    # A manifest weighs next to nothing whatever its archives weigh, so its width must be said: Spark
+    # would fold a shuffle of that size into one task. One row for each archive is numbered here.
+    dealt = files.withColumn("at", (F.row_number().over(W.orderBy("uri")) - 1).cast("int"))
+    return dealt.repartitionById(max(1, files.count()), F.col("at")).select("uri").mapInArrow(_reader(chunk_bytes, with_data), CHUNKS)
 
 
 def payloads(chunks: DataFrame) -> DataFrame:
