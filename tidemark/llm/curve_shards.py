@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm.common import shuffle_width
+from tidemark.operators.scan import running, sliced
 from tidemark.session import stored
 
 BITS = 6
@@ -31,13 +32,41 @@ _ORDER = ("curve", "rev_id", "crc", "size")
 
 
 def axis(column: Column, kind: str) -> Column:
-    """A dimension as a number that keeps its order; strings by their first seven bytes."""
-    if kind.startswith(_NUMERIC):
-        if kind.startswith(("timestamp", "date")):
-            column = F.unix_micros(column.cast("timestamp"))
-        return column.cast("double")
-    head = F.rpad(F.hex(F.substring(column.cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+    """A number, date or time as a double that keeps its order."""
+    if kind.startswith(("timestamp", "date")):
+        column = F.unix_micros(column.cast("timestamp"))
+    return column.cast("double")
+
+
+def string_cuts(edits: DataFrame, dim: str, cells: int) -> list[tuple[str, int]]:
+    """The strings at the quantiles of a column, each with the number of quantiles that fall on it.
+
+    Strings count by their whole value. Distinct ones are weighed, ordered by range and summed up
+    run by run; at most ``cells - 1`` of them reach the driver.
+    """
+    weights = edits.select(F.col(f"`{dim}`").cast("string").alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ordered = running(sliced(weights, "value"), bucket=F.col("slice"), order=[F.col("value")], values={"upto": ("sum", F.col("n"))}, inclusive=True)
+    ordered = stored(ordered.select("value", "n", "upto"), "string-ranks")
+    total = ordered.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    # Quantile i of cells lies on the first string whose running weight reaches i * total / cells.
+    upto = F.least(F.expr(f"upto * {cells} div {total}"), F.lit(cells - 1))
+    before = F.expr(f"(upto - n) * {cells} div {total}")
+    found = ordered.select("value", (upto - before).alias("k")).where("k > 0").orderBy("value").collect()
+    return [(r.value, r.k) for r in found]
+
+
+def string_cell(column: Column, cuts: list[tuple[str, int]]) -> Column:
+    """The number of quantiles at or below a string, -1 for NULL."""
+    if not cuts:
+        return F.lit(-1.0)
+    at = F.aggregate(
+        F.array(*[F.struct(F.lit(v).alias("v"), F.lit(k).alias("k")) for v, k in cuts]),
+        F.lit(0),
+        lambda n, cut: n + F.when(cut["v"] <= column, cut["k"]).otherwise(0),
+    )
+    return F.when(column.isNull(), F.lit(-1)).otherwise(at).cast("double")
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -81,16 +110,21 @@ def _with_curve(edits: DataFrame, dims: Sequence[str], bits: int, cuts: list[lis
     if not 2 <= len(dims) <= 62 // bits:
         raise ValueError(f"two to {62 // bits} dimensions, not {len(dims)}")
     kinds = dict(edits.dtypes)
-    axes = [axis(F.col(f"`{d}`"), kinds[d]) for d in dims]
+    cells = 1 << bits
+    numeric = {d: axis(F.col(f"`{d}`"), kinds[d]) for d in dims if kinds[d].startswith(_NUMERIC)}
     if cuts is None:
-        shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-        row = edits.agg(*[F.percentile_approx(a, shares, 10_000).alias(f"c{i}") for i, a in enumerate(axes)]).first()
-        cuts = [sorted(c or []) for c in row]
+        shares = [i / cells for i in range(1, cells)]
+        row = edits.agg(F.lit(0), *[F.percentile_approx(a, shares, 10_000).alias(f"c{i}") for i, a in enumerate(numeric.values())]).first()[1:]
+        by_dim = {d: sorted(c or []) for d, c in zip(numeric, row, strict=True)}
+        cuts = [by_dim[d] if d in numeric else string_cuts(edits, d, cells) for d in dims]
+    # A string's cell is counted by Spark; its number is cut at 1, 2, ... like any other.
+    axes = [numeric[d] if d in numeric else string_cell(F.col(f"`{d}`").cast("string"), c) for d, c in zip(dims, cuts, strict=True)]
+    edges = [c if d in numeric else list(range(1, cells)) for d, c in zip(dims, cuts, strict=True)]
 
     @F.pandas_udf("bigint")
     def curve(*values: pd.Series) -> pd.Series:
         # A NULL is the lowest cell.
-        cells = [np.searchsorted(np.array(c), v.fillna(-np.inf).to_numpy(float), side="right") for c, v in zip(cuts, values, strict=True)]
+        cells = [np.searchsorted(np.array(c), v.fillna(-np.inf).to_numpy(float), side="right") for c, v in zip(edges, values, strict=True)]
         return pd.Series(hilbert_index(np.stack(cells, 1), bits))
 
     body = F.coalesce(F.col("diff").cast("string"), F.lit(""))
