@@ -7,8 +7,8 @@ becomes its UTF-8 bytes.
 
 No piece of such a vocabulary holds a space mark after another character (checked when it is
 loaded), so no merge crosses from one word into the next mark, and a word is worked out once.
-In every Arrow batch the sentencepiece library encodes the words that are new to the worker too,
-and one whole text in ``CHECKED``; any difference fails the job. It also decodes.
+In every Arrow batch the sentencepiece library encodes all texts whole as well, and words when
+they are new to the worker; any difference fails the job. It also decodes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from tidemark.llm.common import edit_columns
 MARK = "▁"
 #: Texts encoded, checked and decoded at a time.
 SLICE = 256
-CHECKED = 16
 ENCODED = "rev_id bigint, ids binary, decoded string"
 _ARROW = pa.schema([("rev_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
@@ -127,10 +126,9 @@ def _coder(model: str):
                 texts = part.column(1).to_pylist()
                 # A mark in a text is a space to the library.
                 found = [begin + ids + end for ids in cache.ids([t.replace(MARK, " ") for t in texts])]
-                for at in range(0, len(texts), CHECKED):
-                    want = library.encode(texts[at], add_bos=True, add_eos=True)
-                    if array("I", want).tobytes() != found[at]:
-                        raise EncodingMismatch(texts[at][:200])
+                for text, ids, want in zip(texts, found, library.encode(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
+                    if array("I", want).tobytes() != ids:
+                        raise EncodingMismatch(text[:200])
                 decoded = library.decode([array("I", ids).tolist() for ids in found], num_threads=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array(decoded, pa.string())], schema=_ARROW)
 
