@@ -14,7 +14,6 @@ by the partition. Only a partition's last windows are not full.
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,18 +22,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidemark.llm.chunk_cache import of_worker
+from tidemark.llm.chunk_cache import ChunkCache, of_worker
 from tidemark.llm.common import edit_columns
 
 WINDOW = 1024
 SEPARATOR = 0
 #: Texts tokenised at a time.
 SLICE = 256
-CHECKED = 64
-# Fixed value: how a byte-level vocabulary of this kind cuts a text into pre-tokens.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Anything but Latin letters, common marks and blanks.
-_OTHER = re.compile("[^\t\n\r -~\u00a1-\u024f\u2010-\u2027\u20ac]")
 PIECES = "rev_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema(
     [("rev_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -89,42 +83,28 @@ def windows(lengths: dict[int, int], window: int = WINDOW) -> Iterator[dict[int,
 
 
 class Encoder:
-    """Ids of a byte-level tokenizers file, as little-endian unsigned 32-bit integers.
+    """Ids by a tokenizers file, as little-endian unsigned 32-bit integers.
 
-    Texts of Latin letters and marks, whose pre-tokens no Unicode version changes, go through a
-    faster encoder made from the same file's vocabulary, all others through tokenizers itself.
-    One text in ``CHECKED`` goes both ways, and any difference fails the job.
+    A byte-level file of this kind cuts a text before a space that follows something else, so the
+    stretches between are encoded by themselves, each once per worker while room lasts. A text that
+    holds the string of a special token, which may reach over such a cut, is encoded whole.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        self.special = sorted(special)
-        marks = _byte_marks()
-        ranks = {bytes(marks[c] for c in token): i for token, i in self.library.get_vocab().items() if token not in special}
-        self.fast = tiktoken.Encoding("fast", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.known = ChunkCache(self.whole)
 
-    def slow(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [not _OTHER.search(t) and not any(s in t for s in self.special) for t in texts]
-        rest = iter(self.slow([t for t, p in zip(texts, plain, strict=True) if not p]))
-        out = [array("I", self.fast.encode_ordinary(t)).tobytes() if p else next(rest) for t, p in zip(texts, plain, strict=True)]
-        for i in range(0, len(texts), CHECKED):
-            if plain[i] and self.slow(texts[i : i + 1])[0] != out[i]:
-                raise ValueError(f"encoders differ on {texts[i][:200]!r}")
-        return out
-
-
-def _byte_marks() -> dict[str, int]:
-    """The character that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        odd = [any(s in t for s in self.special) for t in texts]
+        rest = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
+        plain = iter(self.known.ids([t for t, o in zip(texts, odd, strict=True) if not o]))
+        return [next(rest if o else plain) for o in odd]
 
 
 def _packer(path: str, window: int, separator: int):
