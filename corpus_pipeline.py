@@ -17,7 +17,7 @@ from tidemark.llm.blob_ledger import redacted, secrets
 from tidemark.llm.blob_ledger_query import document_versions
 from tidemark.llm.exact_runs import exact_duplicates
 from tidemark.llm.near_forest import near_duplicates
-from tidemark.llm.quality_ratio import judged
+from tidemark.llm.quality_ratio import PRIOR, judged
 from tidemark.llm.quality_ratio_query import trusted_documents
 from tidemark.session import scratch
 
@@ -34,7 +34,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     edits = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").alias("rev_id"), F.col("text").alias("diff"), F.struct("*").alias("doc")
     )
-    return judged(edits, trusted_documents(spark, sf_dir)).where("quality.kept").select("doc.*")
+    return judged(edits, trusted_documents(spark, sf_dir), prior=PRIOR).where("quality.kept").select("doc.*")
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 8_192
 #: Occurrences added to every bucket: in a small corpus a few copies of a text must not outweigh its labels.
 SMOOTHING = 10.0
+#: Occurrences that the trusted side starts with, spread like the raw corpus: without labels no bucket speaks for or against a text.
+PRIOR = SMOOTHING * BUCKETS
 #: Nats for each n-gram; an edit below it reads unlike the trusted ones.
 THRESHOLD = -0.30
 #: Labelled edits that the trusted multinomial is fitted on; more are thinned by a hash of their id.
@@ -121,7 +123,7 @@ def trusted_sample(trusted: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
 
 
 def ratio_table(
-    edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED_LIMIT
+    edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED_LIMIT, prior: float = 0.0
 ) -> DataFrame:
     """(bucket, ratio) for every bucket that occurs; the raw corpus is counted over all distinct texts.
 
@@ -129,7 +131,9 @@ def ratio_table(
     trusted multinomial is fitted on at most about ``limit`` of them, so their ids can be sent to
     every task. A text is trusted if any of its edits is, and counts once on both sides; only where
     rows repeat its first trusted id, it counts on both sides as often as they do. A bucket that
-    occurs nowhere has no row, and no edit can ask for it.
+    occurs nowhere has no row, and no edit can ask for it. With a ``prior`` the trusted multinomial
+    starts with so many occurrences in proportion to the raw one, and labels pull it away from
+    there; without any, all ratios are 0. With no prior it is smoothed uniformly, as the raw one is.
     """
     mark = F.broadcast(trusted_sample(trusted, limit).withColumn("good", F.lit(1)))
     v = edit_columns(edits)
@@ -151,24 +155,26 @@ def ratio_table(
     counts = stored(grams.groupBy("bucket").agg(F.sum("weight").alias("raw"), target), "gram-counts")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).select(F.struct("raw", "target")).scalar()
 
-    def log_p(count: Column, size: Column) -> Column:
-        return F.log((count + smoothing) / (size + smoothing * buckets))
-
-    return counts.select("bucket", (log_p(F.col("target"), total["target"]) - log_p(F.col("raw"), total["raw"])).alias("ratio"))
+    p_raw = (F.col("raw") + smoothing) / (total["raw"] + smoothing * buckets)
+    if prior:
+        p_target = (F.col("target") + prior * p_raw) / (total["target"] + prior)
+    else:
+        p_target = (F.col("target") + smoothing) / (total["target"] + smoothing * buckets)
+    return counts.select("bucket", (F.log(p_target) - F.log(p_raw)).alias("ratio"))
 
 
 def judged(
-    edits: DataFrame, trusted: DataFrame, *, into: str = "quality", buckets: int = BUCKETS, threshold: float = THRESHOLD
+    edits: DataFrame, trusted: DataFrame, *, into: str = "quality", buckets: int = BUCKETS, threshold: float = THRESHOLD, prior: float = 0.0
 ) -> DataFrame:
     """``edits`` with a struct column of counts, score and verdict; no edit is dropped here.
 
     ``edits`` needs ``rev_id`` and ``diff``; all its columns stay, but one called ``into``
     is replaced. The struct holds n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score and kept. A NULL or empty text has no words and
-    fails the base rules; its score is 0. Without any trusted edit both multinomials say
-    nothing and the target is uniform. Repeated rows are judged alike. No rows in, none out.
+    fails the base rules; its score is 0. Without any trusted edit a ``prior`` keeps every text that passes
+    the base rules; without a prior the target is uniform then, and frequent words weigh against a text. Repeated rows are judged alike. No rows in, none out.
     """
-    table = ratio_table(edits, trusted, buckets)
+    table = ratio_table(edits, trusted, buckets, prior=prior)
     ratios = table.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "ratio"))).alias("m"))
     # One array of ``buckets`` doubles, whatever the corpus.
     dense = ratios.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents_as_edits
-from tidemark.llm.quality_ratio import judged
+from tidemark.llm.quality_ratio import PRIOR, judged
 
 
 def trusted_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,7 +16,7 @@ def trusted_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Base counts and the verdict of the n-gram ratio for each document."""
-    found = judged(documents_as_edits(spark, sf), trusted_documents(spark, sf))
+    found = judged(documents_as_edits(spark, sf), trusted_documents(spark, sf), prior=PRIOR)
     return found.select(F.col("rev_id").alias("doc_id"), "quality.*")
 
 
