@@ -222,3 +222,26 @@ def test_exactly_once_audit(spark):
     assert check([11, 12], 10, 13)["first_gap"] == 10
     gaps = audit.gap_runs(spark.createDataFrame([(o,) for o in (1, 2, 5, 9)], "offset bigint")).collect()
     assert sorted((g["gap_from"], g["gap_to"]) for g in gaps) == [(3, 4), (6, 8)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_late_hits_equal_the_definition(spark, seed):
+    """One page owns most rows; every edit is held against all late deletions of its page."""
+    rng = random.Random(seed)
+    edits, late, mark = [], [], 0
+    for offset in range(300):
+        mark += rng.choice([0, 0, 5, 400_000])
+        title = "hot" if rng.random() < 0.7 else f"P{rng.randrange(4)}"
+        if rng.random() < 0.5:
+            edits.append((offset, title, offset, mark + rng.randrange(-10, 4_000_000), rng.randrange(0, 60_000_000)))
+        else:
+            late.append((offset, title, rng.randrange(0, 60_000_000), mark))
+    rules = replace(labels.LIVE, rows_per_bucket=37)
+    got = labels.late_hits(
+        spark.createDataFrame(edits, "offset bigint, title string, rev_id bigint, closing bigint, ends bigint"),
+        spark.createDataFrame(late, "offset bigint, title string, dt bigint, mark bigint"),
+        rules,
+    )
+    want = {r for o, t, r, closing, ends in edits if any(t == u and q > o and dt <= ends and m < closing for q, u, dt, m in late)}
+    assert {r.rev_id for r in got.collect()} == want and 0 < len(want) < len(edits)
+    assert labels.late_hits(spark.createDataFrame(edits, "offset bigint, title string, rev_id bigint, closing bigint, ends bigint"), spark.createDataFrame([], "offset bigint, title string, dt bigint, mark bigint")).count() == 0

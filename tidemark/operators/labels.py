@@ -113,11 +113,29 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     # The log is parsed once into this narrow table; later steps only need the few
     # rows that are edits, reverts, deletions or holes.
     events = stored(events, "timeline")
-    is_hole = F.coalesce(F.col("dt") - F.col("mark") > rules.outage_gap_ms, F.lit(False))
-    timed = with_event_time(events, rules).where(F.col("kind").isNotNull() | is_hole)
+    timed = with_event_time(events, rules)
+    return labelled(timed.where(F.col("kind").isNotNull() | is_hole(rules)), events.agg(F.max("dt")).scalar(), rules)
+
+
+def is_hole(rules: LabelRules) -> Column:
+    """Event time jumps by more than the outage gap at this row."""
+    return F.coalesce(F.col("dt") - F.col("mark") > rules.outage_gap_ms, F.lit(False))
+
+
+def closing_ms(rules: LabelRules) -> Column:
+    """The event time at which an edit's label leaves the queue."""
+    return F.col("due_ms") + rules.window_ms + rules.grace_ms
+
+
+def labelled(timed: DataFrame, last: Column, rules: LabelRules = LIVE) -> DataFrame:
+    """Labels of the edits among ``timed`` that have closed by event time ``last``.
+
+    ``timed`` holds edits, reverts, deletions and holes with their ``mark`` and ``due_ms``, one
+    row for each offset; a part of the log will do that has, for each of its edits, all that follows on it.
+    """
     # The next hole after each event. Holes are ordered, so the first one after
     # an edit decides whether any of them reaches into its window.
-    holed = _next_in_log(timed, [], {"hole": ("min", F.when(is_hole, F.struct("offset", F.col("mark").alias("from_ms"))))}, rules)
+    holed = _next_in_log(timed, [], {"hole": ("min", F.when(is_hole(rules), F.struct("offset", F.col("mark").alias("from_ms"))))}, rules)
     facts = stored(holed.where(F.col("kind").isNotNull()), "facts")
     seen = F.struct("offset", "dt", "mark")
 
@@ -140,20 +158,17 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
         },
         rules,
     )
-    closing = F.col("due_ms") + rules.window_ms + rules.grace_ms
+    closing = closing_ms(rules)
     ends = F.col("edit_ms") + rules.window_ms
     in_window = lambda hit: F.coalesce((hit["dt"] <= ends) & (hit["mark"] < closing), F.lit(False))
     reverted = in_window(F.col("tag"))
     # Behind an edit that is itself in order, the first late deletion seen in time lies in the
-    # window; an edit behind a later one needs a look at all late deletions of its page, both rare.
-    behind = by_title.where((F.col("kind") == "edit") & (F.col("due_ms") > F.col("edit_ms")))
-    late = facts.where((F.col("kind") == "deletion") & ~prompt).select(*[F.col(c).alias(f"late_{c}") for c in ("title", "offset", "dt", "mark")])
-    hit = (F.col("title") == F.col("late_title")) & (F.col("late_offset") > F.col("offset")) & (F.col("late_dt") <= ends) & (F.col("late_mark") < closing)
-    hits = behind.join(late, hit, "left_semi").select("rev_id", F.lit(True).alias("late_hit"))
-    by_title = by_title.join(hits, "rev_id", "left")
+    # window; an edit behind a later one needs a look at all late deletions of its page.
+    behind = by_title.where((F.col("kind") == "edit") & (F.col("due_ms") > F.col("edit_ms"))).select("offset", "title", "rev_id", closing.alias("closing"), ends.alias("ends"))
+    hits = late_hits(behind, facts.where((F.col("kind") == "deletion") & ~prompt).select("offset", "title", "dt", "mark"), rules)
+    by_title = by_title.join(hits.withColumn("late_hit", F.lit(True)), "rev_id", "left")
     deleted = F.coalesce(F.col("prompt") <= ends, F.lit(False)) | in_window(F.col("late")) | F.coalesce("late_hit", F.lit(False))
     incomplete = F.coalesce(F.col("hole.from_ms") < closing, F.lit(False))
-    last = events.agg(F.max("dt")).scalar()
     return (
         by_title.where((F.col("kind") == "edit") & (last >= closing))
         .select(
@@ -174,6 +189,36 @@ def label(events: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     )
 
 
+def late_hits(edits: DataFrame, late: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
+    """``rev_id`` of the edits with a late deletion of their page after them that counts: dt <= ends and mark < closing.
+
+    ``edits``: (offset, title, rev_id, closing, ends); ``late``: (offset, title, dt, mark), ``mark`` rising
+    with the offset. So an edit's candidates are a run of its page's deletions: from those before it in
+    the log to the last with mark < closing. Both ends are running counts. The earliest dt of a run comes from
+    minima over runs of 1, 2, 4, ... deletions: each deletion is in one run of each length, and a run
+    of any length is made of two of each at most. No edit meets the single deletions of its page.
+    """
+    none = F.lit(None).cast("bigint")
+    one = F.when(F.col("kind") == "late", F.lit(1).cast("bigint"))
+    rows = edits.select("offset", "title", F.lit("edit").alias("kind"), F.col("closing").alias("at"), "rev_id", "ends", none.alias("dt")).unionByName(
+        late.select("offset", "title", F.lit("late").alias("kind"), F.col("mark").alias("at"), none.alias("rev_id"), none.alias("ends"), "dt")
+    )
+    first = running(rows, keys=["title"], bucket=offset_bucket(F.col("offset"), rules.rows_per_bucket), order=[F.col("offset")], values={"lo": ("sum", one)})
+    # A deletion at the edit's own closing comes too late, so edits go first among equals.
+    both = running(first, keys=["title"], bucket=F.floor(F.col("at") / rules.grace_ms).cast("bigint"), order=[F.col("at"), F.col("kind"), F.col("offset")], values={"hi": ("sum", one)})
+    zero = F.lit(0).cast("bigint")
+    counted = stored(both.withColumns({"lo": F.coalesce("lo", zero), "hi": F.coalesce("hi", zero)}).where("kind = 'late' OR lo < hi"), "late-runs")
+    levels = F.lit(0) + F.coalesce(counted.where("kind = 'late'").agg(F.ceil(F.log2(F.max("lo") + 1)).cast("int")).scalar(), F.lit(0))
+    level = F.explode(F.sequence(F.lit(0), levels))
+    node = F.expr("shiftright(lo, level)")
+    minima = counted.where("kind = 'late'").select("title", "lo", "dt", level.alias("level")).groupBy("title", "level", node.alias("node")).agg(F.min("dt").alias("dt"))
+    wanted = counted.where("kind = 'edit'").select("title", "rev_id", "ends", "lo", "hi", level.alias("level"))
+    wanted = wanted.withColumns({"a": F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"), "b": F.expr("shiftright(hi, level)")}).where("a < b")
+    pieces = F.array_compact(F.array(F.when(F.expr("a % 2 = 1"), F.col("a")), F.when(F.expr("b % 2 = 1"), F.col("b") - 1)))
+    wanted = wanted.select("title", "rev_id", "ends", "level", F.explode(pieces).alias("node"))
+    return wanted.join(minima, ["title", "level", "node"]).where("dt <= ends").select("rev_id").distinct()
+
+
 def label_log(parsed: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     return label(timeline(parsed, rules), rules)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators import parse
 from tidemark.operators.audit import gap_runs
-from tidemark.operators.labels import LIVE, LabelRules, label, timeline, with_event_time
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import stored
+from tidemark.streaming.batches import each_batch
+from tidemark.streaming.labelling import label_stream, read_labels  # noqa: F401
 
 GRACE = "10 minutes"
 
@@ -32,59 +31,6 @@ def counts(stream: DataFrame, time: str, width: str, delay: str = GRACE, slide:
     )
 
 
-TIMELINE = "offset BIGINT, dt BIGINT, kind STRING, rev_id BIGINT, title STRING, edit_ms BIGINT"
-
-
-def label_stream(stream: DataFrame, folder: str, checkpoint: str, rules: LabelRules = LIVE) -> StreamingQuery:
-    """Label the edits of a raw log as their windows close, exactly as the batch form does.
-
-    Micro-batches must come in log order. Each one is cut down to the narrow timeline and
-    labelled together with the open end of the log: everything from the first edit that still
-    waits, and one row for what lies before it (the event time reached and the latest edit
-    time). Labels leave in log order, so nothing before that edit is needed again. Results go to
-    ``folder/labels``, the open end to ``folder/open``, each in a folder of its batch that a
-    retry replaces.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        events = timeline(parse.parse(batch), rules).select(*[c.split()[0] for c in TIMELINE.split(", ")])
-        if batch_id:
-            events = events.unionByName(spark.read.schema(TIMELINE).parquet(f"{folder}/open/batch={batch_id - 1}"))
-        events = stored(events, "stream-timeline")
-        found = label(events, rules).withColumn("rev_run", offset_bucket(F.col("rev_id")))
-        done = earlier_labels(spark, folder, batch_id, found)
-        found.join(done, "rev_id", "left_anti").write.mode("overwrite").partitionBy("rev_run").parquet(f"{folder}/labels/batch={batch_id}")
-        last = events.agg(F.max("dt")).scalar()
-        waiting = with_event_time(events, rules).where((F.col("kind") == "edit") & (last < F.col("due_ms") + rules.window_ms + rules.grace_ms))
-        start = waiting.agg(F.min("offset")).first()[0]
-        ahead = F.lit(True) if start is None else F.col("offset") < start
-        before = events.where(ahead).agg(F.max("offset").alias("offset"), F.max("dt").alias("dt"), F.max("edit_ms").alias("edit_ms"))
-        carried = before.where(F.col("dt").isNotNull()).select(
-            "offset", "dt", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("bigint").alias("rev_id"), F.lit("").alias("title"), "edit_ms"
-        )
-        events.where(~ahead).unionByName(carried).write.mode("overwrite").parquet(f"{folder}/open/batch={batch_id}")
-
-    return each_batch(stream, checkpoint, write)
-
-
-def earlier_labels(spark: SparkSession, folder: str, batch_id: int, found: DataFrame) -> DataFrame:
-    """Revisions labelled by earlier batches, from the runs of revisions that ``found`` falls into.
-
-    A revision that occurs again is labelled once.
-    """
-    lo, hi = found.agg(F.min("rev_run"), F.max("rev_run")).first()
-    if lo is None or not batch_id:
-        return spark.createDataFrame([], "rev_id BIGINT")
-    known = spark.read.schema("rev_id BIGINT, batch BIGINT, rev_run BIGINT").parquet(f"{folder}/labels")
-    return known.where((F.col("batch") < batch_id) & F.col("rev_run").between(lo, hi)).select("rev_id")
-
-
-def read_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """The labels written so far."""
-    return spark.read.parquet(f"{folder}/labels").drop("batch", "rev_run")
-
-
 def missing_minutes(per_minute: DataFrame, seconds: int = 60) -> DataFrame:
     """Runs of minutes without any event, from closed minute counts: (gap_from, gap_to)."""
     minutes = per_minute.select((F.unix_seconds("window_start") / seconds).cast("bigint").alias("offset"))
@@ -110,13 +56,6 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Drain through a function of (batch, batch id)."""
-    return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
 def split_sink(stream: DataFrame, events_path: str, dead_path: str, checkpoint: str) -> StreamingQuery:
     """Readable events and dead letters of one raw stream to two tables.
 
