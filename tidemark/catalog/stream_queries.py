@@ -5,6 +5,8 @@ Each runs to the end of what is there and returns the table it wrote.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
@@ -14,7 +16,7 @@ from tidemark.operators import audit, enrich, parse
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import configure, scratch, stored
 from tidemark.sources import log
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, progress
 
 Q: dict = {}
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -33,19 +35,25 @@ def event_stream(spark, sf):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed_log(spark, sf, parts: int = 4, files: int = 4):
-    """The raw log landed part by part as JSON files, then read as a stream of one part per micro-batch.
+def land(rows, key, last, folder, parts, files):
+    """Yield after each part of ``rows`` has landed in ``folder``: runs of ``key`` of equal width, each as the same number of JSON files.
 
-    The log is rendered once. File streams read by modification time, so the parts are
-    written one after another, each as the same number of files.
+    File streams read by modification time, so parts must be written one after another.
     """
+    piece = F.least(F.floor(F.col(key) * parts * files / (last + 1)), F.lit(parts * files - 1)).cast("int")
+    rows = stored(rows.withColumn("piece", piece), "rendered")
+    for part in range(parts):
+        of_part = rows.where(F.floor(F.col("piece") / files) == part)
+        of_part.repartitionById(files, F.col("piece") % files).drop("piece").write.mode("append").json(folder)
+        yield part
+
+
+def landed_log(spark, sf, parts: int = 4, files: int = 4):
+    """The raw log landed part by part, then read as a stream of one part per micro-batch. It is rendered once."""
     folder = scratch(spark, "landed")
     last = b.load(spark, sf, "events").agg(F.max("event_id")).scalar()
-    piece = F.least(F.floor(F.col("offset") * parts * files / (last + 1)), F.lit(parts * files - 1)).cast("int")
-    raw = stored(b.raw_log(spark, sf).select("offset", "value").withColumn("piece", piece), "rendered")
-    for part in range(parts):
-        rows = raw.where(F.floor(F.col("piece") / files) == part)
-        rows.repartitionById(files, F.col("piece") % files).drop("piece").write.mode("append").json(folder)
+    for _ in land(b.raw_log(spark, sf).select("offset", "value"), "offset", last, folder, parts, files):
+        pass
     return log.stream_files(spark, folder, log.RAW_SCHEMA, per_batch=files)
 
 
@@ -160,3 +168,58 @@ def stream_append_of_new_offsets(spark, sf):
     stream = event_stream(spark, sf).select(F.col("event_id").alias("source_offset"), "user_id")
     jobs.append_new(stream, out, state).awaitTermination()
     return spark.read.parquet(out).select("source_offset", "user_id")
+
+
+@register("stream_stage_counters", query(LOG, """SELECT part AS batch, count(*) AS read, count(rev_id) AS written, count(*) - count(rev_id) AS skipped, CAST(0 AS BIGINT) AS late
+FROM (SELECT least(floor(event_id * 16.0 / (SELECT max(event_id) + 1 FROM events)), 15)::BIGINT // 4 AS part, event_id FROM events) e LEFT JOIN edits ON rev_id = event_id GROUP BY 1"""))
+def stream_stage_counters(spark, sf):
+    """What the parse stage read, wrote, skipped and came too late for, one row for each micro-batch, from its progress reports."""
+    reports = scratch(spark, "progress")
+    with progress.ProgressLog(spark, reports):
+        raw = progress.count_read(landed_log(spark, sf))
+        run(progress.count_written(parse.edits(parse.parse(raw))).select("rev_id"), "counted")
+    return progress.stage_counts(progress.read_progress(spark, reports)).select("batch", "read", "written", "skipped", "late")
+
+
+LATE_PARTS = """WITH e AS (SELECT event_id, least(floor(event_id * 16.0 / (SELECT max(event_id) + 1 FROM events)), 15)::BIGINT // 4 AS part, ts FROM events),
+p AS (SELECT *, CASE WHEN part >= 2 AND event_id % 50 = 3 THEN ts - INTERVAL 5 DAYS * part ELSE ts END AS seen FROM e),
+m AS (SELECT part, max(max(seen)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 10 MINUTES AS mark FROM p GROUP BY part)"""
+
+
+@register("stream_late_rows", f"""{LATE_PARTS} SELECT part AS batch, count(*) AS rows, count(*) FILTER (epoch_us(seen) // 1000 <= epoch_us(mark) // 1000) AS late FROM p JOIN m USING (part) GROUP BY 1""")
+def stream_late_rows(spark, sf):
+    """Rows behind the watermark are dropped and counted: every 50th event of the later half comes days late.
+
+    A batch holds its rows against the watermark that the batch before it ran with.
+    """
+    folder, reports = scratch(spark, "landed"), scratch(spark, "progress")
+    rows = b.load(spark, sf, "events").select("event_id", "ts")
+    last = rows.agg(F.max("event_id")).scalar()
+    part = F.floor(F.least(F.floor(F.col("event_id") * 16 / (last + 1)), F.lit(15)) / 4)
+    behind = F.when((part >= 2) & (F.col("event_id") % 50 == 3), part * 5 * 86_400_000_000).otherwise(0)
+    for _ in land(rows.select("event_id", (F.unix_micros("ts") - behind).alias("us")), "event_id", last, folder, 4, 4):
+        pass
+    stream = log.stream_files(spark, folder, "event_id BIGINT, us BIGINT", per_batch=4).select("event_id", F.timestamp_micros("us").alias("ts"))
+    with progress.ProgressLog(spark, reports):
+        run(jobs.without_copies(stream, "event_id", "ts"), "in-time")
+    return progress.late_rows(progress.read_progress(spark, reports)).select("batch", "rows", "late")
+
+
+@register("stream_backlog", """WITH n AS (SELECT least(floor(event_id * 16.0 / (SELECT max(event_id) + 1 FROM events)), 15)::BIGINT // 4 AS part, count(*) AS n FROM events GROUP BY 1),
+s AS (SELECT part + 1 AS step, n AS d FROM n UNION ALL SELECT part + 5, -n FROM n), a AS (SELECT count(*) AS c FROM events)
+SELECT step, CAST(sum(d) OVER (ORDER BY step) AS BIGINT) AS lag, a.c AS handled, true AS exactly_once FROM s, a""")
+def stream_backlog(spark, sf):
+    """A consumer that takes one part per micro-batch starts behind four landings: its lag rises, drains to nothing, and each offset was handled once."""
+    folder, reports = scratch(spark, "landed"), scratch(spark, "progress")
+    out, state = scratch(spark, "handled"), scratch(spark, "handled-state")
+    rows = b.load(spark, sf, "events").select(F.col("event_id").alias("offset"))
+    last = rows.agg(F.max("offset")).scalar()
+    landings = []
+    for _ in land(rows, "offset", last, folder, 4, 4):
+        landed = spark.read.schema("offset BIGINT").json(folder).count()
+        landings.append((datetime.now(timezone.utc), landed - sum(n for _, n in landings)))
+    with progress.ProgressLog(spark, reports):
+        jobs.to_table(log.stream_files(spark, folder, "offset BIGINT", per_batch=4), out, state).awaitTermination()
+    lag = progress.lag_over_time(spark.createDataFrame(landings, "at timestamp, n bigint"), progress.completions(progress.read_progress(spark, reports)))
+    audited = audit.exactly_once(spark.read.parquet(out), 0, last + 1).select("handled", F.col("ok").alias("exactly_once"))
+    return lag.select("step", "lag").join(audited)

@@ -114,7 +114,8 @@ def _label_batch(batch: DataFrame, b: int, folder: str, rules: LabelRules) -> No
         runs = (min(o[1] for o in due) >> RUN_BITS, max(o[2] for o in due) >> RUN_BITS)
         if exists(spark, f"{folder}/reverts"):
             tags = spark.read.schema(f"{FACT}, rev_run BIGINT, batch BIGINT").parquet(f"{folder}/reverts")
-            parts.append(tags.where(F.col("rev_run").between(*runs) & (F.col("batch") <= b)).drop("rev_run", "batch"))
+            # A tag comes after its edit, so not in an earlier batch.
+            parts.append(tags.where(F.col("rev_run").between(*runs) & F.col("batch").between(due[0][0], b)).drop("rev_run", "batch"))
         counted = Observation()
         together = reduce(DataFrame.unionByName, parts).observe(counted, F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("kind") == "edit", F.col("offset"))).alias("upto"))
         # One row for each offset; an edit that is a hole as well stands in both.
