@@ -144,7 +144,7 @@ def test_drift(spark):
     base = runs(spark, [(i, i % 2 == 0, 0.5, 1, 1, 1) for i in range(10)])
     flipped = base.withColumn("revert", F.when(F.col("rev_id") < 2, ~F.col("revert")).otherwise(F.col("revert")))
     check = drift.compare(base, flipped).first()
-    assert check["agreement"] == 0.8 and check["alerts"] == ["agreement 80.0% is below 90% (2 of 10 decisions changed)"]
+    assert check["agreement"] == 0.8 and check["alerts"] == ["2/10 answers turned: 80.0% same, wanted 90%"]
     assert drift.compare(base, base).first()["alerts"] == []
     renamed = drift.compare(base, base.withColumn("model_version", F.lit("m@2"))).first()
     assert renamed["alerts"] == ["model version changed: m@1 -> m@2"]

@@ -126,15 +126,26 @@ def test_answers(spark, raw, want):
     assert (got["revert"], got["p_revert"], got["invalid"]) == want
 
 
-def test_request_text_never_shows_the_label(spark):
-    row = spark.range(1).select(
-        F.lit("T").alias("title"), F.lit(False).alias("is_new"), F.lit(True).alias("minor"), F.lit("registered").alias("user_class"), F.lit(12.7).alias("account_age_days"),
-        F.lit(40).alias("editcount"), F.lit(-300).alias("size_delta"), F.lit("  ").alias("comment"), F.lit("- x").alias("diff"), F.lit(None).cast("string").alias("diff_unavailable"),
-        F.lit("reverted-label").alias("label"),
-    )
+@pytest.mark.parametrize(
+    "columns, wanted",
+    [
+        (dict(title="Saltmarsh", is_new=False, minor=True, user_class="registered", age=418.9, count=3071, delta=56, comment=" tide tables ", diff="+ ebb", gone=None),
+         ["Saltmarsh", "changes the page (said to be minor)", "member for 418 days with 3071 contributions", "+56", "tide tables", "+ ebb"]),
+        (dict(title="Weir", is_new=True, minor=False, user_class="temporary", age=None, count=None, delta=0, comment=None, diff="+ Weirs hold water back.", gone=None),
+         ["creates the page", "visitor with a temporary name", "<empty>", "whole text:\n+ Weirs hold water back."]),
+        (dict(title="Lock", is_new=False, minor=None, user_class="registered", age=None, count=9, delta=-7, comment="", diff="", gone=None), ["member, history unknown", "-7", "<text unchanged>"]),
+        (dict(title="Quay", is_new=False, minor=None, user_class="registered", age=0.2, count=1, delta=2, comment="x", diff="", gone="hidden"), ["member for under one day with 1 contributions", "<diff missing>"]),
+    ],
+)
+def test_request_text_has_the_features_and_not_the_label(spark, columns, wanted):
+    schema = "title string, is_new boolean, minor boolean, user_class string, account_age_days double, editcount bigint, size_delta bigint, comment string, diff string, diff_unavailable string, label string"
+    row = spark.createDataFrame([(*columns.values(), "label-of-the-edit")], schema)
     body = row.select(text.render_edit().alias("t")).first()["t"]
-    for part in ("registered account, 12 days old, 40 edits", "-300 bytes", "(none)", "edit to an existing page, marked minor"):
+    for part in wanted:
         assert part in body
-    assert "reverted-label" not in body
-    with pytest.raises(ValueError, match="nonsense"):
-        text.fill("{{nonsense}}", {})
+    assert "label-of-the-edit" not in body
+
+
+def test_an_unknown_template_field_is_an_error():
+    with pytest.raises(ValueError, match="harbour"):
+        text.fill("{{harbour}}", {})

@@ -160,10 +160,10 @@ def account_snapshots(spark: SparkSession, sf: str) -> DataFrame:
 
 # Configurations of the derived runs as (name, model version, weight of the hash, tokens in).
 CONFIGS = (
-    ("small:a__p1-plain", "a@1", 37, 400),
-    ("small:a__p2-guide", "a@1", 53, 700),
-    ("large:b__p1-plain", "b@2", 11, 900),
-    ("large:b__p2-guide", "b@2", 29, 1300),
+    ("small:a__terse-1", "a@1", 37, 400),
+    ("small:a__rules-4", "a@1", 53, 700),
+    ("large:b__terse-1", "b@2", 11, 900),
+    ("large:b__rules-4", "b@2", 29, 1300),
     ("baseline:score-c", "c@3", 71, None),
 )
 PRICES = (("small:a", 0.0, 0.0), ("large:b", 1.5, 9.0))
@@ -203,7 +203,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     p = F.floor((spread * 0.7 + F.when(c("quality") == 0, 0.3).otherwise(0.0)) * 100 + 0.5) / 100.0
     invalid = (d * c("w")) % 31 == 3
     # The first prompt of the large model left some edits unanswered.
-    answered = ~((c("config") == "large:b__p1-plain") & (d % 10 == 7))
+    answered = ~((c("config") == "large:b__terse-1") & (d % 10 == 7))
     rows = eval_set(spark, sf).select("*", F.explode(entry).alias("e")).select("*", "e.*").where(answered)
     return rows.select(
         "set",
@@ -224,15 +224,15 @@ def reruns(spark: SparkSession, sf: str) -> DataFrame:
     """Later answers of the sealed runs: two configurations drifted in different ways."""
     c = F.col
     d = c("rev_id")
-    flip = ((c("config") == "small:a__p1-plain") & (d % 5 == 1)) | ((c("config") == "large:b__p2-guide") & (d % 50 == 3))
-    lost = (c("config") == "large:b__p2-guide") & (d % 7 == 2)
+    flip = ((c("config") == "small:a__terse-1") & (d % 5 == 1)) | ((c("config") == "large:b__rules-4") & (d % 50 == 3))
+    lost = (c("config") == "large:b__rules-4") & (d % 7 == 2)
     return runs(spark, sf).where("set = 'sealed'").select(
         "set",
         "config",
         "rev_id",
         F.when(lost, F.lit(None).cast("boolean")).when(flip, ~c("revert")).otherwise(c("revert")).alias("revert"),
         F.when(~lost, F.when(flip, 1 - c("p_revert")).otherwise(c("p_revert"))).alias("p_revert"),
-        F.when(c("config") == "small:a__p2-guide", "a@2").otherwise(c("model_version")).alias("model_version"),
+        F.when(c("config") == "small:a__rules-4", "a@2").otherwise(c("model_version")).alias("model_version"),
         "at",
     )
 

@@ -94,9 +94,9 @@ def threshold_scorer(spark, sf):
     return rows.select("rev_id", *scoring.by_threshold(read, F.col("status"), F.col("body")))
 
 
-@register("unanswered_edits", query(RUNS, """SELECT "set", rev_id FROM eval_set e WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.config = 'large:b__p1-plain' AND r."set" = e."set" AND r.rev_id = e.rev_id)"""))
+@register("unanswered_edits", query(RUNS, """SELECT "set", rev_id FROM eval_set e WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.config = 'large:b__terse-1' AND r."set" = e."set" AND r.rev_id = e.rev_id)"""))
 def unanswered_edits(spark, sf):
-    return scoring.unanswered(b.eval_set(spark, sf), b.runs(spark, sf).where("config = 'large:b__p1-plain'")).select("set", "rev_id")
+    return scoring.unanswered(b.eval_set(spark, sf), b.runs(spark, sf).where("config = 'large:b__terse-1'")).select("set", "rev_id")
 
 
 @register("best_configuration_per_model", query(f"{RUNS}, {GRID}", """SELECT "set", model, config, f1 FROM (SELECT *, split_part(config, '__', 1) AS model, row_number() OVER (PARTITION BY "set", split_part(config, '__', 1) ORDER BY f1 DESC, coalesce(tokens_in, 0) + coalesce(tokens_out, 0), config) AS n FROM grid WHERE complete) WHERE n = 1"""))
@@ -104,7 +104,7 @@ def best_configuration_per_model(spark, sf):
     return scoring.best_per_model(scores(spark, sf).where("complete")).select("set", "model", "config", "f1")
 
 
-@register("configurations_and_models", query(RUNS, "SELECT DISTINCT config, split_part(config, '__', 1) AS model, regexp_replace(config, '__p\\d-[\\w-]+$', '') AS plain FROM runs"))
+@register("configurations_and_models", query(RUNS, "SELECT DISTINCT config, split_part(config, '__', 1) AS model, regexp_replace(config, '__[\\w-]+$', '') AS plain FROM runs"))
 def configurations_and_models(spark, sf):
     c = F.col("config")
     return b.runs(spark, sf).select("config", change.model_of(c).alias("model"), change.without_template(c).alias("plain")).distinct()
@@ -162,7 +162,7 @@ def calibration_ranges(spark, sf):
 PAIRED = f"""ladder_pairs AS (
   SELECT e.rev_id, label = 'reverted' AS actual, coalesce(l.revert, false) AS lflag, l.p_revert AS p, l.latency_ms AS lms, coalesce(c.revert, false) AS cflag, c.latency_ms AS cms,
     (c.tokens_in * 1.5::DOUBLE + c.tokens_out * 9.0::DOUBLE) / 1e6::DOUBLE AS ccost
-  FROM eval_set e JOIN runs l ON l.config = 'small:a__p1-plain' AND l.rev_id = e.rev_id JOIN runs c ON c.config = 'large:b__p2-guide' AND c.rev_id = e.rev_id WHERE {DECIDED})"""
+  FROM eval_set e JOIN runs l ON l.config = 'small:a__terse-1' AND l.rev_id = e.rev_id JOIN runs c ON c.config = 'large:b__rules-4' AND c.rev_id = e.rev_id WHERE {DECIDED})"""
 
 POLICY_ROWS = """policy_rows AS (
   SELECT 'heuristics only' AS policy, actual, true AS flagged, 0.0 AS cost, 0.0 AS latency, false AS escalated FROM ladder_pairs
@@ -179,8 +179,8 @@ POLICY_TABLE = f"""SELECT policy, count(*) AS edits, {wilson('precision', TPFP[0
 
 def pairs(spark, sf):
     runs = b.runs(spark, sf)
-    local = runs.where("config = 'small:a__p1-plain'")
-    cloud = ladder.with_cost(runs.where("config = 'large:b__p2-guide'"), b.prices(spark))
+    local = runs.where("config = 'small:a__terse-1'")
+    cloud = ladder.with_cost(runs.where("config = 'large:b__rules-4'"), b.prices(spark))
     return ladder.paired(b.eval_set(spark, sf), local, cloud)
 
 
@@ -236,10 +236,10 @@ checks AS (
     string_agg(DISTINCT vb, ', ' ORDER BY vb) FILTER (matched) AS versions_before, string_agg(DISTINCT vn, ', ' ORDER BY vn) FILTER (matched) AS versions_now
   FROM joined GROUP BY 1)"""
 
-ALERTS = """concat_ws(' | ', CASE WHEN unmatched > 0 THEN unmatched || ' rerun answers have no earlier answer to compare with' END,
-  CASE WHEN agreement < 0.9 THEN 'agreement ' || printf('%.1f%%', agreement * 100) || ' is below 90% (' || flips || ' of ' || edits || ' decisions changed)' END,
-  CASE WHEN versions_before <> versions_now THEN 'model version changed: ' || versions_before || ' -> ' || versions_now END,
-  CASE WHEN invalid_now - invalid_before > 0.05 THEN 'invalid answers rose from ' || printf('%.1f%%', invalid_before * 100) || ' to ' || printf('%.1f%%', invalid_now * 100) END)"""
+ALERTS = """concat_ws(' | ', CASE WHEN unmatched > 0 THEN 'nothing to hold against: ' || unmatched || ' reruns' END,
+  CASE WHEN agreement < 0.9 THEN flips || '/' || edits || ' answers turned: ' || printf('%.1f%%', agreement * 100) || ' same, wanted 90%' END,
+  CASE WHEN versions_before <> versions_now THEN 'scorer was ' || versions_before || ', is ' || versions_now END,
+  CASE WHEN invalid_now - invalid_before > 0.05 THEN 'unusable answers: ' || printf('%.1f%%', invalid_now * 100) || ', earlier ' || printf('%.1f%%', invalid_before * 100) END)"""
 
 
 def drift_inputs(spark, sf):
@@ -285,9 +285,9 @@ def drift_history(spark, sf):
 
 
 @register("degraded_runs", query(RUNS, """SELECT rev_id, CASE WHEN flip AND revert IS NOT NULL THEN NOT revert ELSE revert END AS revert, CASE WHEN flip AND revert IS NOT NULL THEN floor((1 - p_revert) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE ELSE p_revert END AS p_revert
-FROM (SELECT *, CAST('0x' || substr(sha256(CAST(rev_id AS VARCHAR)), 1, 2) AS INTEGER) % 100 < 30 AS flip FROM runs WHERE config = 'small:a__p1-plain')"""))
+FROM (SELECT *, CAST('0x' || substr(sha256(CAST(rev_id AS VARCHAR)), 1, 2) AS INTEGER) % 100 < 30 AS flip FROM runs WHERE config = 'small:a__terse-1')"""))
 def degraded_runs(spark, sf):
-    return drift.degrade(b.runs(spark, sf).where("config = 'small:a__p1-plain'"), 30).select("rev_id", "revert", "p_revert")
+    return drift.degrade(b.runs(spark, sf).where("config = 'small:a__terse-1'"), 30).select("rev_id", "revert", "p_revert")
 
 
 @register("degraded_run_alerts", query(RUNS, f"""SELECT config, count(*) AS edits, {share("count(*) FILTER (NOT flip OR revert IS NULL)", 'count(*)')} AS agreement, {share("count(*) FILTER (NOT flip OR revert IS NULL)", 'count(*)')} < 0.9 AS alerted

@@ -394,13 +394,13 @@ def merged_captures(spark, sf):
   {wilson("kept_but_vandalism", "count(*) FILTER (NOT reverted AND v = 'y')", "count(*) FILTER (NOT reverted AND v <> 'u')")},
   0.0815::DOUBLE AS population_rate,
   {r4("0.0815 * (1 - count(*) FILTER (reverted AND v = 'n')::DOUBLE / count(*) FILTER (reverted AND v <> 'u')) + (1 - 0.0815) * (1 - count(*) FILTER (NOT reverted AND v = 'y')::DOUBLE / count(*) FILTER (NOT reverted AND v <> 'u'))")} AS population_agreement
-FROM (SELECT k % 4 = 1 AS reverted, CASE WHEN k % 9 = 0 THEN 'u' WHEN k % 5 < 2 THEN 'y' ELSE 'n' END AS v FROM edits WHERE rev_id % 3 = 0 AND rev_id % 41 <> 0 AND k % 17 <> 0)"""),
+FROM (SELECT k % 4 = 1 AS reverted, CASE WHEN k % 9 = 0 THEN 'u' WHEN k % 5 < 2 THEN 'y' ELSE 'n' END AS v FROM edits WHERE rev_id % 41 <> 0 AND k % 17 <> 0)"""),
 )
 def label_noise(spark, sf):
     """A judged sheet against its key; rows that are not in the key or not judged are set aside."""
     edits = parse.edits(b.parsed_log(spark, sf)).select("rev_id")
     k = b.facts(spark, sf).select(F.col("offset").alias("rev_id"), "k")
-    base = edits.join(k, "rev_id").where("rev_id % 3 = 0")
+    base = edits.join(k, "rev_id")
     verdict = F.when(F.col("k") % 17 == 0, "?").when(F.col("k") % 9 == 0, "u").when(F.col("k") % 5 < 2, "Y").otherwise("n")
     sheet = base.select("rev_id", verdict.alias("vandalism"))
     key = base.where("rev_id % 41 <> 0").select("rev_id", (F.col("k") % 4 == 1).alias("reverted"))
@@ -408,11 +408,11 @@ def label_noise(spark, sf):
     return audit.label_noise(usable, 0.0815)
 
 
-@register("sheet_problems", query(LOG, "SELECT CASE WHEN rev_id % 41 = 0 THEN 'not in key' ELSE 'vandalism must be y/n/u' END AS problem, count(*) AS n FROM edits WHERE rev_id % 3 = 0 AND (rev_id % 41 = 0 OR k % 17 = 0) GROUP BY 1"))
+@register("sheet_problems", query(LOG, "SELECT CASE WHEN rev_id % 41 = 0 THEN 'not in key' ELSE 'vandalism must be y/n/u' END AS problem, count(*) AS n FROM edits WHERE rev_id % 41 = 0 OR k % 17 = 0 GROUP BY 1"))
 def sheet_problems(spark, sf):
     edits = parse.edits(b.parsed_log(spark, sf)).select("rev_id")
     k = b.facts(spark, sf).select(F.col("offset").alias("rev_id"), "k")
-    base = edits.join(k, "rev_id").where("rev_id % 3 = 0")
+    base = edits.join(k, "rev_id")
     sheet = base.select("rev_id", F.when(F.col("k") % 17 == 0, "?").otherwise("n").alias("vandalism"))
     key = base.where("rev_id % 41 <> 0").select("rev_id", F.lit(True).alias("reverted"))
     return audit.judged(sheet, key).where("problem IS NOT NULL").groupBy("problem").agg(F.count("*").alias("n"))

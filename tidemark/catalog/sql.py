@@ -123,16 +123,16 @@ runs AS (
     tokens + rev_id % 50 AS tokens_in, CASE WHEN tokens IS NOT NULL THEN 20 + rev_id % 9 END AS tokens_out, model_version
   FROM (SELECT *, (rev_id * w) % 31 = 3 AS bad,
       floor((((rev_id * w + n_chars * 7) % 101)::DOUBLE / 100.0::DOUBLE * 0.7::DOUBLE + (CASE WHEN quality = 0 THEN 0.3 ELSE 0.0 END)::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS p
-    FROM eval_set, configs WHERE NOT (config = 'large:b__p1-plain' AND rev_id % 10 = 7)))"""
+    FROM eval_set, configs WHERE NOT (config = 'large:b__terse-1' AND rev_id % 10 = 7)))"""
 
 RERUNS = RUNS + """,
 reruns AS (
   SELECT "set", config, rev_id,
     CASE WHEN lost THEN NULL WHEN flip THEN NOT revert ELSE revert END AS revert,
     CASE WHEN lost THEN NULL WHEN flip THEN 1 - p_revert ELSE p_revert END AS p_revert,
-    CASE WHEN config = 'small:a__p2-guide' THEN 'a@2' ELSE model_version END AS model_version
-  FROM (SELECT *, (config = 'small:a__p1-plain' AND rev_id % 5 = 1) OR (config = 'large:b__p2-guide' AND rev_id % 50 = 3) AS flip,
-      config = 'large:b__p2-guide' AND rev_id % 7 = 2 AS lost FROM runs WHERE "set" = 'sealed'))"""
+    CASE WHEN config = 'small:a__rules-4' THEN 'a@2' ELSE model_version END AS model_version
+  FROM (SELECT *, (config = 'small:a__terse-1' AND rev_id % 5 = 1) OR (config = 'large:b__rules-4' AND rev_id % 50 = 3) AS flip,
+      config = 'large:b__rules-4' AND rev_id % 7 = 2 AS lost FROM runs WHERE "set" = 'sealed'))"""
 
 SAMPLES = FACTS + """,
 samples AS (

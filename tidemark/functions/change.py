@@ -67,5 +67,5 @@ def model_of(config: Column) -> Column:
 
 
 def without_template(config: Column) -> Column:
-    """A configuration name without its trailing ``__pN-name`` part."""
-    return F.regexp_replace(config, r"__p\d-[\w-]+$", "")
+    """A configuration name without its trailing ``__template`` part."""
+    return F.regexp_replace(config, r"__[\w-]+$", "")
