@@ -10,7 +10,7 @@ from tidemark.functions import change
 from tidemark.operators import audit, parse
 from tidemark.plans.jobs import through_table
 from tidemark.session import scratch
-from tidemark.sources import log, tables
+from tidemark.sources import log, replay, tables
 
 Q: dict = {}
 
@@ -174,6 +174,22 @@ def replay_window(spark, sf):
     return rows.select(F.col("offset").alias("off"), ms("dt").alias("dt_ms"))
 
 
+@register("replay_through_index", query(LOG, """SELECT off, dt_ms, true AS complete,
+  (SELECT count(DISTINCT file) FROM piece WHERE file IN (SELECT p.file FROM piece p JOIN facts f USING (off) WHERE f.state <> 'cut' GROUP BY p.file HAVING max(f.ts) >= TIMESTAMP '2024-01-10 06:00:00' AND min(f.ts) < TIMESTAMP '2024-01-12 18:30:00')) AS files
+FROM log WHERE ts >= TIMESTAMP '2024-01-10 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:30:00'""").replace("WITH ", "WITH piece AS (SELECT event_id AS off, event_id * 32 // (SELECT max(event_id) + 1 FROM events) AS file FROM events), ", 1))
+def replay_through_index(spark, sf):
+    """The same window from captures landed as 32 files: only the files that can hold it are opened."""
+    since, until = "2024-01-10 06:00:00", "2024-01-12 18:30:00"
+    folder, index = scratch(spark, "capture"), scratch(spark, "capture-index")
+    last = b.load(spark, sf, "events").agg(F.max("event_id")).scalar()
+    raw = b.raw_log(spark, sf).select("offset", "value").withColumn("file", F.floor(F.col("offset") * 32 / (last + 1)).cast("int"))
+    raw.repartitionById(32, F.col("file")).drop("file").write.json(folder)
+    known = replay.index_captures(spark, folder, index)
+    rows = parse.readable(parse.parse(replay.replay(spark, folder, index, since, until).select("offset", "value")))
+    files = len(replay.files_of_window(spark, folder, index, since, until))
+    return rows.select(F.col("offset").alias("off"), ms("dt").alias("dt_ms"), replay.is_complete(known, until).alias("complete"), F.lit(files).cast("bigint").alias("files"))
+
+
 @register("replay_offsets", query(FACTS, "SELECT rev_id, off FROM (SELECT *, off AS rev_id FROM facts) WHERE off BETWEEN (SELECT max(event_id) // 4 FROM events) AND (SELECT max(event_id) // 2 FROM events) AND state = 'ok' AND wiki = 'enwiki' AND namespace = 0 AND event_type IN ('click', 'view', 'signup')"))
 def replay_offsets(spark, sf):
     last = b.load(spark, sf, "events").agg(F.max("event_id"))
