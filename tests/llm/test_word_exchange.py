@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import AWKWARD, edits, words
 
-from tidemark.llm.word_exchange import Cutter, Merges, TextsChanged, _reassemble, coded, decoded, read_ranks
+from tidemark.llm.word_exchange import Cutter, Merges, TextsChanged, _joined, coded, decoded, read_ranks
 from tidemark.llm.word_exchange_query import op11_byte_bpe
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,16 +77,17 @@ def test_words_follow_the_classes_of_the_library():
         assert (len(cutter.words("x" + chr(code) + "x")) == 1) == letter, hex(code)
 
 
-def test_readings_that_differ_are_noticed(spark):
+def test_readings_that_differ_are_noticed():
     import pyarrow as pa
 
-    heads = [
-        {"block": 1, "place": -1, "check": b"a", "ids": None, "rev_ids": None, "counts": None, "sequence": None},
-        {"block": 1, "place": -1, "check": b"b", "ids": None, "rev_ids": [1], "counts": [0], "sequence": pa.compress(b"", "zstd", asbytes=True)},
-    ]
-    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("check", pa.binary()), ("ids", pa.binary()), ("rev_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sequence", pa.binary())])
+    empty = pa.compress(b"", "zstd", asbytes=True)
+    heads = [{"block": 1, "check": "a", "counts": None, "packed": None}, {"block": 1, "check": "b", "counts": [0], "packed": empty, "rev_ids": [1]}]
     with pytest.raises(TextsChanged):
-        list(_reassemble(iter([pa.RecordBatch.from_pylist(heads, schema)])))
+        list(_joined(heads))
+    with pytest.raises(TextsChanged):
+        list(_joined(heads[:1]))
+    heads[1]["check"] = "a"
+    assert [b.to_pylist() for b in _joined(heads)] == [[{"rev_id": 1, "ids": []}]]
 
 
 def test_the_query_equals_the_library(spark, library, tmp_path):
@@ -99,3 +100,14 @@ def test_the_query_equals_the_library(spark, library, tmp_path):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((TEXTS[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_a_pattern_may_leave_characters_out(spark):
+    """Letters only: digits, marks and spaces belong to no word and get no ids."""
+    import regex
+
+    texts = ["ab1cd ef", "12 34", " x  y ", "é-中 a'b", "a\u00a0 b c1"]
+    merges = Merges(read_ranks(RANKS))
+    found = coded(edits(spark, list(enumerate(texts))), RANKS, r"\p{L}+").collect()
+    for r in found:
+        assert r.ids == [i for w in regex.findall(r"\p{L}+", texts[r.rev_id]) for i in merges.ids(w.encode())]

@@ -15,7 +15,8 @@ from collections.abc import Callable
 ENTRIES = 600_000
 #: A space whose left neighbour is no white space of any definition starts a stretch.
 _CUT = re.compile(r"(?<=\S)(?= )")
-_ODD = re.compile(r"(?:^|\s) ")
+#: Two characters of white space of any kind, the second a space.
+_ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 def of_worker(key: tuple, make: Callable):
@@ -28,7 +29,7 @@ def of_worker(key: tuple, make: Callable):
 
 def stretches(text: str) -> tuple[str, list[str]]:
     """A text's first stretch, and the others without the space they start with."""
-    if _ODD.search(text):
+    if text[:1] == " " or any(pair in text for pair in _ODD):
         first, *rest = _CUT.split(text)
         return first, [r[1:] for r in rest]
     first, *rest = text.split(" ")

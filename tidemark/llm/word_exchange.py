@@ -10,6 +10,7 @@ A pattern cuts every text into words (pre-tokens), and a word's ids depend on no
 3. Join back: the ids return to ``(block, place)``, where they meet the block's sequence of places.
 4. Reassemble: each place in the sequence gets its ids, and the sequence is cut into edits.
 
+Texts are cut between words and spaces first, and each such stretch is put to the pattern once a block.
 The sequences are read from the texts a second time instead of being stored beside the words,
 which would write them twice; a digest of the block's words proves that both readings agree.
 Decoding joins ids with the table of token bytes, one row for each token of the vocabulary.
@@ -18,27 +19,33 @@ Decoding joins ids with the table of token bytes, one row for each token of the
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunk_cache import of_worker
+from tidemark.llm.chunk_cache import of_worker, stretches
 from tidemark.llm.common import edit_columns
 
 #: Characters of a block; a longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Words up to this many bytes are merged by scanning, longer ones by a heap.
 SHORT = 48
 #: Edits handed on at a time.
 SLICE = 2_000
+#: Words encoded before their ids are dealt to blocks.
+DEALT = 200_000
 _BLOCK_BITS = 31
-_PARTS = "block bigint, place int, word string, check binary, rev_ids array<bigint>, counts array<int>, sequence binary"
-_DEALT = "block bigint, place int, check binary, ids binary"
+#: A block's words one by one, and last of all their digest at place -1.
+_WORDS = "block bigint, place int, word string"
+_PARTS = "block bigint, check string, rev_ids array<bigint>, counts array<int>, packed binary"
 CODED = "rev_id bigint, ids array<int>"
 DECODED = "rev_id bigint, ids array<int>, decoded binary"
 
@@ -166,101 +173,178 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tup
         yield number, ids, texts
 
 
-def _digest(words: Iterator[str]) -> bytes:
-    found = blake2b(digest_size=16)
-    for w in words:
-        found.update(w.encode())
-        found.update(b"\xff")
-    return found.digest()
+def _digest(words: list[str]) -> str:
+    found = blake2b("".join(words).encode(), digest_size=16)
+    found.update(np.array([len(w) for w in words], "<u4").tobytes())
+    return found.hexdigest()
 
 
-def _exploder(pattern: str, block_chars: int, sequences: bool):
-    """Rows of a block: its distinct words with their places, or its one sequence of places."""
-    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("check", pa.binary()), ("rev_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sequence", pa.binary())])
+class _Block:
+    """The distinct words of a block, and texts as sequences of their places.
+
+    Words are numbered text by text, those of a text's new stretches in the order of the stretches, so two
+    readings of the same texts number alike.
+    """
+
+    def __init__(self, cut: Callable[[str], list[str]], sequences: bool):
+        self.cut, self.sequences, self.places = cut, sequences, {}
+        self.first: dict[str, tuple | None] = {}
+        self.spaced: dict[str, tuple | None] = {}
+
+    def _numbered(self, stretch: str) -> tuple | None:
+        places = self.places
+        found = [places.setdefault(w, len(places)) for w in self.cut(stretch)]
+        return tuple(found) if self.sequences else None
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new stretches to the pattern together: in a row they are cut as they are alone, each at its space."""
+        row = [r for r in new if r and not r[-1].isspace()]
+        words = self.cut(" " + " ".join(row)) if row else []
+        ends, bounds = list(accumulate(map(len, words))), list(accumulate(len(r) + 1 for r in row))
+        if row and (ends[-1:] != bounds[-1:] or not set(bounds).issubset(ends)):
+            # The pattern leaves something out: then only a stretch by itself tells which words are its own.
+            row = []
+        else:
+            places = self.places
+            found = [places.setdefault(w, len(places)) for w in words]
+            if self.sequences:
+                cuts = np.searchsorted(ends, bounds).tolist() if row else []
+                self.spaced.update((r, tuple(found[a:b])) for r, a, b in zip(row, [0, *(c + 1 for c in cuts)], [c + 1 for c in cuts], strict=False))
+            else:
+                self.spaced.update(dict.fromkeys(row))
+        for r in new if not row else (r for r in new if not r or r[-1].isspace()):
+            self.spaced[r] = self._numbered(" " + r)
+
+    def add(self, text: str) -> np.ndarray | None:
+        """The text's words are counted in; its places, where sequences are wanted."""
+        first, rest = stretches(text)
+        if first not in self.first:
+            self.first[first] = self._numbered(first)
+        self._learn(sorted(set(rest).difference(self.spaced)))
+        if not self.sequences:
+            return None
+        out = array("I", self.first[first])
+        out.extend(chain.from_iterable(map(self.spaced.__getitem__, rest)))
+        return np.frombuffer(out, "<u4")
+
+
+_WORDS_ARROW = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string())])
+_PARTS_ARROW = pa.schema([("block", pa.int64()), ("check", pa.string()), ("rev_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("packed", pa.binary())])
+
+
+def _exploder(pattern: str, block_chars: int):
+    """The distinct words of each block with their places."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = cutter_of(pattern).words
-        for block, rev_ids, texts in _blocks(batches, block_chars):
-            places: dict[str, int] = {}
-            if sequences:
-                number = places.setdefault
-                found = [np.array([number(w, len(places)) for w in cut(t)], "<u4") for t in texts]
-                counts, sequence = [len(f) for f in found], pa.compress(np.concatenate(found).tobytes(), "zstd", asbytes=True)
-                row = {"block": block, "place": -1, "word": None, "check": _digest(places), "rev_ids": rev_ids, "counts": counts, "sequence": sequence}
-                yield pa.RecordBatch.from_pylist([row], schema)
-                continue
+        for number, _, texts in _blocks(batches, block_chars):
+            block = _Block(cutter_of(pattern).words, False)
             for t in texts:
-                places.update(dict.fromkeys(cut(t)))
-            words = list(places)
+                block.add(t)
+            words = list(block.places)
             for at in range(0, len(words), 50_000):
                 some = words[at : at + 50_000]
                 n = len(some)
-                found = [pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.string())]
-                yield pa.RecordBatch.from_arrays([*found, *(pa.nulls(n, schema.field(i).type) for i in range(3, len(schema)))], schema=schema)
-            yield pa.RecordBatch.from_pylist([{"block": block, "place": -1, "check": _digest(places)}], schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.string())], schema=_WORDS_ARROW)
+            yield pa.RecordBatch.from_pylist([{"block": number, "place": -1, "word": _digest(words)}], _WORDS_ARROW)
 
     return explode
 
 
+def _sequencer(pattern: str, block_chars: int):
+    """The texts of each block as one sequence of places."""
+
+    def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rev_ids, texts in _blocks(batches, block_chars):
+            block = _Block(cutter_of(pattern).words, True)
+            found = [block.add(t) for t in texts]
+            row = {"block": number, "check": _digest(list(block.places)), "rev_ids": rev_ids, "counts": [len(f) for f in found], "packed": pa.compress(np.concatenate(found).tobytes(), "zstd", asbytes=True)}
+            yield pa.RecordBatch.from_pylist([row], _PARTS_ARROW)
+
+    return sequence
+
+
 def _encoder(ranks: str):
-    """Ids of words that come sorted; a word is encoded when it first appears."""
-    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("check", pa.binary()), ("ids", pa.binary())])
+    """Ids of words that come sorted, dealt to their blocks; a word is encoded when it first appears."""
+
+    def dealt(blocks: list[np.ndarray], places: list[np.ndarray], ids: list[bytes]) -> pa.RecordBatch:
+        block, place = np.concatenate(blocks), np.concatenate(places)
+        sizes = np.array([len(i) for i in ids], "<u4") // 4
+        order = np.argsort(block, kind="stable")
+        edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+        rows = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            at = order[a:b]
+            n, m = b - a, int(sizes[at].sum())
+            packed = b"".join([place[at].astype("<u4").tobytes(), sizes[at].tobytes(), *(ids[i] for i in at.tolist())])
+            rows.append({"block": int(block[at[0]]), "counts": [n, m], "packed": pa.compress(packed, "zstd", asbytes=True)})
+        return pa.RecordBatch.from_pylist(rows, _PARTS_ARROW)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = of_worker(("merges", ranks), lambda: Merges(read_ranks(ranks))).ids
-        last, ids = None, None
+        last, known = None, b""
+        blocks, places, ids = [], [], []
         for batch in batches:
-            out = []
+            heads = batch.filter(pc.less(batch.column(1), 0))
+            if heads.num_rows:
+                yield pa.RecordBatch.from_pylist([{"block": r["block"], "check": r["word"]} for r in heads.to_pylist()], _PARTS_ARROW)
+                batch = batch.filter(pc.greater_equal(batch.column(1), 0))
+            if not batch.num_rows:
+                continue
             for word in batch.column(2).to_pylist():
-                if word != last or ids is None:
-                    last, ids = word, None if word is None else np.array(merge(word.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(out, pa.binary())], schema=schema)
+                if word != last:
+                    last, known = word, array("I", merge(word.encode())).tobytes()
+                ids.append(known)
+            blocks.append(batch.column(0).to_numpy())
+            places.append(batch.column(1).to_numpy())
+            if len(ids) >= DEALT:
+                yield dealt(blocks, places, ids)
+                blocks, places, ids = [], [], []
+        if ids:
+            yield dealt(blocks, places, ids)
 
     return encode
 
 
-def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edits with their ids, from a block's sequence, the digest of its words, and their ids by place."""
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, sizes and ids of one row of dealt words."""
+    n, m = row["counts"]
+    whole = np.frombuffer(pa.decompress(row["packed"], 4 * (2 * n + m), "zstd", asbytes=True), "<u4")
+    return whole[:n], whole[n : 2 * n], whole[2 * n :]
+
+
+def _joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    """The edits of one block with their ids, from its sequence, both digests of its words, and their ids by place."""
     schema = pa.schema([("rev_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    block, heads, ids = None, [], []
-
-    def done() -> Iterator[pa.RecordBatch]:
-        if block is None:
-            return
-        checks = {h["check"] for h in heads}
-        whole = next((h for h in heads if h["sequence"] is not None), None)
-        if len(heads) != 2 or len(checks) != 1 or whole is None:
-            raise TextsChanged("store the edits before they are encoded")
-        counts = np.array(whole["counts"], np.int64)
-        sequence = np.frombuffer(pa.decompress(whole["sequence"], int(counts.sum()) * 4, "zstd", asbytes=True), "<u4")
-        words = pa.concat_arrays(ids) if ids else pa.array([], pa.binary())
-        first = np.concatenate([[0], np.cumsum(counts)])
-        for at in range(0, len(counts), SLICE):
-            edges = first[at : at + SLICE + 1]
-            taken = words.take(pa.array(sequence[edges[0] : edges[-1]]))
-            bounds = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1, taken.offset * 4)
-            data = taken.buffers()[2]
-            values = np.frombuffer(data, "<i4", len(data) // 4) if data is not None else np.empty(0, "<i4")
-            offsets = pa.array((bounds[edges - edges[0]] // 4).astype(np.int32))
-            found = pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(whole["rev_ids"][at : at + SLICE], pa.int64()), found], schema=schema)
+    heads = [r for r in rows if r["check"] is not None]
+    whole = next((h for h in heads if h["packed"] is not None), None)
+    if len(heads) != 2 or whole is None or heads[0]["check"] != heads[1]["check"]:
+        raise TextsChanged("store the edits before they are encoded")
+    counts = np.array(whole["counts"], np.int64)
+    sequence = np.frombuffer(pa.decompress(whole["packed"], int(counts.sum()) * 4, "zstd", asbytes=True), "<u4")
+    parts = [_unpacked(r) for r in rows if r["check"] is None]
+    places, sizes, ids = (np.concatenate(c) if parts else np.empty(0, "<u4") for c in (zip(*parts, strict=True) if parts else ((), (), ())))
+    by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.astype(np.int32)))
+    by_place = np.empty(len(places), np.int64)
+    by_place[places] = np.arange(len(places))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    for at in range(0, len(counts), SLICE):
+        edges = first[at : at + SLICE + 1]
+        taken = by_word.take(pa.array(by_place[sequence[edges[0] : edges[-1]]]))
+        bounds = taken.offsets.to_numpy()
+        found = pa.ListArray.from_arrays(pa.array((bounds[edges - edges[0]] - bounds[0]).astype(np.int32)), taken.flatten())
+        yield pa.RecordBatch.from_arrays([pa.array(whole["rev_ids"][at : at + SLICE], pa.int64()), found], schema=schema)
 
+
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows: list[dict] = []
     for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        starts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for a, b in zip(starts, starts[1:], strict=False):
-            if a == b:
-                continue
-            if blocks[a] != block:
-                yield from done()
-                block, heads, ids = blocks[a], [], []
-            part = batch.slice(a, b - a)
-            n = int((part.column(1).to_numpy() < 0).sum())
-            heads += part.slice(0, n).to_pylist()
-            if n < len(part):
-                ids.append(part.column(part.schema.get_field_index("ids")).slice(n))
-    yield from done()
+        for row in batch.to_pylist():
+            if rows and row["block"] != rows[0]["block"]:
+                yield from _joined(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from _joined(rows)
 
 
 def coded(edits: DataFrame, ranks: str, pattern: str, *, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -268,7 +352,8 @@ def coded(edits: DataFrame, ranks: str, pattern: str, *, block_chars: int = BLOC
 
     ``edits`` needs ``rev_id`` and ``diff``; other columns are ignored. ``ranks`` is the path of
     a file of byte-level ranks that every executor can read, ``pattern`` what cuts texts into
-    words; each match is encoded by itself, and what no match covers is left out. A NULL or empty
+    words; each match is encoded by itself, and what no match covers is left out. It must not match
+    across a space that follows anything but white space, as patterns with an optional leading space do not. A NULL or empty
     text has no ids; repeated rows are encoded alike, and a NULL ``rev_id`` stays NULL.
     No rows in, none out. A task holds one block, or one text if it is longer. ``edits`` is read
     twice in one query and must give the same rows in the same order both times, as files and
@@ -276,13 +361,10 @@ def coded(edits: DataFrame, ranks: str, pattern: str, *, block_chars: int = BLOC
     """
     # Not the task's own number: in a union with other tasks that is another one.
     texts = edit_columns(edits, F.spark_partition_id().alias("task"))
-    words = texts.mapInArrow(_exploder(pattern, block_chars, False), _PARTS).select("block", "place", "word", "check")
-    # Digests travel with the words; a block number deals them.
-    dealt = words.repartition(F.coalesce("word", F.col("block").cast("string"))).sortWithinPartitions("word")
-    ids = dealt.mapInArrow(_encoder(ranks), _DEALT)
-    sequences = texts.mapInArrow(_exploder(pattern, block_chars, True), _PARTS).drop("word")
-    both = ids.unionByName(sequences, allowMissingColumns=True)
-    return both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(_reassemble, CODED)
+    words = texts.mapInArrow(_exploder(pattern, block_chars), _WORDS)
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(ranks), _PARTS)
+    sequences = texts.mapInArrow(_sequencer(pattern, block_chars), _PARTS)
+    return ids.unionByName(sequences).repartition("block").sortWithinPartitions("block").mapInArrow(_reassemble, CODED)
 
 
 def _decoder(ranks: str):

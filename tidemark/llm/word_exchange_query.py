@@ -15,11 +15,13 @@ RANKS = "byte_bpe_50k.tiktoken"
 def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of each document and the bytes they decode to, as digests."""
     ranks = public_tokenizers.path(RANKS)
+    # An array of numbers as text is "[1, 2, 3]".
+    decimal = F.btrim(F.replace(F.col("ids").cast("string"), F.lit(","), F.lit("")), F.lit("[]"))
     found = decoded(coded(documents_as_edits(spark, sf), ranks, public_tokenizers.PATTERN), ranks)
     return found.select(
         F.col("rev_id").alias("doc_id"),
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
