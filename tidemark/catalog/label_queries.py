@@ -11,6 +11,7 @@ from tidemark.catalog.sql import ACCOUNTS, LOG, labels as label_sql, query, r4,
 from tidemark.functions import change
 from tidemark.operators import audit, enrich, labels, load, parse, quantiles, sampling, scoring
 from tidemark.plans import jobs
+from tidemark.session import stored
 
 Q: dict = {}
 
@@ -148,7 +149,7 @@ LEFT JOIN (SELECT usr, date_trunc('second', ts) AS as_of, max(off % 1000) AS edi
     ),
 )
 def accounts_as_of_edit(spark, sf):
-    rows = enrich.attach_accounts_as_of(parse.edits(b.parsed_log(spark, sf)), b.account_snapshots(spark, sf))
+    rows = enrich.attach_accounts_as_of(stored(parse.edits(b.parsed_log(spark, sf)), "edits"), b.account_snapshots(spark, sf))
     return rows.select("rev_id", F.unix_seconds("account_as_of").alias("as_of_s"), F.col("account.editcount").alias("editcount"))
 
 

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
 from tidemark.catalog.label_queries import LONG_SQL, RULES, SHORT, SHORT_SQL
+from tidemark.catalog.label_queries import Q as LABEL_QUERIES
+from tidemark.catalog.log_queries import DLQ
 from tidemark.catalog.sql import ACCOUNTS, FACTS, LOG, query
 from tidemark.operators import audit, enrich, parse
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import configure, scratch, stored
 from tidemark.sources import log
-from tidemark.streaming import jobs, progress
+from tidemark.streaming import enriching, jobs, progress
 
 Q: dict = {}
+AS_OF_SQL = LABEL_QUERIES["accounts_as_of_edit"][1]
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -106,12 +109,43 @@ def stream_edits_with_accounts(spark, sf):
 @register("stream_dead_letters", query(FACTS, "SELECT CASE WHEN state = 'ok' THEN 'readable' ELSE 'dead' END AS sink, count(*) AS n FROM facts GROUP BY 1"))
 def stream_dead_letters(spark, sf):
     """One parse, two sinks, written per batch."""
-    good, dead, state = (scratch(spark, n) for n in ("good", "dead", "split-state"))
-    jobs.split_sink(landed_log(spark, sf), good, dead, state).awaitTermination()
-    counts = lambda path, name: spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "n")
+    folder = split_log(spark, sf)
+    counts = lambda rows, name: rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "n")
+    good, dead = jobs.read_split(spark, folder)
     return counts(good, "readable").unionByName(counts(dead, "dead"))
 
 
+def split_log(spark, sf):
+    folder = scratch(spark, "split")
+    jobs.split_sink(landed_log(spark, sf), folder, scratch(spark, "split-state")).awaitTermination()
+    return folder
+
+
+@register("stream_split_rows", query(FACTS, f"""SELECT off AS "offset", CASE WHEN state = 'ok' THEN 'rc-' || off END AS meta_id, CASE WHEN state = 'ok' THEN dt_ms END AS dt_ms, reason
+FROM facts LEFT JOIN (SELECT source_offset, reason FROM ({DLQ})) d ON d.source_offset = off"""))
+def stream_split_rows(spark, sf):
+    """Every row of the log is in exactly one of the two sinks, with its time or the reason it cannot be read."""
+    good, dead = jobs.read_split(spark, split_log(spark, sf))
+    rows = good.select("offset", "meta_id", F.unix_millis("dt").alias("dt_ms"), F.lit(None).cast("string").alias("reason"))
+    none = F.lit(None)
+    return rows.unionByName(dead.select(F.col("source_offset").alias("offset"), none.cast("string").alias("meta_id"), none.cast("bigint").alias("dt_ms"), "reason"))
+
+
+@register("stream_accounts_as_of", f"SELECT *, true AS asked_once FROM ({AS_OF_SQL})")
+def stream_accounts_as_of(spark, sf):
+    """Accounts as of each streamed edit, asked for once: a replay over the kept answers asks nothing and sees the same."""
+    edits = parse.edits(parse.parse(landed_log(spark, sf)))
+    look_up, answers = enriching.snapshot_lookup(b.account_snapshots(spark, sf)), scratch(spark, "answers")
+    runs = []
+    for _ in range(2):
+        folder = scratch(spark, "enriched")
+        enriching.enrich_stream(edits, look_up, folder, answers, scratch(spark, "enriched-state")).awaitTermination()
+        runs.append(folder)
+    asked = [enriching.lookups(spark, f).agg(F.sum("asked")).first()[0] for f in runs]
+    rows = enriching.read_enriched(spark, runs[1], edits)
+    return rows.select("rev_id", F.unix_seconds("account_as_of").alias("as_of_s"), F.col("account.editcount").alias("editcount"), F.lit(asked[0] > 0 and asked[1] == 0).alias("asked_once"))
+
+
 @register("stream_resumed_counts", query(FACTS, "SELECT count(*) AS handled, max(off) + 1 AS expected, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS missing, CAST(NULL AS BIGINT) AS first_gap, true AS ok FROM facts"))
 def stream_resumed_counts(spark, sf):
     """Stopped after half of the files and resumed from its checkpoint: every offset exactly once."""

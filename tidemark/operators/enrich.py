@@ -33,23 +33,14 @@ def attach_accounts_as_of(
     """As-of form: the latest snapshot at or before the edit and not older than ``ttl``.
 
     Edits and snapshots are read as one series ordered by user and time and cut into
-    even ranges, so a busy user spreads over tasks and no edit meets every snapshot.
+    runs of bounded length, so a busy user spreads over tasks and no edit meets every snapshot.
+    ``offset`` names an edit.
     """
-    edit_cols = edits.columns
-    series = (
-        edits.where(F.col("user_class") == "registered")
-        .select(F.col("user").alias("__user"), F.col("dt").alias("__t"), F.lit(1).alias("__side"),
-                F.struct(*edit_cols).alias("__edit"), F.col("offset").alias("__tie"),
-                F.lit(None).cast("struct<as_of:timestamp,registration:timestamp,editcount:bigint>").alias("__snap"))
-        .unionByName(
-            snapshots.select(
-                F.col("user").alias("__user"), F.col("as_of").alias("__t"), F.lit(0).alias("__side"),
-                F.lit(None).cast(edits.select(F.struct(*edit_cols).alias("e")).schema["e"].dataType).alias("__edit"),
-                F.lit(0).cast("bigint").alias("__tie"),
-                F.struct(F.col("as_of"), F.col("registration"), F.col("editcount").cast("bigint").alias("editcount")).alias("__snap"),
-            )
-        )
-    )
+    # Only keys, times and offsets go through the order; edits meet their answer by offset.
+    asked = edits.where(F.col("user_class") == "registered").select(F.col("user").alias("__user"), F.col("dt").alias("__t"), F.col("offset").alias("__tie"))
+    facts = snapshots.select(F.col("user").alias("__user"), F.col("as_of").alias("__t"), F.struct("as_of", "registration", F.col("editcount").cast("bigint").alias("editcount")).alias("__snap"))
+    # A snapshot at the edit's own time counts, so it goes first.
+    series = asked.withColumn("__side", F.lit(1)).unionByName(facts.withColumn("__side", F.lit(0)), allowMissingColumns=True)
     cut = sliced(series, "__user", "__t", "__side", "__tie", slices=slices, name="__slice")
     seen = running(
         cut,
@@ -57,16 +48,15 @@ def attach_accounts_as_of(
         bucket=F.col("__slice"),
         order=[F.col("__t"), F.col("__side"), F.col("__tie")],
         values={"__last": ("max", F.col("__snap"))},
-    ).where("__side = 1")
-    fresh = F.col("__last").isNotNull()
+    ).where("__side = 1 AND __last IS NOT NULL")
     if ttl is not None:
-        fresh = fresh & (F.col("__last.as_of") >= F.col("__t") - F.expr(f"INTERVAL {ttl}"))
-    account = F.when(fresh, F.struct(F.col("__last.registration").alias("registration"), F.col("__last.editcount").alias("editcount")))
-    known = seen.select("__edit.*", account.alias("account"), F.when(fresh, F.col("__last.as_of")).alias("account_as_of"))
-    blank = edits.where(F.col("user_class") != "registered").select(
-        "*", F.lit(None).cast(known.schema["account"].dataType).alias("account"), F.lit(None).cast("timestamp").alias("account_as_of")
+        seen = seen.where(F.col("__last.as_of") >= F.col("__t") - F.expr(f"INTERVAL {ttl}"))
+    answers = seen.select(
+        F.col("__tie").alias("offset"),
+        F.struct(F.col("__last.registration").alias("registration"), F.col("__last.editcount").alias("editcount")).alias("account"),
+        F.col("__last.as_of").alias("account_as_of"),
     )
-    return known.unionByName(blank)
+    return edits.join(answers, "offset", "left").select(*edits.columns, "account", "account_as_of")
 
 
 def with_filter(enriched: DataFrame, policy: str = trust.DEFAULT_POLICY) -> DataFrame:

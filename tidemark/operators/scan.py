@@ -9,7 +9,7 @@ that owns a third of the rows to one task. Both are cut here into buckets:
 
 The bucket must rise with the order. ``offset_bucket`` cuts a dense log offset
 into equal runs of rows, so no bucket can be hot. ``sliced`` cuts any other order
-by sampling and stores the cut, so that both passes see the same one.
+into runs of a bounded number of rows and stores the cut, so that both passes see the same one.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.session import stored
 
 ROWS_PER_BUCKET = 1_000_000
+#: A range partition of a small table holds about this many rows at least.
+FEW_ROWS = 5_000
+#: ``monotonically_increasing_id`` counts rows below this bit and partitions above it.
+_POSITION_BITS = 33
 _BUCKET = "__bucket"
 
 _FOLD = {"max": F.max, "min": F.min, "sum": F.sum}
@@ -34,13 +38,30 @@ def offset_bucket(offset: Column, rows: int = ROWS_PER_BUCKET) -> Column:
     return F.floor(offset / F.lit(rows)).cast("bigint")
 
 
-def sliced(df: DataFrame, *order: Column | str, slices: int | None = None, name: str = "slice") -> DataFrame:
-    """Cut ``df`` into contiguous, evenly filled ranges of ``order``.
+def ranges_for(spark: SparkSession, rows: int, per_range: int = ROWS_PER_BUCKET) -> int:
+    """How many range partitions ``rows`` rows need: by their number, and a few more of a small table for its tasks."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // per_range), min(width, rows // FEW_ROWS))
 
-    The range number is only stable once stored (a re-run may sample other bounds).
+
+def sliced(
+    df: DataFrame, *order: Column | str, slices: int | None = None, rows_per_slice: int = ROWS_PER_BUCKET, name: str = "slice"
+) -> DataFrame:
+    """Cut ``df`` into contiguous runs of ``order`` of at most ``rows_per_slice`` rows, numbered in that order.
+
+    Two levels: range partitions, as many as the counted rows need, whose bounds Spark samples; and
+    inside each, runs of exactly so many rows by position. However far a sample is off, or however
+    often a value stands, no slice is larger. Equal values may lie in neighbouring slices. The number is
+    only stable once stored (a re-run may sample other bounds).
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stored(df.repartitionByRange(n, *order).withColumn(name, F.spark_partition_id()), "slices")
+    rows = stored(df, "unsliced")
+    n = slices or ranges_for(df.sparkSession, rows.count(), rows_per_slice)
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Range partition above, position in it below.
+    place = F.monotonically_increasing_id()
+    part, position = F.shiftright(place, _POSITION_BITS), place.bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    number = F.shiftleft(part, _POSITION_BITS) + F.floor(position / F.lit(rows_per_slice))
+    return stored(ranged.withColumn(name, number.cast("bigint")), "slices")
 
 
 def running(
@@ -90,9 +111,11 @@ def running(
     return joined.drop(_BUCKET, *[f"__c_{n}" for n in values])
 
 
-def numbered(df: DataFrame, *order: Column | str, name: str = "offset", slices: int | None = None) -> DataFrame:
+def numbered(
+    df: DataFrame, *order: Column | str, name: str = "offset", slices: int | None = None, rows_per_slice: int = ROWS_PER_BUCKET
+) -> DataFrame:
     """Dense 0-based position in a global order, computed slice by slice."""
-    cut = sliced(df, *order, slices=slices, name="__slice")
+    cut = sliced(df, *order, slices=slices, rows_per_slice=rows_per_slice, name="__slice")
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     out = running(
         cut, bucket=F.col("__slice"), order=columns, values={name: ("sum", F.lit(1).cast("bigint"))}

@@ -39,3 +39,26 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, none if it is not there."""
     store, path = _path(spark, folder)
     return [s.getPath().getName() for s in store.listStatus(path)] if store.exists(path) else []
+
+
+MANIFEST = "counts MAP<STRING, BIGINT>"
+
+
+def commit(spark: SparkSession, manifest: str, batch_id: int, **counts: int) -> None:
+    """List a batch: from here on readers see its folders. A retry lists it anew."""
+    spark.createDataFrame([(counts,)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{manifest}/batch={batch_id}")
+
+
+def committed(spark: SparkSession, manifest: str) -> DataFrame:
+    """(batch, counts) of the listed batches."""
+    if not exists(spark, manifest):
+        return spark.createDataFrame([], f"{MANIFEST}, batch BIGINT")
+    return spark.read.schema(f"{MANIFEST}, batch BIGINT").parquet(manifest)
+
+
+def read_committed(spark: SparkSession, folder: str, manifest: str, schema: str) -> DataFrame:
+    """The rows of ``folder/batch=N`` of the listed batches only."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch BIGINT").parquet(folder)
+    return rows.join(committed(spark, manifest).select("batch"), "batch", "left_semi").drop("batch")

@@ -11,7 +11,7 @@ from tidemark.operators import parse
 from tidemark.operators.audit import gap_runs
 from tidemark.operators.scan import offset_bucket
 from tidemark.session import stored
-from tidemark.streaming.batches import each_batch
+from tidemark.streaming.batches import commit, each_batch, read_committed
 from tidemark.streaming.labelling import label_stream, read_labels  # noqa: F401
 
 GRACE = "10 minutes"
@@ -56,23 +56,34 @@ def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def split_sink(stream: DataFrame, events_path: str, dead_path: str, checkpoint: str) -> StreamingQuery:
-    """Readable events and dead letters of one raw stream to two tables.
+READABLE = "offset BIGINT, meta_id STRING, stream STRING, dt TIMESTAMP, value STRING"
+DEAD = "key STRING, reason STRING, source_offset BIGINT, raw STRING"
 
-    A repeated batch writes to the same batch folder, so a retry replaces it.
+
+def split_sink(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Readable events and dead letters of one raw stream to ``folder/readable`` and ``folder/dead``.
+
+    Both parts of a batch become visible together, when it is committed; see :func:`read_split`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse.parse(batch).persist()
-        parse.readable(parsed).select("offset", "meta_id", "stream", "dt", "value").write.mode("overwrite").parquet(
-            f"{events_path}/batch={batch_id}"
-        )
-        parse.dead_letters(parsed).write.mode("overwrite").parquet(f"{dead_path}/batch={batch_id}")
-        parsed.unpersist()
+        try:
+            good = parse.readable(parsed).select(*[c.split()[0] for c in READABLE.split(", ")])
+            good.write.mode("overwrite").parquet(f"{folder}/readable/batch={batch_id}")
+            parse.dead_letters(parsed).write.mode("overwrite").parquet(f"{folder}/dead/batch={batch_id}")
+        finally:
+            parsed.unpersist()
+        commit(batch.sparkSession, f"{folder}/manifest", batch_id)
 
     return each_batch(stream, checkpoint, write)
 
 
+def read_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Readable events and dead letters of all committed batches."""
+    return tuple(read_committed(spark, f"{folder}/{part}", f"{folder}/manifest", schema) for part, schema in (("readable", READABLE), ("dead", DEAD)))
+
+
 def append_new(stream: DataFrame, path: str, checkpoint: str, key: str = "source_offset") -> StreamingQuery:
     """Append only rows whose source offset the table does not hold yet, one for each offset.
 
