@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import DAY0, HOUR, MINUTE, edit, iso, raw, tags
-from tidemark.operators import labels, parse
+from tidemark.operators import enrich, labels, parse
 from tidemark.sources import log
-from tidemark.streaming import jobs, labelling, progress
+from tidemark.streaming import enriching, jobs, labelling, progress
 
 
 def steady(n, seed=0):
@@ -126,3 +126,64 @@ def test_the_listener_files_one_report_for_each_batch(spark, tmp_path):
         spark.createDataFrame([(datetime.fromtimestamp(DAY0 / 1000, timezone.utc), 40)], "at timestamp, n bigint"), progress.completions(progress.read_progress(spark, reports))
     )
     assert [r.lag for r in lag.orderBy("step").collect()] == [40, 30, 20, 10, 0]
+
+
+def account_edits(spark, folder, rows, per_file):
+    schema = "offset bigint, user string, user_class string, s bigint"
+    data = spark.createDataFrame(rows, schema)
+    landed(spark, folder, data, per_file)
+    return log.stream_files(spark, folder, schema).select("offset", "user", "user_class", F.timestamp_seconds("s").alias("dt"))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_streamed_accounts_equal_the_as_of_join_and_are_asked_once(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    base = DAY0 // 1000
+    # Out of order by up to two hours; one user has most edits, and some edits have none.
+    rows = [(i, rng.choice(["A", "A", "A", "B", "C", None]), rng.choice(["registered"] * 4 + ["ip"]), base + i * 120 - rng.randrange(0, 7200)) for i in range(240)]
+    snaps = [(rng.choice(["A", "B", "D"]), base + rng.randrange(-7200, 30_000), n) for n in range(150)]
+    snapshots = spark.createDataFrame(snaps, "user string, s bigint, editcount bigint").select("user", F.timestamp_seconds("s").alias("as_of"), F.lit(None).cast("timestamp").alias("registration"), "editcount")
+    stream = account_edits(spark, str(tmp_path / "in"), rows, 60)
+    asked, found = [], []
+    for run in ("a", "b"):
+        out = str(tmp_path / run)
+        enriching.enrich_stream(stream, enriching.snapshot_lookup(snapshots), out, str(tmp_path / "answers"), str(tmp_path / f"{run}-state")).awaitTermination()
+        asked.append([r.asked for r in enriching.lookups(spark, out).orderBy("batch").collect()])
+        found.append({r.offset: (r.account_as_of, r.account.editcount if r.account else None) for r in enriching.read_enriched(spark, out, stream).collect()})
+    table = spark.createDataFrame(rows, "offset bigint, user string, user_class string, s bigint").select("offset", "user", "user_class", F.timestamp_seconds("s").alias("dt"))
+    want = {r.offset: (r.account_as_of, r.account.editcount if r.account else None) for r in enrich.attach_accounts_as_of(table, snapshots).collect()}
+    assert found[0] == found[1] == want and len(want) == 240 and sum(v[0] is not None for v in want.values()) > 40
+    assert len(asked[0]) == 4 and all(asked[0]) and asked[1] == [0] * 4
+
+
+def test_a_cell_is_asked_for_its_rest_only(spark):
+    keys = spark.createDataFrame([("A", 7300), ("A", 7205), ("B", 3599)], "user string, t bigint")
+    got = sorted(map(tuple, enriching._wanted(keys, 3600).collect()))
+    assert got == [("A", 1, 7199), ("A", 2, 7300), ("B", -1, -1), ("B", 0, 3599)]
+
+
+def test_a_batch_broken_between_two_sinks_is_invisible_until_its_retry(spark, tmp_path, monkeypatch):
+    events = [edit(DAY0 + i * MINUTE, i) if i % 5 else "no json" for i in range(40)]
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    landed(spark, src, raw(spark, events), 20)
+    dead, failed = parse.dead_letters, []
+
+    def failing(parsed):
+        if len(failed) < 2:
+            failed.append(1)
+            if len(failed) == 2:
+                raise RuntimeError("disk full")
+        return dead(parsed)
+
+    monkeypatch.setattr(parse, "dead_letters", failing)
+    stream = lambda: log.stream_files(spark, src, log.RAW_SCHEMA)
+    with pytest.raises(Exception, match="disk full"):
+        jobs.split_sink(stream(), out, state).awaitTermination()
+    good, bad = jobs.read_split(spark, out)
+    # The second batch has written its readable rows, and no reader sees them.
+    assert (tmp_path / "out/readable/batch=1").exists() and good.count() == 16 and bad.count() == 4
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    jobs.split_sink(stream(), out, state).awaitTermination()
+    good, bad = jobs.read_split(spark, out)
+    assert sorted(r.offset for r in good.collect()) == [i for i in range(40) if i % 5]
+    assert sorted(r.source_offset for r in bad.collect()) == list(range(0, 40, 5))
