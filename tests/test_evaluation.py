@@ -147,10 +147,10 @@ def test_drift(spark):
     assert check["agreement"] == 0.8 and check["alerts"] == ["2/10 answers turned: 80.0% same, wanted 90%"]
     assert drift.compare(base, base).first()["alerts"] == []
     renamed = drift.compare(base, base.withColumn("model_version", F.lit("m@2"))).first()
-    assert renamed["alerts"] == ["model version changed: m@1 -> m@2"]
+    assert renamed["alerts"] == ["scorer was m@1, is m@2"]
     invalid = base.withColumn("revert", F.when(F.col("rev_id") != 1, F.col("revert")))
-    assert any("invalid answers rose from 0.0% to 10.0%" in a for a in drift.compare(base, invalid).first()["alerts"])
-    assert any("no earlier answer" in a for a in drift.compare(base.where("rev_id > 0"), base).first()["alerts"])
+    assert any("unusable answers: 10.0%, earlier 0.0%" in a for a in drift.compare(base, invalid).first()["alerts"])
+    assert any("nothing to hold against: 1 reruns" in a for a in drift.compare(base.where("rev_id > 0"), base).first()["alerts"])
     assert drift.flips(base, flipped).count() == 2
 
 

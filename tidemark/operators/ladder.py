@@ -72,7 +72,12 @@ def paired(edits: DataFrame, local: DataFrame, cloud: DataFrame) -> DataFrame:
 
 
 def compare_policies(pairs: DataFrame, lo: float, hi: float) -> DataFrame:
-    """The four policies side by side, each edit expanded once to one row per policy."""
+    """The four policies side by side, each edit expanded to one row per policy.
+
+    Sums and latencies are two readings of the joined answers, which are stored for them.
+    """
+    columns = ("actual", "local_flag", "cloud_flag", "local_p_revert", "local_latency_ms", "cloud_latency_ms", "cloud_cost")
+    pairs = stored(pairs.select(*columns), "policy-pairs")
     p = F.col("local_p_revert")
     unsure = p.isNull() | ((p >= lo) & (p < hi))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tidemark.functions.stats import pearson, round_half_up, share
 from tidemark.operators.quantiles import summarise_histogram
+from tidemark.session import stored
 from tidemark.operators.scan import running
 
 MAX_STEP_SECONDS = 180
@@ -42,9 +43,9 @@ def rate_summary(df: DataFrame, time: Column, series: dict[str, Column]) -> Data
     being generated, so the span may be years.
     """
     second = F.unix_seconds(time)
-    per_second = df.groupBy(second.alias("t")).agg(
-        *[F.count_if(cond).alias(name) for name, cond in series.items()]
-    )
+    per_second = df.groupBy(second.alias("t")).agg(*[F.count_if(cond).alias(name) for name, cond in series.items()])
+    # Its span and its values are read apart; the log is counted once.
+    per_second = stored(per_second, "per-second")
     span = per_second.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     whole = per_second.where((F.col("t") > lo) & (F.col("t") < hi))

@@ -55,7 +55,10 @@ def sliced(
     only stable once stored (a re-run may sample other bounds).
     """
     rows = stored(df, "unsliced")
-    n = slices or ranges_for(df.sparkSession, rows.count(), rows_per_slice)
+    count = rows.count()
+    if slices is None and count <= min(FEW_ROWS, rows_per_slice):
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    n = slices or ranges_for(df.sparkSession, count, rows_per_slice)
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # Range partition above, position in it below.
     place = F.monotonically_increasing_id()

@@ -39,10 +39,16 @@ def edits_to_scored(raw: DataFrame, accounts: DataFrame, policy: str = DEFAULT_P
     return enrich.with_filter(enrich.attach_accounts(edits, accounts), policy)
 
 
+def _edits_and_labels(parsed: DataFrame, rules: LabelRules) -> tuple[DataFrame, DataFrame]:
+    """The edits of a log and their labels, (rev_id, label). Payloads are parsed once, for both."""
+    typed = stored(parsed.drop("value"), "parsed")
+    edits = parse.last_by_key(parse.edits(typed, rules.wiki), "rev_id", "offset")
+    return edits, labels.label_log(typed, rules).select("rev_id", "label")
+
+
 def labelled_edits(parsed: DataFrame, accounts: DataFrame, rules: LabelRules = LIVE) -> DataFrame:
     """One row per edit: the filter's inputs and its label code 1/0/gone, NULL while its window is open."""
-    edits = parse.last_by_key(parse.edits(parsed, rules.wiki), "rev_id", "offset")
-    found = labels.label_log(parsed, rules).select("rev_id", "label")
+    edits, found = _edits_and_labels(parsed, rules)
     labelled = edits.join(found, "rev_id", "left")
     code = F.when(F.col("label").isNotNull(), change.label_code(F.col("label")))
     return enrich.attach_accounts(labelled, accounts).withColumn("code", code)
@@ -71,8 +77,7 @@ def evaluation_set(parsed: DataFrame, accounts: DataFrame, name: str, n: int, se
 
     An edit without a label fails the job: the log does not cover its window.
     """
-    edits = parse.last_by_key(parse.edits(parsed, rules.wiki), "rev_id", "offset")
-    found = labels.label_log(parsed, rules).select("rev_id", "label")
+    edits, found = _edits_and_labels(parsed, rules)
     missing = F.raise_error(F.concat(F.lit("no label for revision "), F.col("rev_id"))).cast("string")
     labelled = edits.join(found, "rev_id", "left").withColumn("label", F.coalesce("label", missing))
     scored = enrich.with_filter(enrich.attach_accounts(labelled, accounts)).where("filter.keep")
