@@ -78,11 +78,11 @@ def edit_features(spark, sf):
 
 EDITS = PAIRS + """,
 f AS (SELECT *, conv_id * 100 + turn AS n FROM turn_pairs),
-rendered AS (SELECT n AS rev_id, 'Article: Talk ' || conv_id || chr(10) || 'Kind of edit: ' || CASE WHEN n % 5 = 0 THEN 'new page' ELSE 'edit to an existing page' END || CASE WHEN n % 3 = 0 THEN ', marked minor' ELSE '' END || chr(10)
+rendered AS (SELECT n AS rev_id, 'Article: Talk ' || conv_id || chr(10) || 'Kind of edit: ' || CASE WHEN n % 5 = 0 THEN 'creates the page' ELSE 'changes the page' END || CASE WHEN n % 3 = 0 THEN ' (said to be minor)' ELSE '' END || chr(10)
   || 'Editor: ' || CASE WHEN n % 4 = 0 THEN 'visitor with a temporary name' WHEN n % 11 = 0 THEN 'member, history unknown'
      ELSE 'member for ' || CASE WHEN n % 7 = 0 OR n % 300 = 0 AND false THEN 'under one day' WHEN n % 300 = 0 THEN 'under one day' ELSE (n % 300) || ' days' END || ' with ' || (n % 1000) || ' contributions' END || chr(10)
   || 'Size change: ' || CASE WHEN length(answered) > length(asked) THEN '+' ELSE '' END || (length(answered) - length(asked)) || ' bytes' || chr(10)
-  || 'Edit summary: ' || CASE WHEN n % 6 = 0 THEN '(none)' ELSE 'see ' || conv_id END || chr(10) || chr(10)
+  || 'Edit summary: ' || CASE WHEN n % 6 = 0 THEN '<empty>' ELSE 'see ' || conv_id END || chr(10) || chr(10)
   || 'Changes ("- " lines removed, "+ " lines added; inside a line, [-text-] was removed and {+text+} was added):' || chr(10)
   || CASE WHEN n % 13 = 0 THEN '<diff missing>' WHEN n % 5 = 0 THEN 'whole text:' || chr(10) || CASE WHEN n % 9 = 0 THEN '' ELSE '+ ' || asked END
      WHEN n % 9 = 0 THEN '<text unchanged>' ELSE '+ ' || asked END AS body FROM f)"""
