@@ -425,14 +425,7 @@ def sheet_problems(spark, sf):
   {share("count(*) FILTER (label NOT IN ('reverted', 'not-reverted'))", "count(*)")} AS gone_rate FROM labels_"""),
 )
 def population_statistics(spark, sf):
-    from tidemark.functions.stats import share as share_of, wilson_columns
-
-    rows = labels.label_log(b.parsed_log(spark, sf), RULES)
-    known, reverted = scoring.decided(F.col("label")), F.col("label") == "reverted"
-    return rows.agg(
-        F.count("*").alias("eligible"), F.count_if(~known).alias("gone"), *wilson_columns("revert", F.count_if(reverted), F.count_if(known)),
-        share_of(F.count_if(~known), F.count("*")).alias("gone_rate"),
-    )
+    return audit.population(labels.label_log(b.parsed_log(spark, sf), RULES))
 
 
 # -- samples -------------------------------------------------------------------
@@ -461,9 +454,13 @@ def drift_subset(spark, sf):
 @register("evaluation_set", query(f"{LOG}, {ACCOUNTS}, {LONG_SQL}", "SELECT 'sealed' AS \"set\", rev_id, user_class, size_delta, label FROM (SELECT d.rev_id, d.user_class, d.length_new - coalesce(d.length_old, 0) AS size_delta, label FROM decisions d JOIN labels_ USING (rev_id) WHERE policy = 'extendedconfirmed' AND rule = 'kept' ORDER BY sha256('11:' || d.rev_id) LIMIT 200)"))
 def evaluation_set(spark, sf):
     """Sampled among edits whose label window has closed."""
+    return drawn_features(spark, sf).select("set", "rev_id", "user_class", "size_delta", "label")
+
+
+def drawn_features(spark, sf):
     parsed = b.parsed_log(spark, sf)
     labelled = labels.label_log(parsed, RULES).select("rev_id", "label")
     edits = parse.last_by_key(parse.edits(parsed), "rev_id", "offset").join(labelled, "rev_id")
     scored = enrich.with_filter(enrich.attach_accounts(edits, b.accounts(spark, sf))).where("filter.keep")
     drawn = sampling.sample(scored, "rev_id", 200, 11)
-    return enrich.features(drawn, extra=("label",)).select(F.lit("sealed").alias("set"), "rev_id", "user_class", "size_delta", "label")
+    return enrich.features(drawn, extra=("label",)).withColumn("set", F.lit("sealed"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.catalog import bindings as b
-from tidemark.catalog.sql import PAIRS, query
+from tidemark.catalog.label_queries import LONG_SQL, drawn_features
+from tidemark.catalog.sql import ACCOUNTS, LOG, PAIRS, query
 from tidemark.functions import text
+from tidemark.operators import enrich
 from tidemark.plans import jobs
-from tidemark.session import scratch
+from tidemark.session import scratch, stored
 
 Q: dict = {}
 
@@ -165,3 +170,43 @@ def resumed_scoring(spark, sf):
     jobs.score_into(edits.where("rev_id % 2 = 0"), path, CONFIG, score)
     runs = jobs.score_into(edits, path, CONFIG, score)
     return runs.select("rev_id", "revert", "p_revert", "invalid", "latency_ms", "tokens_in")
+
+
+class KeywordScorer:
+    """Answers from what stands in the request alone, as an external model would."""
+
+    config = "keywords__plain"
+
+    def open(self):
+        def ask(batch):
+            told = batch["user"].str
+            temporary, new, missing = told.contains("visitor with a temporary name"), told.contains("creates the page"), told.contains("<diff missing>")
+            p = 0.25 + 0.5 * temporary + 0.125 * new
+            raw = [json.dumps({"revert": bool(q >= 0.5), "p_revert": float(q)}) if not m else "I cannot see the diff" for q, m in zip(p, missing, strict=True)]
+            shown = told.count(r"\{\+note \d+\+\}")
+            return pd.DataFrame({"rev_id": batch["rev_id"], "raw": raw, "latency_ms": 10.0 + shown, "tokens_in": shown, "tokens_out": 3, "model_version": "k@1"})
+
+        return ask
+
+
+def fetched_diffs(spark, sf):
+    """A table diff for most edits of the log: two of eleven hidden or never fetched."""
+    rows = b.facts(spark, sf).where("k % 11 <> 1").withColumn("reason", F.when(F.col("k") % 11 == 2, "suppressed"))
+    marked = F.concat(F.lit('<td class="diff-addedline"><div><ins class="diffchange">note '), F.col("k"), F.lit("</ins></div></td>"))
+    return rows.select(F.col("offset").alias("rev_id"), marked.alias("html"), "reason")
+
+
+@register("scored_evaluation_set", query(f"{LOG}, {ACCOUNTS}, {LONG_SQL}", """SELECT rev_id, CASE WHEN seen THEN p >= 0.5 END AS revert, CASE WHEN seen THEN p END AS p_revert, CASE WHEN NOT seen THEN 'not JSON' END AS invalid,
+  CASE WHEN seen THEN 1 ELSE 0 END AS tokens_in, label
+FROM (SELECT s.rev_id, label, k % 11 NOT IN (1, 2) AS seen, (0.25 + CASE WHEN s.user_class = 'temporary' THEN 0.5 ELSE 0 END + CASE WHEN event_type = 'signup' THEN 0.125 ELSE 0 END)::DOUBLE AS p
+  FROM (SELECT d.rev_id, d.user_class, label FROM decisions d JOIN labels_ USING (rev_id) WHERE policy = 'extendedconfirmed' AND rule = 'kept' ORDER BY sha256('11:' || d.rev_id) LIMIT 200) s JOIN facts ON off = s.rev_id)"""))
+def scored_evaluation_set(spark, sf):
+    """From the log to scores: sampled features, their diffs, rendered requests, a scorer's answers, appended once and read beside the labels."""
+    edits = stored(enrich.with_diffs(drawn_features(spark, sf), fetched_diffs(spark, sf)), "scorable")
+    request = text.request(REQUEST_FILE, text.render_edit())
+    path, scorer = scratch(spark, "runs"), KeywordScorer()
+    score = lambda todo: jobs.score_with(todo, scorer, request)
+    jobs.score_into(edits.where("rev_id % 2 = 0"), path, scorer.config, score)
+    runs = jobs.score_into(edits.where("set = 'sealed'"), path, scorer.config, score)
+    rows = runs.join(edits.select("set", "rev_id", "label"), ["set", "rev_id"])
+    return rows.select("rev_id", "revert", "p_revert", "invalid", F.col("tokens_in").cast("int").alias("tokens_in"), "label")

@@ -225,6 +225,17 @@ def judged(sheet: DataFrame, key: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem)
 
 
+def population(labels: DataFrame) -> DataFrame:
+    """One row over all labels of a population: eligible, gone, the revert rate of the decided with its interval, gone_rate."""
+    known, reverted = decided(F.col("label")), F.col("label") == "reverted"
+    return labels.agg(
+        F.count("*").alias("eligible"),
+        F.count_if(~known).alias("gone"),
+        *wilson_columns("revert", F.count_if(reverted), F.count_if(known)),
+        share(F.count_if(~known), F.count("*")).alias("gone_rate"),
+    )
+
+
 def label_noise(rows: DataFrame, population_rate: Column | float) -> DataFrame:
     """Both directions of label noise; agreement reweighted to the population's revert rate."""
     sure = F.col("vandalism") != "u"

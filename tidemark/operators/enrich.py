@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import trust
+from tidemark.functions import text, trust
 from tidemark.functions.stats import round_half_up
 from tidemark.operators.scan import running, sliced
 
@@ -105,6 +105,18 @@ def features(scored: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def with_diffs(edits: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Features with ``diff`` and ``diff_unavailable``, the last two that a request needs.
+
+    ``diffs`` has one row (rev_id, html, reason) for each edit whose table diff was fetched: ``reason`` says why
+    one is hidden, and is NULL for one that is there. An edit without a row says that nothing was fetched.
+    """
+    fetched = diffs.select("rev_id", text.diff_text(F.col("html")).alias("diff"), F.col("reason").alias("diff_unavailable"), F.lit(True).alias("__fetched"))
+    joined = edits.join(fetched, "rev_id", "left")
+    reason = F.when(F.col("__fetched").isNull(), "not fetched").otherwise(F.col("diff_unavailable"))
+    return joined.withColumns({"diff": F.coalesce("diff", F.lit("")), "diff_unavailable": reason}).drop("__fetched")
+
+
 def by_age(edits: DataFrame, as_of: Column, min_hours: float = 72, max_hours: float = 96) -> DataFrame:
     """Add ``age_group``: young / eligible / old, by hours between the event and ``as_of``."""
     hours = (F.unix_micros(as_of) - F.unix_micros("dt")) / 3.6e9

@@ -78,10 +78,10 @@ def tail(df: DataFrame, n: int) -> DataFrame:
     """The last ``n`` offsets of each partition.
 
     Offsets of a partition are dense, so its high mark decides; no partition is
-    sorted. One row per log partition is broadcast: thousands at most, by setup.
+    sorted. The high marks are one row per log partition; Spark's size check decides on a broadcast.
     """
     high = df.groupBy("partition").agg(F.max("offset").alias("__high"))
-    return df.join(F.broadcast(high), "partition").where(F.col("offset") > F.col("__high") - n).drop("__high")
+    return df.join(high, "partition").where(F.col("offset") > F.col("__high") - n).drop("__high")
 
 
 def last_per_partition(df: DataFrame) -> DataFrame:
