@@ -87,3 +87,46 @@ def test_sample_is_bounded_and_fixed(spark):
     ids = spark.range(5000).withColumnRenamed("id", "rev_id")
     a, b = (sorted(r.rev_id for r in q.trusted_sample(ids.repartition(n), 500).collect()) for n in (1, 5))
     assert a == b and 400 < len(a) < 600
+
+
+def test_no_labels_keep_all_that_passes_the_base_rules(spark):
+    rows = [(i, words(i, 60)) for i in range(60)] + [(100 + i, " ".join(w + "***" for w in words(500 + i, 60).split())) for i in range(10)] + [(200, "short"), (201, None)]
+    none = spark.createDataFrame([], "rev_id bigint")
+    out = q.judged(edits(spark, rows), none, prior=q.PRIOR).collect()
+    assert all(r.quality.kept == (not r.quality.base_failed) and abs(r.quality.score) < 1e-9 for r in out)
+    assert sum(r.quality.kept for r in out) == 70
+
+
+def test_few_labels_reject_no_more_than_many(spark):
+    clean = [(i, words(i, 80)) for i in range(200)]
+    junk = [(500 + i, " ".join(w + "***" for w in words(700 + i, 80).split())) for i in range(20)]
+    table = edits(spark, clean + junk)
+    kept = []
+    for step in (1, 20):
+        trusted = spark.createDataFrame([(i,) for i in range(0, 200, step)], "rev_id bigint")
+        kept.append({r.rev_id for r in q.judged(table, trusted, prior=q.PRIOR).collect() if r.quality.kept})
+    assert kept[0] <= kept[1] and set(range(200)) <= kept[0]
+
+
+def test_a_prior_pulls_the_trusted_side_to_the_raw_one(spark):
+    """Counts by plain Python over buckets computed by an own hash table: bucket numbers come from a lookup of single tokens."""
+    texts = ["a b a c", "a d", "b b d e", "e"]
+    names = {t: spark.sql(f"select pmod(xxhash64('{t}'), {q.BUCKETS}) as b").first().b for t in "abcde"}
+    pairs = {(x, y): spark.sql(f"select pmod(xxhash64('{x}', '{y}'), {q.BUCKETS}) as b").first().b for x in "abcde" for y in "abcde"}
+    grams = [[names[t] for t in s.split()] + [pairs[p] for p in zip(s.split(), s.split()[1:], strict=False)] for s in texts]
+    raw, target = Counter(b for g in grams for b in g), Counter(b for g in grams[:2] for b in g)
+    trusted = spark.createDataFrame([(0,), (1,)], "rev_id bigint")
+    got = {r.bucket: r.ratio for r in q.ratio_table(edits(spark, list(enumerate(texts))), trusted, prior=50.0).collect()}
+    assert got.keys() == raw.keys()
+    for b, ratio in got.items():
+        p = (raw[b] + q.SMOOTHING) / (sum(raw.values()) + q.SMOOTHING * q.BUCKETS)
+        assert math.isclose(ratio, math.log((target[b] + 50 * p) / (sum(target.values()) + 50)) - math.log(p), abs_tol=1e-9)
+
+
+def test_repeated_rows_without_trust_count_once(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (3, "d e"), (3, "d e"), (None, "f"), (None, "f")]
+    none = spark.createDataFrame([], "rev_id bigint")
+    found = q.ratio_table(edits(spark, rows), none)
+    assert found.count() == 3 + 2 + 2 + 1 + 1
+    once = q.ratio_table(edits(spark, [(1, "a b c"), (3, "d e"), (None, "f")]), none)
+    assert {(r.bucket, round(r.ratio, 9)) for r in found.collect()} == {(r.bucket, round(r.ratio, 9)) for r in once.collect()}

@@ -31,6 +31,8 @@ PRIOR = SMOOTHING * BUCKETS
 THRESHOLD = -0.30
 #: Labelled edits that the trusted multinomial is fitted on; more are thinned by a hash of their id.
 TRUSTED_LIMIT = 200_000
+#: Bits of the filter by which rows of texts with copies are found without moving the others; a full one only lets more rows through.
+FILTER_BITS = 1 << 22
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
@@ -122,6 +124,21 @@ def trusted_sample(trusted: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64("rev_id"), F.lit(1 << 31)) < int(share * (1 << 31)))
 
 
+def _filter_of(copied: DataFrame) -> Column:
+    """Bits of the rows that stand for texts with copies, as an array of ``FILTER_BITS / 64`` numbers, whatever the corpus."""
+    at = F.pmod(F.xxhash64("h1", "h2", "one"), F.lit(FILTER_BITS))
+    words = copied.select(F.shiftright(at, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit"))
+    words = words.groupBy("id").agg(F.bit_or("bit").alias("word"))
+    dense = copied.sparkSession.range(FILTER_BITS // 64).join(words, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("word", F.lit(0).cast("bigint")).alias("word"))))
+    return dense.agg(F.transform(ordered, lambda w: w["word"]).alias("bits")).scalar()
+
+
+def _in_filter(key: Column, bits: Column) -> Column:
+    at = F.pmod(key, F.lit(FILTER_BITS))
+    return F.call_function("shiftright", F.get(bits, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def ratio_table(
     edits: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, limit: int = TRUSTED_LIMIT, prior: float = 0.0
 ) -> DataFrame:
@@ -142,17 +159,19 @@ def ratio_table(
     by_id = v.select("rev_id", *[h.alias(n) for n, h in digest.items()]).groupBy("h1", "h2", "rev_id").agg(F.count(F.lit(1)).alias("k"))
     by_id = by_id.join(mark, "rev_id", "left")
     first = F.min(F.struct(F.col("good").isNull().alias("other"), "rev_id", "k")).alias("first")
-    copied = by_id.groupBy("h1", "h2").agg(first, F.sum("k").alias("n")).where("n > 1")
-    # Stored, so that Spark's size check sees how few texts have copies; texts move only if they are many.
-    copied = stored(copied.select("h1", "h2", F.struct("first.*").alias("first")), "copied-texts")
-    marked = v.join(mark, "rev_id", "left").withColumns(digest).join(copied, ["h1", "h2"], "left")
-    single = marked.where("first IS NULL").select("diff", "good", F.lit(1).cast("bigint").alias("weight"))
-    chosen = marked.where("first IS NOT NULL AND rev_id <=> first.rev_id").dropDuplicates(["h1", "h2"])
-    weight = F.when(F.col("first.other"), F.lit(1).cast("bigint")).otherwise(F.col("first.k")).alias("weight")
-    texts = single.unionByName(chosen.select("diff", "good", weight))
-    grams = texts.select("good", "weight", F.explode(ngram_buckets(F.col("diff"), buckets)).alias("bucket"))
-    target = F.coalesce(F.sum(F.when(F.col("good").isNotNull(), F.col("weight"))), F.lit(0)).alias("target")
-    counts = stored(grams.groupBy("bucket").agg(F.sum("weight").alias("raw"), target), "gram-counts")
+    good_rows = F.coalesce(F.sum(F.when(F.col("good").isNotNull(), F.col("k"))), F.lit(0))
+    copied = by_id.groupBy("h1", "h2").agg(first, F.sum("k").alias("n"), good_rows.alias("good")).where("n > 1")
+    # How often a text with copies shall count, less how often its rows do.
+    weight = F.when(F.col("first.other"), F.lit(1).cast("bigint")).otherwise(F.col("first.k"))
+    trusted_weight = F.when(F.col("first.other"), F.lit(0).cast("bigint")).otherwise(F.col("first.k"))
+    copied = copied.select("h1", "h2", F.col("first.rev_id").alias("one"), (weight - F.col("n")).alias("raw"), (trusted_weight - F.col("good")).alias("target"))
+    copied = stored(copied, "copied-texts")
+    # Every row counts once where its text lies; then one row of each text with copies is looked up and puts that right.
+    rows = v.join(mark, "rev_id", "left").select("diff", F.lit(1).cast("bigint").alias("raw"), F.when(F.col("good").isNotNull(), 1).otherwise(0).cast("bigint").alias("target"))
+    likely = v.withColumns(digest).where(_in_filter(F.xxhash64("h1", "h2", "rev_id"), _filter_of(copied)))
+    ones = likely.join(copied, ["h1", "h2"]).where("rev_id <=> one").dropDuplicates(["h1", "h2"]).select("diff", "raw", "target")
+    grams = rows.unionByName(ones).select("raw", "target", F.explode(ngram_buckets(F.col("diff"), buckets)).alias("bucket"))
+    counts = stored(grams.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "gram-counts")
     total = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).select(F.struct("raw", "target")).scalar()
 
     p_raw = (F.col("raw") + smoothing) / (total["raw"] + smoothing * buckets)
