@@ -11,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import AWKWARD, edits, words
 
-from tidemark.llm.bin_slack import fullest, packed, windows
+from tidemark.llm.bin_slack import Encoder, fullest, packed, windows
 from tidemark.llm.piece_agenda import MARK, encoded, pieces_of
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,13 @@ def test_packing_holds_every_id_once(spark):
     assert zlib.crc32(b"") == 0
 
 
+def test_stretches_equal_the_library():
+    encoder = Encoder(BPE)
+    r = random.Random(9)
+    texts = ["", " ", *("".join(r.choices(" abcXYZé9'.\n", k=r.randint(1, 9))) for _ in range(2000)), *(" " + w for w in words(4, 300).split()), "letters", " letters", "İ", " ſ"]
+    assert encoder.stretches(texts) == encoder.whole(texts) == encoder.ids(texts)
+
+
 def test_the_fullest_window_equals_brute_force():
     r = random.Random(5)
     for _ in range(200):

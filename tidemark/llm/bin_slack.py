@@ -29,6 +29,8 @@ WINDOW = 1024
 SEPARATOR = 0
 #: Texts tokenised at a time.
 SLICE = 256
+#: Fixed value: the character a byte-level vocabulary writes for a space.
+SPACE_MARK = "Ġ"
 PIECES = "rev_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema(
     [("rev_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -86,8 +88,9 @@ class Encoder:
     """Ids by a tokenizers file, as little-endian unsigned 32-bit integers.
 
     A byte-level file of this kind cuts a text before a space that follows something else, so the
-    stretches between are encoded by themselves, each once per worker while room lasts. A text that
-    holds the string of a special token, which may reach over such a cut, is encoded whole.
+    stretches between are encoded by themselves, each once per worker while room lasts. One of ASCII letters
+    only is one pre-token and goes to the file's model at once. A text that holds the string of a
+    special token, which may reach over such a cut, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -95,11 +98,26 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = sorted(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.known = ChunkCache(self.whole)
+        self.model = self.library.model
+        self.known = ChunkCache(self.stretches)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        out, rest = [], []
+        for at, t in enumerate(texts):
+            letters = t[1:] if t[:1] == " " else t
+            if letters.isascii() and letters.isalpha():
+                marked = SPACE_MARK + letters if letters is not t else t
+                out.append(array("I", [token.id for token in self.model.tokenize(marked)]).tobytes())
+            else:
+                out.append(b"")
+                rest.append(at)
+        for at, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[at] = ids
+        return out
+
     def ids(self, texts: list[str]) -> list[bytes]:
         odd = [any(s in t for s in self.special) for t in texts]
         rest = iter(self.whole([t for t, o in zip(texts, odd, strict=True) if o]))
