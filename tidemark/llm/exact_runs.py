@@ -8,6 +8,9 @@ the other the upper half of both runs and merges them. After k rounds a partitio
 one k-bit digest range, merged over all runs. No partition ever holds the whole space,
 and an edit text that owns a third of all rows is one row per run from the first level on.
 
+The rows that partners exchange are merged by Spark's sort inside each partition, which spills and streams;
+what the task adds is the fold of equal neighbours.
+
 The smallest identifier of a digest is kept at each level: the edit with the most code
 points, then the smallest ``rev_id``. A merge verifies what it joins: rows that share a
 SHA-256 must agree on the normalised length and on an independent 64-bit hash, else the
