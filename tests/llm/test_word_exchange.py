@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from helpers import AWKWARD, edits, words
 
-from tidemark.llm.word_exchange import Cutter, Merges, TextsChanged, _joined, coded, decoded, read_ranks
+from tidemark.llm.word_exchange import Cutter, Merges, TextsChanged, _joined, class_differences, coded, decoded, read_ranks
 from tidemark.llm.word_exchange_query import op11_byte_bpe
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,7 +70,7 @@ def test_words_follow_the_classes_of_the_library():
     """With single bytes only and one class as the pattern, the library shows what it takes for a letter."""
     import tiktoken
 
-    cutter = Cutter(PATTERN)
+    cutter = Cutter(PATTERN, class_differences())
     probe = tiktoken.Encoding("letters", pat_str=r"\p{L}", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
     for code in [*range(0x500, 0x600), *range(0x880, 0x8A0), *range(0x11DD0, 0x11DF0), 0x1F600, 0x323B0]:
         letter = bool(probe.encode_ordinary(chr(code)))

@@ -2,11 +2,10 @@
 
 A pattern cuts every text into words (pre-tokens), and a word's ids depend on nothing else. So:
 
-1. Explode: edits are read in blocks. A block numbers its distinct words by first occurrence,
-   and gives one ``(word, block, place)`` row for each of them.
-2. Exchange: these rows are dealt by word over the whole corpus. Equal words meet in one task,
-   side by side, and the word is encoded once. A word that fills a third of the corpus is one
-   row for each block it occurs in.
+1. Explode: edits are read in blocks. A block numbers its distinct words by first occurrence, its
+   places, and deals ``(word, place)`` by a hash of the word; words that go the same way share a row.
+2. Exchange: equal words of the whole corpus meet in one task, and each distinct word is encoded
+   once. A word that fills a third of the corpus arrives once from each block it occurs in.
 3. Join back: the ids return to ``(block, place)``, where they meet the block's sequence of places.
 4. Reassemble: each place in the sequence gets its ids, and the sequence is cut into edits.
 
@@ -21,18 +20,19 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 from itertools import accumulate, chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunk_cache import of_worker, stretches
-from tidemark.llm.common import edit_columns
+from tidemark.llm.common import edit_columns, shuffle_width
 
 #: Characters of a block; a longer text is a block of its own.
 BLOCK_CHARS = 16_000_000
@@ -40,12 +40,10 @@ BLOCK_CHARS = 16_000_000
 SHORT = 48
 #: Edits handed on at a time.
 SLICE = 2_000
-#: Words encoded before their ids are dealt to blocks.
-DEALT = 200_000
 _BLOCK_BITS = 31
-#: A block's words one by one, and last of all their digest at place -1.
-_WORDS = "block bigint, place int, word string"
+_NO_RANK = 1 << 62
 _PARTS = "block bigint, check string, rev_ids array<bigint>, counts array<int>, packed binary"
+_DEALT = f"share int, {_PARTS}"
 CODED = "rev_id bigint, ids array<int>"
 DECODED = "rev_id bigint, ids array<int>, decoded binary"
 
@@ -75,20 +73,20 @@ class Merges:
     def _scanned(self, word: bytes) -> list[int]:
         get = self.ranks.get
         parts = [word[i : i + 1] for i in range(len(word))]
-        pairs = [get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            best, at = None, -1
-            for i, r in enumerate(pairs):
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return [self.ranks[p] for p in parts]
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(word[i : i + 2], _NO_RANK) for i in range(len(word) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == _NO_RANK:
+                break
+            at = pairs.index(best)
+            union = parts[at] + parts.pop(at + 1)
+            parts[at] = union
             del pairs[at]
             if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1])
+                pairs[at] = get(union + parts[at + 1], _NO_RANK)
             if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at])
+                pairs[at - 1] = get(parts[at - 1] + union, _NO_RANK)
+        return [self.ranks[p] for p in parts]
 
     def _queued(self, word: bytes) -> list[int]:
         get, n = self.ranks.get, len(word)
@@ -117,31 +115,40 @@ class Merges:
         return out
 
 
+@cache
+def class_differences() -> dict[int, str]:
+    """Characters that ``regex`` and the tiktoken library class differently, each with a stand-in of the library's class.
+
+    The two know letters and numbers of different Unicode versions; both are asked once, on the driver.
+    """
+    import regex
+    import tiktoken
+
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    single = {bytes([b]): b for b in range(256)}
+    theirs, differing = {}, set()
+    for name in (r"\p{L}", r"\p{N}"):
+        probe = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        theirs[name] = set(bytes(probe.encode_ordinary(every)).decode())
+        differing |= theirs[name] ^ set(regex.findall(name, every))
+    return {ord(c): STANDS[next((n for n in theirs if c in theirs[n]), "")] for c in differing}
+
+
+# A letter, a number and an unassigned character in every version.
+STANDS = {r"\p{L}": "é", r"\p{N}": "٣", "": "͸"}
+
+
 class Cutter:
     """The words of a text by a pattern with Unicode classes, as the tiktoken library cuts them.
 
-    That library and ``regex`` know letters and numbers of different Unicode versions. Which
-    characters they class differently is asked of both once; a text with such a character is
-    cut with a stand-in of the library's class in its place.
+    A text with a character that the library classes differently is cut with the stand-in in its place.
     """
 
-    # A letter, a number and an unassigned character in every version.
-    STANDS = {r"\p{L}": "é", r"\p{N}": "٣", "": "͸"}
-
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, stand: dict[int, str]):
         import regex
-        import tiktoken
-
-        self.find = regex.compile(pattern)
-        every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
-        single = {bytes([b]): b for b in range(256)}
-        theirs, differing = {}, set()
-        for name in (r"\p{L}", r"\p{N}"):
-            probe = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-            theirs[name] = set(bytes(probe.encode_ordinary(every)).decode())
-            differing |= theirs[name] ^ set(regex.findall(name, every))
-        self.stand = {ord(c): self.STANDS[next((n for n in theirs if c in theirs[n]), "")] for c in differing}
-        self.differing = differing
+
+        self.find, self.stand = regex.compile(pattern), stand
+        self.differing = {chr(c) for c in stand}
 
     def words(self, text: str) -> list[str]:
         if text.isascii() or self.differing.isdisjoint(text):
@@ -149,8 +156,8 @@ class Cutter:
         return [text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.stand))]
 
 
-def cutter_of(pattern: str) -> Cutter:
-    return of_worker(("word cutter", pattern), lambda: Cutter(pattern))
+def cutter_of(pattern: str, stand: dict[int, str]) -> Cutter:
+    return of_worker(("word cutter", pattern), lambda: Cutter(pattern, stand))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_chars: int) -> Iterator[tuple[int, list, list[str]]]:
@@ -228,34 +235,56 @@ class _Block:
         return np.frombuffer(out, "<u4")
 
 
-_WORDS_ARROW = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string())])
 _PARTS_ARROW = pa.schema([("block", pa.int64()), ("check", pa.string()), ("rev_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("packed", pa.binary())])
+_DEALT_ARROW = pa.schema([("share", pa.int32()), *_PARTS_ARROW])
+
 
+def _packed(places: np.ndarray, items: list[bytes]) -> dict:
+    """Places and the bytes that belong to them as columns of one row."""
+    sizes = np.array([len(i) for i in items], "<u4")
+    whole = b"".join([places.astype("<u4").tobytes(), sizes.tobytes(), *items])
+    return {"counts": [len(items), int(sizes.sum())], "packed": pa.compress(whole, "zstd", asbytes=True)}
 
-def _exploder(pattern: str, block_chars: int):
-    """The distinct words of each block with their places."""
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Places, sizes and bytes of one row."""
+    n, m = row["counts"]
+    whole = pa.decompress(row["packed"], 8 * n + m, "zstd", asbytes=True)
+    return np.frombuffer(whole, "<u4", n), np.frombuffer(whole, "<u4", n, 4 * n), whole[8 * n :]
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key with the positions that hold it, in order."""
+    order = np.argsort(keys, kind="stable")
+    edges = [0, *(np.flatnonzero(np.diff(keys[order])) + 1).tolist(), len(order)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if a < b:
+            yield int(keys[order[a]]), order[a:b]
+
+
+def _exploder(pattern: str, stand: dict[int, str], block_chars: int, shares: int):
+    """The distinct words of each block with their places, a row for each share of the words."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _blocks(batches, block_chars):
-            block = _Block(cutter_of(pattern).words, False)
+            block = _Block(cutter_of(pattern, stand).words, False)
             for t in texts:
                 block.add(t)
-            words = list(block.places)
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(some, pa.string())], schema=_WORDS_ARROW)
-            yield pa.RecordBatch.from_pylist([{"block": number, "place": -1, "word": _digest(words)}], _WORDS_ARROW)
+            check = _digest(list(block.places))
+            words = [w.encode() for w in block.places]
+            share = np.array([crc32(w) for w in words], np.int64) % shares
+            rows = [{"share": k, "block": number, **_packed(at, [words[i] for i in at.tolist()])} for k, at in _runs(share)]
+            yield pa.RecordBatch.from_pylist([{"share": number % shares, "block": number, "check": check}, *rows], _DEALT_ARROW)
 
     return explode
 
 
-def _sequencer(pattern: str, block_chars: int):
+def _sequencer(pattern: str, stand: dict[int, str], block_chars: int):
     """The texts of each block as one sequence of places."""
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rev_ids, texts in _blocks(batches, block_chars):
-            block = _Block(cutter_of(pattern).words, True)
+            block = _Block(cutter_of(pattern, stand).words, True)
             found = [block.add(t) for t in texts]
             row = {"block": number, "check": _digest(list(block.places)), "rev_ids": rev_ids, "counts": [len(f) for f in found], "packed": pa.compress(np.concatenate(found).tobytes(), "zstd", asbytes=True)}
             yield pa.RecordBatch.from_pylist([row], _PARTS_ARROW)
@@ -264,54 +293,25 @@ def _sequencer(pattern: str, block_chars: int):
 
 
 def _encoder(ranks: str):
-    """Ids of words that come sorted, dealt to their blocks; a word is encoded when it first appears."""
-
-    def dealt(blocks: list[np.ndarray], places: list[np.ndarray], ids: list[bytes]) -> pa.RecordBatch:
-        block, place = np.concatenate(blocks), np.concatenate(places)
-        sizes = np.array([len(i) for i in ids], "<u4") // 4
-        order = np.argsort(block, kind="stable")
-        edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
-        rows = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            at = order[a:b]
-            n, m = b - a, int(sizes[at].sum())
-            packed = b"".join([place[at].astype("<u4").tobytes(), sizes[at].tobytes(), *(ids[i] for i in at.tolist())])
-            rows.append({"block": int(block[at[0]]), "counts": [n, m], "packed": pa.compress(packed, "zstd", asbytes=True)})
-        return pa.RecordBatch.from_pylist(rows, _PARTS_ARROW)
+    """Ids of one share of all words, each word encoded when it first arrives."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = of_worker(("merges", ranks), lambda: Merges(read_ranks(ranks))).ids
-        last, known = None, b""
-        blocks, places, ids = [], [], []
+        known: dict[bytes, bytes] = {}
         for batch in batches:
-            heads = batch.filter(pc.less(batch.column(1), 0))
-            if heads.num_rows:
-                yield pa.RecordBatch.from_pylist([{"block": r["block"], "check": r["word"]} for r in heads.to_pylist()], _PARTS_ARROW)
-                batch = batch.filter(pc.greater_equal(batch.column(1), 0))
-            if not batch.num_rows:
-                continue
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last, known = word, array("I", merge(word.encode())).tobytes()
-                ids.append(known)
-            blocks.append(batch.column(0).to_numpy())
-            places.append(batch.column(1).to_numpy())
-            if len(ids) >= DEALT:
-                yield dealt(blocks, places, ids)
-                blocks, places, ids = [], [], []
-        if ids:
-            yield dealt(blocks, places, ids)
+            for row in batch.drop_columns(["share"]).to_pylist():
+                if row["check"] is None:
+                    places, sizes, whole = _unpacked(row)
+                    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+                    words = [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    for w in set(words).difference(known):
+                        known[w] = array("I", merge(w)).tobytes()
+                    row = {"block": row["block"], **_packed(places, [known[w] for w in words])}
+                yield pa.RecordBatch.from_pylist([row], _PARTS_ARROW)
 
     return encode
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, sizes and ids of one row of dealt words."""
-    n, m = row["counts"]
-    whole = np.frombuffer(pa.decompress(row["packed"], 4 * (2 * n + m), "zstd", asbytes=True), "<u4")
-    return whole[:n], whole[n : 2 * n], whole[2 * n :]
-
-
 def _joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     """The edits of one block with their ids, from its sequence, both digests of its words, and their ids by place."""
     schema = pa.schema([("rev_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -322,8 +322,9 @@ def _joined(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     counts = np.array(whole["counts"], np.int64)
     sequence = np.frombuffer(pa.decompress(whole["packed"], int(counts.sum()) * 4, "zstd", asbytes=True), "<u4")
     parts = [_unpacked(r) for r in rows if r["check"] is None]
-    places, sizes, ids = (np.concatenate(c) if parts else np.empty(0, "<u4") for c in (zip(*parts, strict=True) if parts else ((), (), ())))
-    by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids.astype(np.int32)))
+    places, sizes = (np.concatenate([p[k] for p in parts] or [np.empty(0, "<u4")]) for k in (0, 1))
+    ids = np.frombuffer(b"".join(p[2] for p in parts), "<i4")
+    by_word = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes // 4)]), pa.int32()), pa.array(ids))
     by_place = np.empty(len(places), np.int64)
     by_place[places] = np.arange(len(places))
     first = np.concatenate([[0], np.cumsum(counts)])
@@ -357,13 +358,15 @@ def coded(edits: DataFrame, ranks: str, pattern: str, *, block_chars: int = BLOC
     text has no ids; repeated rows are encoded alike, and a NULL ``rev_id`` stays NULL.
     No rows in, none out. A task holds one block, or one text if it is longer. ``edits`` is read
     twice in one query and must give the same rows in the same order both times, as files and
-    stored tables do; if it does not, the job fails.
+    stored tables do; if it does not, the job fails. Distinct words are spread over as many tasks as
+    ``spark.sql.shuffle.partitions`` says, and each holds its own.
     """
     # Not the task's own number: in a union with other tasks that is another one.
     texts = edit_columns(edits, F.spark_partition_id().alias("task"))
-    words = texts.mapInArrow(_exploder(pattern, block_chars), _WORDS)
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoder(ranks), _PARTS)
-    sequences = texts.mapInArrow(_sequencer(pattern, block_chars), _PARTS)
+    stand, shares = class_differences(), shuffle_width(edits.sparkSession)
+    words = texts.mapInArrow(_exploder(pattern, stand, block_chars, shares), _DEALT)
+    ids = words.repartitionById(shares, F.col("share")).mapInArrow(_encoder(ranks), _PARTS)
+    sequences = texts.mapInArrow(_sequencer(pattern, stand, block_chars), _PARTS)
     return ids.unionByName(sequences).repartition("block").sortWithinPartitions("block").mapInArrow(_reassemble, CODED)
 
 
