@@ -118,9 +118,10 @@ def test_a_prior_pulls_the_trusted_side_to_the_raw_one(spark):
     trusted = spark.createDataFrame([(0,), (1,)], "rev_id bigint")
     got = {r.bucket: r.ratio for r in q.ratio_table(edits(spark, list(enumerate(texts))), trusted, prior=50.0).collect()}
     assert got.keys() == raw.keys()
+    mass = min(50, q.PRIOR_SHARE * sum(raw.values()))
     for b, ratio in got.items():
         p = (raw[b] + q.SMOOTHING) / (sum(raw.values()) + q.SMOOTHING * q.BUCKETS)
-        assert math.isclose(ratio, math.log((target[b] + 50 * p) / (sum(target.values()) + 50)) - math.log(p), abs_tol=1e-9)
+        assert math.isclose(ratio, math.log((target[b] + mass * p) / (sum(target.values()) + mass)) - math.log(p), abs_tol=1e-9)
 
 
 def test_repeated_rows_without_trust_count_once(spark):

@@ -27,6 +27,8 @@ BUCKETS = 8_192
 SMOOTHING = 10.0
 #: Occurrences that the trusted side starts with, spread like the raw corpus: without labels no bucket speaks for or against a text.
 PRIOR = SMOOTHING * BUCKETS
+#: The prior is no more than this share of the raw corpus, so that in a small one labels still weigh.
+PRIOR_SHARE = 0.1
 #: Nats for each n-gram; an edit below it reads unlike the trusted ones.
 THRESHOLD = -0.30
 #: Labelled edits that the trusted multinomial is fitted on; more are thinned by a hash of their id.
@@ -149,7 +151,7 @@ def ratio_table(
     every task. A text is trusted if any of its edits is, and counts once on both sides; only where
     rows repeat its first trusted id, it counts on both sides as often as they do. A bucket that
     occurs nowhere has no row, and no edit can ask for it. With a ``prior`` the trusted multinomial
-    starts with so many occurrences in proportion to the raw one, and labels pull it away from
+    starts with so many occurrences (at most ``PRIOR_SHARE`` of the raw ones) in proportion to the raw one, and labels pull it away from
     there; without any, all ratios are 0. With no prior it is smoothed uniformly, as the raw one is.
     """
     mark = F.broadcast(trusted_sample(trusted, limit).withColumn("good", F.lit(1)))
@@ -176,7 +178,8 @@ def ratio_table(
 
     p_raw = (F.col("raw") + smoothing) / (total["raw"] + smoothing * buckets)
     if prior:
-        p_target = (F.col("target") + prior * p_raw) / (total["target"] + prior)
+        mass = F.least(F.lit(float(prior)), PRIOR_SHARE * total["raw"])
+        p_target = (F.col("target") + mass * p_raw) / (total["target"] + mass)
     else:
         p_target = (F.col("target") + smoothing) / (total["target"] + smoothing * buckets)
     return counts.select("bucket", (F.log(p_target) - F.log(p_raw)).alias("ratio"))
